@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.bpe import op6_byte_pairs
 from tessera.llm.hilbert import op7_hilbert_sharding
+from tessera.llm.packing import op10_packing
+from tessera.llm.token_files import op4_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_files": op4_token_files,
+    "op6_byte_pairs": op6_byte_pairs,
     "op7_hilbert_sharding": op7_hilbert_sharding,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
