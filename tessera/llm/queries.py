@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.bpe import op6_byte_pairs
 from tessera.llm.hilbert import op7_hilbert_sharding
 from tessera.llm.packing import op10_packing
+from tessera.llm.quality import op1_quality_classifier
 from tessera.llm.token_files import op4_token_files
+from tessera.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
     "op6_byte_pairs": op6_byte_pairs,
     "op7_hilbert_sharding": op7_hilbert_sharding,
