@@ -18,17 +18,33 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, scratch
 from tessera.llm.labelled import draw, fold, free_name, labelled_sample, with_scores
-from tessera.llm.wordhash import WHITE, byte_chunks, distinct, runs
+from tessera.llm.wordhash import WHITE, byte_chunks, distinct, hash_spans, prefix_hashes, runs
 
 #: Words end at white space and at ASCII marks other than the apostrophe and the hyphen.
 WORD_ENDS = WHITE.copy()
 WORD_ENDS[[ord(c) for c in "!\"#$%&()*+,./:;<=>?@[\\]^_`{|}~"]] = True
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct word hashes of each text, and the text of each."""
-    found = runs(data, offsets, WORD_ENDS)
-    h, d, _ = distinct(found.hashes, found.doc)
+#: Beginnings of longer words, in bytes, count as words too: they cover inflected forms.
+STEMS = (4, 5, 6, 7, 8)
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's words and their beginnings, and the text of each; repeated ones stay."""
+    prefix = prefix_hashes(data)
+    found = runs(data, offsets, WORD_ENDS, prefix)
+    doc, length = found.doc, found.ends - found.starts
+    hashes, docs = [found.hashes], [doc]
+    for n in STEMS:
+        longer = length > n
+        starts = found.starts[longer]
+        hashes.append(hash_spans(prefix, starts, starts + n))
+        docs.append(doc[longer])
+    return np.concatenate(hashes), np.concatenate(docs)
+
+
+def distinct_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h, d, _ = distinct(*features(data, offsets))
     return h, d
 
 
@@ -43,10 +59,10 @@ class Linear:
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         margin = np.full(len(offsets) - 1, self.bias)
         if len(self.vocabulary):
-            found = runs(data, offsets, WORD_ENDS)
-            at = np.minimum(np.searchsorted(self.vocabulary, found.hashes), len(self.vocabulary) - 1)
-            hit = self.vocabulary[at] == found.hashes
-            doc, word = np.divmod(np.unique(found.doc[hit] * len(self.vocabulary) + at[hit]), len(self.vocabulary))
+            hashes, docs = features(data, offsets)
+            at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+            hit = self.vocabulary[at] == hashes
+            doc, word = np.divmod(np.unique(docs[hit] * len(self.vocabulary) + at[hit]), len(self.vocabulary))
             margin += np.bincount(doc, self.weights[word], len(margin))
         return 1 / (1 + np.exp(-margin))
 
@@ -75,7 +91,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         marked = batch["positive"].to_numpy(zero_copy_only=False)
         for at, _, data, offsets in byte_chunks(batch["text"]):
-            h, d = words_of(data, offsets)
+            h, d = distinct_features(data, offsets)
             hashes, inverse = np.unique(h, return_inverse=True)
             own = marked[at:][d]
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view("i8")), *(pa.array(np.bincount(inverse, x, len(hashes)).astype("i8")) for x in (own, ~own))], ["word", "p", "u"])
@@ -98,7 +114,11 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 6_000, unlabelled
         return Linear(np.zeros(0, np.uint64), np.zeros(0), -20.0)
     lift = F.expr(f"(p / {n[True]} - u / {n[False]}) / sqrt((p + u + 1) / {n[True] + n[False]})")
     counts = sample.mapInArrow(count_words, "word long, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    chosen = counts.filter("p >= 2").withColumn("lift", lift).filter("lift > 0").orderBy(F.desc("lift"), "word").limit(width)
+    # Seen in so many confirmed documents that neither chance nor a few copies of one explain it, and by
+    # the prior at least half of all documents that have it are toxic.
+    chance = f"{n[True] / n[False]} * (u + 1)"
+    telling = f"p >= {0.015 * n[True]} and p >= 2 + {chance} + 4 * sqrt({chance}) and {prior} * p >= 0.5 * {chance}"
+    chosen = counts.filter(telling).withColumn("lift", lift).orderBy(F.desc("lift"), "word").limit(width)
     vocabulary = np.sort(chosen.select("word").toPandas()["word"].to_numpy("i8").view(np.uint64))
     if not len(vocabulary):
         return Linear(vocabulary, np.zeros(0), -20.0)
@@ -106,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 6_000, unlabelled
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, data, offsets in byte_chunks(batch["text"]):
-                h, d = words_of(data, offsets)
+                h, d = distinct_features(data, offsets)
                 k = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
                 hit = vocabulary[k] == h
                 k, ends = k[hit].astype("i4"), np.searchsorted(d[hit], np.arange(to - at + 1))
