@@ -6,19 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.ann import op2_adaptive_scan
 from tessera.llm.bpe import op6_byte_pairs
 from tessera.llm.hilbert import op7_hilbert_sharding
+from tessera.llm.jaccard_join import op9_ngram_jaccard_join
 from tessera.llm.packing import op10_packing
 from tessera.llm.quality import op1_quality_classifier
 from tessera.llm.token_files import op4_token_files
+from tessera.llm.topk import op8_exact_top_k
 from tessera.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_adaptive_scan": op2_adaptive_scan,
     "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
     "op6_byte_pairs": op6_byte_pairs,
     "op7_hilbert_sharding": op7_hilbert_sharding,
+    "op8_exact_top_k": op8_exact_top_k,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_packing": op10_packing,
 }
 
