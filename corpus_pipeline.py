@@ -1,4 +1,10 @@
-"""A corpus pipeline over documents: each stage is an operator of tessera.llm, written and read again."""
+"""A corpus pipeline over documents: each stage is an operator of tessera.llm, written and read again.
+
+Toxic documents go, then those of low quality, then all but one of each group of near copies; what
+stays is packed into training sequences. Null texts count as empty ones and stay unless an operator
+rejects them; an empty table gives an empty result; columns beyond those of documents are carried
+along until the last stage, whose rows are pieces of documents.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +13,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import documents, scratch
+from tessera.llm.jaccard_join import one_of_each
+from tessera.llm.packing import pack_with_words
+from tessera.llm.quality import keep_good
+from tessera.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_with_words(docs)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("quality", quality),
+    ("near_copies", near_copies),
+    ("packing", packing),
+]
 
-#: No stage but the join can be said in SQL: the classifiers are learnt and the packing is greedy.
+#: The classifiers are learnt and the packing is greedy: SQL cannot express the rows of run().
 ORACLE_SQL = None
 
 
