@@ -10,6 +10,7 @@ from tessera.llm.ann import op2_adaptive_scan
 from tessera.llm.bpe import op6_byte_pairs
 from tessera.llm.hilbert import op7_hilbert_sharding
 from tessera.llm.jaccard_join import op9_ngram_jaccard_join
+from tessera.llm.katz import op5_katz_backoff
 from tessera.llm.packing import op10_packing
 from tessera.llm.quality import op1_quality_classifier
 from tessera.llm.token_files import op4_token_files
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_adaptive_scan": op2_adaptive_scan,
     "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
+    "op5_katz_backoff": op5_katz_backoff,
     "op6_byte_pairs": op6_byte_pairs,
     "op7_hilbert_sharding": op7_hilbert_sharding,
     "op8_exact_top_k": op8_exact_top_k,
