@@ -31,7 +31,7 @@ from tessera.llm.wordhash import byte_chunks, mix, runs
 END = np.uint64(0x9E3779B97F4A7C15)
 #: Good-Turing discounts apply to counts up to this.
 SMALL = 5
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 
 
 def discounts(of: np.ndarray) -> np.ndarray:
@@ -127,44 +127,58 @@ def ask_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
 
 
 def count_words(table: pa.Table) -> pa.Table:
-    """A partition of the word table: its own rows, and the answer to each block in the order of its words."""
+    """A partition of the word table: its own rows, and to each block, in the order of its words, their places and counts here."""
     asked = [(r["block"], unpack(r["blob"])) for r in table.to_pylist()]
     words, inverse = np.unique(np.concatenate([x["words"] for _, x in asked]), return_inverse=True)
     counts = np.bincount(inverse, np.concatenate([x["counts"] for _, x in asked])).astype("i8")
     bucket, at, rows = table["bucket"][0].as_py(), 0, []
     for block, x in asked:
-        rows.append((bucket, block, pack(counts=counts[inverse[at : at + len(x["words"])]])))
+        own = inverse[at : at + len(x["words"])]
+        rows.append((bucket, block, pack(places=own.astype("u8"), counts=counts[own])))
         at += len(x["words"])
-    return pa.Table.from_batches([pieces([*rows, (bucket, OWN, pack(words=words[counts > 0], counts=counts[counts > 0]))])])
+    known = np.flatnonzero(counts)
+    return pa.Table.from_batches([pieces([*rows, (bucket, OWN, pack(words=words[known], places=known.astype("u8"), counts=counts[known]))])])
 
 
-def word_totals(batches: Iterator[pa.RecordBatch], largest: int) -> Iterator[pa.RecordBatch]:
-    """Of each partition of the word table: tokens, types, numbers of types by small counts, and its most frequent words."""
+def word_totals(batches: Iterator[pa.RecordBatch], largest: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Of each partition of the word table: tokens, types, numbers of types by small counts, and its most frequent words by number."""
     for batch in batches:
-        for blob in batch["blob"].to_pylist():
-            x = unpack(blob)
+        for row in batch.to_pylist():
+            x = unpack(row["blob"])
             top = np.argsort(-x["counts"], kind="stable")[:largest]
             times = np.bincount(np.minimum(x["counts"], SMALL + 2), minlength=SMALL + 3)
-            yield pa.RecordBatch.from_pydict({"tokens": [int(x["counts"].sum())], "types": [len(x["words"])], "times": [times.tolist()], "words": [x["words"][top].view("i8").tolist()], "counts": [x["counts"][top].tolist()]})
+            numbers = word_numbers(x["places"][top], row["bucket"], buckets)
+            yield pa.RecordBatch.from_pydict({"tokens": [int(x["counts"].sum())], "types": [len(x["words"])], "times": [times.tolist()], "words": [numbers.view("i8").tolist()], "counts": [x["counts"][top].tolist()]})
+
+
+def word_numbers(places: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    """One number for each word, from its place in its partition: small ones, which travel in few bytes."""
+    return places * np.uint64(buckets) + np.uint64(bucket)
 
 
 def ask_bigrams(left: pa.Table, right: pa.Table, buckets: int, often: np.ndarray, model: Unigrams) -> pa.Table:
     """One block with its words' counts: its bigrams for each partition, and what its texts' unigrams say.
 
-    left: the block; right: the answers. Rows for partitions have words and counts of both places, the
+    left: the block; right: the answers. Words go by their numbers. Rows for partitions have those of both places with counts, the
     distinct bigrams with their training counts, and the texts that each occurs in.
     """
     block = left["block"][0].as_py()
     x = unpack(left["blob"][0].as_py())
-    words, ids, sizes = x["words"], x["ids"], x["sizes"]
-    counts, by = np.zeros(len(words), "i8"), dealt(words, buckets)
+    sizes, by = x["sizes"], dealt(x["words"], buckets)
+    numbers, counts = np.zeros(len(by), "u8"), np.zeros(len(by), "i8")
     for r in right.to_pylist():
-        counts[by == r["bucket"]] = unpack(r["blob"])["counts"]
+        answer = unpack(r["blob"])
+        numbers[by == r["bucket"]] = word_numbers(answer["places"], r["bucket"], buckets)
+        counts[by == r["bucket"]] = answer["counts"]
+    order = np.argsort(numbers)
+    rank = np.empty(len(order), "i8")
+    rank[order] = np.arange(len(order))
+    words, counts, ids, end = numbers[order], counts[order], rank[x["ids"]], rank[np.searchsorted(x["words"], END)]
     doc = np.repeat(np.arange(len(sizes)), sizes)
     base = np.log10((counts + 1) / (model.tokens + model.types + 1))
     said = pack(doc_id=x["doc_id"], known=x["known"], held=x["held"], sizes=sizes, n_known=np.bincount(doc, counts[ids] > 0, len(sizes)).astype("i8"), base=np.bincount(doc, base[ids], len(sizes)))
     before = np.roll(ids, 1)
-    before[np.cumsum(sizes) - sizes] = np.searchsorted(words, END)
+    before[np.cumsum(sizes) - sizes] = end
     pair, inverse, times = np.unique(before * len(words) + ids, return_inverse=True, return_counts=True)
     first, second = np.divmod(pair, len(words))
     train = np.bincount(inverse[np.repeat(~x["held"], sizes)], minlength=len(pair))
@@ -180,7 +194,7 @@ def ask_bigrams(left: pa.Table, right: pa.Table, buckets: int, often: np.ndarray
             z, zi = np.unique(second[own], return_inverse=True)
             n = times[own]
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[own], n)
-            rows.append((b, block, pack(a=words[a], na=counts[a], z=words[z], nz=counts[z], runs=np.bincount(ai), zi=zi, train=train[own], times=n, doc=where[at], docs=np.array([len(sizes)]))))
+            rows.append((b, block, pack(a=words[a], na=counts[a], z=words[z], nz=counts[z], pairs=(ai * len(z) + zi).astype("u8"), train=train[own], times=n, doc=where[at], docs=np.array([len(sizes)]))))
     return pa.Table.from_batches([pieces(rows)])
 
 
@@ -204,7 +218,8 @@ def count_bigrams(table: pa.Table, often: np.ndarray, model: Unigrams) -> pa.Tab
     a0 = z0 = 0
     codes = []
     for _, x in asked:
-        codes.append(np.repeat(ai[a0 : a0 + len(x["a"])], x["runs"]) * len(second) + zi[z0 : z0 + len(x["z"])][x["zi"]])
+        own_a, own_z = np.divmod(x["pairs"].astype("i8"), len(x["z"]))
+        codes.append(ai[a0 : a0 + len(x["a"])][own_a] * len(second) + zi[z0 : z0 + len(x["z"])][own_z])
         a0, z0 = a0 + len(x["a"]), z0 + len(x["z"])
     pair, inverse = np.unique(np.concatenate(codes), return_inverse=True)
     r = np.bincount(inverse, column("train")).astype("i8")
@@ -295,7 +310,7 @@ def katz_scores(docs: DataFrame, held: Column) -> DataFrame:
     buckets = partitions(spark)
     cut = scratch(docs.select("doc_id", "text", held.alias("held")).mapInArrow(blocks, "block long, blob binary"), "blocks")
     words = scratch(cut.mapInArrow(lambda b: ask_words(b, buckets), PIECES).groupBy("bucket").applyInArrow(count_words, PIECES), "words")
-    totals = words.filter(F.col("block") == OWN).select("blob").mapInArrow(lambda b: word_totals(b, 32), "tokens long, types long, times array<long>, words array<long>, counts array<long>").collect()
+    totals = words.filter(F.col("block") == OWN).mapInArrow(lambda b: word_totals(b, 32, buckets), "tokens long, types long, times array<long>, words array<long>, counts array<long>").collect()
     tokens = sum(r["tokens"] for r in totals)
     times = np.sum([r["times"] for r in totals], axis=0, dtype="i8") if totals else np.zeros(SMALL + 3, "i8")
     model = Unigrams.of(tokens, sum(r["types"] for r in totals), times)
