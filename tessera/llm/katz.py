@@ -77,15 +77,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "UTF-8")) % 7 == 2
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """block, blob: doc_id (null: 0), known (whether there is an id), held, ends, words (sorted hashes), ids (the tokens' places there)."""
+def blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """block; texts: doc_id (null: 0), known (whether there is an id), held, sizes, ids (the tokens' places among the words), by (the words' partitions), end (the end's place); words: sorted hashes."""
     seq, size, parts = TaskContext.get().partitionId() << 32, 0, []
 
     def flush() -> pa.RecordBatch:
         hashes, counts, doc_id, known, held = (np.concatenate(x) for x in zip(*parts, strict=True))
         words, ids = np.unique(hashes, return_inverse=True)
-        blob = pack(doc_id=doc_id.view("u8"), known=known, held=held, sizes=counts, words=words, ids=ids)
-        return pa.RecordBatch.from_arrays([pa.array([seq], pa.int64()), pa.array([blob], pa.binary())], ["block", "blob"])
+        texts = pack(doc_id=doc_id.view("u8"), known=known, held=held, sizes=counts, ids=ids, by=dealt(words, buckets), end=np.searchsorted(words, [END]))
+        return pa.RecordBatch.from_arrays([pa.array([seq], pa.int64()), pa.array([texts], pa.binary()), pa.array([pack(words=words)], pa.binary())], ["block", "texts", "words"])
 
     for batch in batches:
         doc_id, held = batch["doc_id"], batch["held"].to_numpy(zero_copy_only=False)
@@ -119,11 +119,10 @@ def ask_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
     """Each block's words with their counts in its training texts, by partition."""
     for batch in batches:
         for row in batch.to_pylist():
-            x = unpack(row["blob"])
+            x, words = unpack(row["texts"]), unpack(row["words"])["words"]
             train = np.repeat(~x["held"], x["sizes"])
-            counts = np.bincount(x["ids"][train], minlength=len(x["words"]))
-            bucket = dealt(x["words"], buckets)
-            yield pieces([(b, row["block"], pack(words=x["words"][bucket == b], counts=counts[bucket == b])) for b in range(buckets)])
+            counts = np.bincount(x["ids"][train], minlength=len(words))
+            yield pieces([(b, row["block"], pack(words=words[x["by"] == b], counts=counts[x["by"] == b])) for b in range(buckets)])
 
 
 def count_words(table: pa.Table) -> pa.Table:
@@ -163,8 +162,8 @@ def ask_bigrams(left: pa.Table, right: pa.Table, buckets: int, often: np.ndarray
     distinct bigrams with their training counts, and the texts that each occurs in.
     """
     block = left["block"][0].as_py()
-    x = unpack(left["blob"][0].as_py())
-    sizes, by = x["sizes"], dealt(x["words"], buckets)
+    x = unpack(left["texts"][0].as_py())
+    sizes, by = x["sizes"], x["by"]
     numbers, counts = np.zeros(len(by), "u8"), np.zeros(len(by), "i8")
     for r in right.to_pylist():
         answer = unpack(r["blob"])
@@ -173,7 +172,7 @@ def ask_bigrams(left: pa.Table, right: pa.Table, buckets: int, often: np.ndarray
     order = np.argsort(numbers)
     rank = np.empty(len(order), "i8")
     rank[order] = np.arange(len(order))
-    words, counts, ids, end = numbers[order], counts[order], rank[x["ids"]], rank[np.searchsorted(x["words"], END)]
+    words, counts, ids, end = numbers[order], counts[order], rank[x["ids"]], rank[x["end"][0]]
     doc = np.repeat(np.arange(len(sizes)), sizes)
     base = np.log10((counts + 1) / (model.tokens + model.types + 1))
     said = pack(doc_id=x["doc_id"], known=x["known"], held=x["held"], sizes=sizes, n_known=np.bincount(doc, counts[ids] > 0, len(sizes)).astype("i8"), base=np.bincount(doc, base[ids], len(sizes)))
@@ -308,7 +307,7 @@ def katz_scores(docs: DataFrame, held: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     buckets = partitions(spark)
-    cut = scratch(docs.select("doc_id", "text", held.alias("held")).mapInArrow(blocks, "block long, blob binary"), "blocks")
+    cut = scratch(docs.select("doc_id", "text", held.alias("held")).mapInArrow(lambda b: blocks(b, buckets), "block long, texts binary, words binary"), "blocks")
     words = scratch(cut.mapInArrow(lambda b: ask_words(b, buckets), PIECES).groupBy("bucket").applyInArrow(count_words, PIECES), "words")
     totals = words.filter(F.col("block") == OWN).mapInArrow(lambda b: word_totals(b, 32, buckets), "tokens long, types long, times array<long>, words array<long>, counts array<long>").collect()
     tokens = sum(r["tokens"] for r in totals)
@@ -316,7 +315,7 @@ def katz_scores(docs: DataFrame, held: Column) -> DataFrame:
     model = Unigrams.of(tokens, sum(r["types"] for r in totals), times)
     often = np.sort(np.array([w for r in totals for w, c in zip(r["words"], r["counts"], strict=True) if c * buckets > tokens], "i8").view("u8"))
     answers = words.filter(F.col("block") != OWN)
-    asked = cut.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda x, y: ask_bigrams(x, y, buckets, often, model), PIECES)
+    asked = cut.select("block", "texts").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda x, y: ask_bigrams(x, y, buckets, often, model), PIECES)
     table = scratch(asked.groupBy("bucket").applyInArrow(lambda t: count_bigrams(t, often, model), PIECES), "bigrams")
     own = table.filter(F.col("block") == OWN).select("blob")
     numbers = own.mapInArrow(bigram_numbers, "times array<long>").collect()  # one row for each partition
