@@ -1,15 +1,16 @@
 """Exact n-gram Jaccard self-join of documents by a grouped prefix join, and the components of its links.
 
 Two sets whose similarity reaches t share a word shingle among the first n - ceil(t * n) + 1 of each
-(its prefix), under any one order of all shingles. The order here puts those first that no other
-document has, as far as they were counted, and those last that many have; a shingle that only one
-document has links nothing, so a document without near copies mostly leaves no prefix row at all.
+(its prefix), under any one order of all shingles. The order here puts those first that occur once in
+all documents, then those that few have, last those that many have. A shingle that occurs once links
+nothing, so a document without near copies mostly leaves no prefix row at all.
 
 Documents with equal sets are one class; classes with the same prefix and size are one group. Within
 the groups that share a shingle, every member is first held against the members of one leading group.
 What this links need not be compared again: only groups that share a shingle but lie in different
-components are then paired, filtered by size, expanded into their members and verified. So no link
-between different components is lost, and a large group of near copies costs about its own size.
+components are then paired, filtered by their sizes and the number of prefix shingles that they share,
+expanded into their members and verified. So no link between different components is lost, and a large
+group of near copies costs about its own size.
 """
 
 from __future__ import annotations
@@ -22,24 +23,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.blobs import pack, unpack
 from tessera.llm.common import documents, partitions, scratch
 from tessera.llm.components import components
 from tessera.llm.wordhash import byte_chunks, distinct, mix, runs, shingles
 
-#: Shingles with hashes below this share of all are counted; the others' order is by hash alone.
-COUNTED = 0.3
-TOP = np.uint64(int(COUNTED * 2**64))
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 FILTER_BITS = 1 << 27
 OFTEN = 32
 OFTEN_MOST = 1_000_000
 #: Ids that may be broadcast (16 MB); more of them are joined by a shuffle.
 SEND_MOST = 2_000_000
+HALF = np.uint64(32)
 
 
 @dataclass
 class Order:
-    """The global order of shingles: classes 0 (counted, in one document), 1 (perhaps in several), 2 (not counted), 3 (in many).
+    """The global order of shingles by classes: 0 (occur once), 1 (more often), 2 (at least OFTEN times), then by hash.
 
     The filter is a Bloom filter of fixed size in one segment for each bucket: what it wrongly takes
     for repeated only moves within the order. A fuller one, at larger sizes, moves more of them; links
@@ -52,47 +52,49 @@ class Order:
     often: np.ndarray
 
     def classes(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), 2, np.int8)
-        low = np.flatnonzero(h < TOP)
-        out[low] = seen_twice(self.bits, self.segment, self.buckets, h[low])
+        out = seen_twice(self.bits, self.segment, self.buckets, h).astype(np.int8)
         if len(self.often):
-            at = np.minimum(np.searchsorted(self.often, h), len(self.often) - 1)
-            out[self.often[at] == h] = 3
+            key = bucket_key(h, self.buckets)
+            at = np.minimum(np.searchsorted(self.often, key), len(self.often) - 1)
+            out[self.often[at] == key] = 2
         return out
 
 
-def spots(h: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray]:
-    z = mix(h)
-    return ((z >> np.uint64(32)) % np.uint64(segment)).astype("i8"), ((z & np.uint64(0xFFFFFFFF)) % np.uint64(segment)).astype("i8")
+def bucket_key(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and upper half of a hash: shingles that share it count as one, which may only move them within the order."""
+    return (h % np.uint64(buckets)) << HALF | h >> HALF
+
+
+def spots(half: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray]:
+    z = mix(half)
+    return ((z >> HALF) % np.uint64(segment)).astype("i8"), ((z & np.uint64(0xFFFFFFFF)) % np.uint64(segment)).astype("i8")
 
 
 def seen_twice(bits: np.ndarray, segment: int, buckets: int, h: np.ndarray) -> np.ndarray:
     base = (h % np.uint64(buckets)).astype("i8") * segment
     hit = np.ones(len(h), bool)
-    for at in spots(h, segment):
+    for at in spots(h >> HALF, segment):
         at = at + base
         hit &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
     return hit
 
 
 def count_blobs(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Counted shingles with their numbers, in one row for each bucket and FLUSH of them."""
+    """Upper halves of all shingles' hashes with their numbers, in one row for each bucket and FLUSH of them: about two bytes a shingle."""
     held, size = [], 0
 
     def flush() -> pa.RecordBatch:
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        bucket = (h % np.uint64(buckets)).astype("i8")
-        order = np.argsort(bucket, kind="stable")
-        h, n, ends = h[order], n[order].astype("<u4"), np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = [(b, h[i:j].tobytes(), n[i:j].tobytes()) for b, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if i < j]
-        b, hashes, counts = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "hashes", "counts"])
+        keys, n = np.unique(bucket_key(np.concatenate(held), buckets), return_counts=True)
+        ends = np.searchsorted(keys >> HALF, np.arange(buckets + 1, dtype=np.uint64))
+        rows = [(b, pack(halves=keys[i:j] & np.uint64(0xFFFFFFFF), counts=n[i:j])) for b, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if i < j]
+        b, blobs = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     for batch in batches:
         for _, _, data, offsets in byte_chunks(batch["text"]):
             h, _ = shingles(runs(data, offsets), k)
-            held.append(h[h < TOP])
-            size += len(held[-1])
+            held.append(h)
+            size += len(h)
             if size >= FLUSH:
                 yield flush()
                 held, size = [], 0
@@ -107,22 +109,22 @@ def shingle_order(docs: DataFrame, k: int) -> Order:
     segment = FILTER_BITS // buckets // 8 * 8 or 8
 
     def gather(table: pa.Table) -> pa.Table:
-        join = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[name]])
-        h, inverse = np.unique(join("hashes", "<u8"), return_inverse=True)
-        n = np.bincount(inverse, join("counts", "<u4"))
+        found = [unpack(x.as_py()) for x in table["blob"]]
+        halves, inverse = np.unique(np.concatenate([x["halves"] for x in found]), return_inverse=True)
+        n = np.bincount(inverse, np.concatenate([x["counts"] for x in found]))
         bits = np.zeros(segment, bool)
-        for at in spots(h[n > 1], segment):
+        for at in spots(halves[n > 1], segment):
             bits[at] = True
-        often = np.flatnonzero(n > OFTEN)
+        often = np.flatnonzero(n >= OFTEN)
         often = often[np.argsort(-n[often], kind="stable")[: OFTEN_MOST // buckets]]
         packed = np.packbits(bits, bitorder="little").tobytes()
-        return pa.table({"bucket": table["bucket"].slice(0, 1), "bits": pa.array([packed], pa.binary()), "often": pa.array([h[often].tobytes()], pa.binary())})
+        return pa.table({"bucket": table["bucket"].slice(0, 1), "bits": pa.array([packed], pa.binary()), "often": pa.array([halves[often].tobytes()], pa.binary())})
 
-    blobs = docs.select("text").mapInArrow(lambda b: count_blobs(b, k, buckets), "bucket int, hashes binary, counts binary")
+    blobs = docs.select("text").mapInArrow(lambda b: count_blobs(b, k, buckets), "bucket int, blob binary")
     bits, often = np.zeros(buckets * segment // 8, np.uint8), [np.zeros(0, np.uint64)]
     for r in blobs.groupBy("bucket").applyInArrow(gather, "bucket int, bits binary, often binary").toLocalIterator():
         bits[r["bucket"] * segment // 8 :][: segment // 8] = np.frombuffer(r["bits"], np.uint8)
-        often.append(np.frombuffer(r["often"], "<u8"))
+        often.append(np.frombuffer(r["often"], "<u8") | np.uint64(r["bucket"]) << HALF)
     return Order(bits, segment, buckets, np.sort(np.concatenate(often)))
 
 
@@ -205,7 +207,7 @@ class GroupedPrefixJoin:
         asked = pairs.select(F.col("a").alias("class_key")).union(pairs.select("b")).distinct()
         asked = scratch(self.classes.join(asked, "class_key", "left_semi").select("doc_id").distinct(), "asked")
         k, share = self.k, self.share
-        sets = scratch(semi(self.docs, asked, "doc_id").select("text").mapInArrow(lambda b: whole_sets(b, k), "class_key long, members binary"), "whole").dropDuplicates(["class_key"])
+        sets = scratch(semi(self.docs, asked, "doc_id").select("text").mapInArrow(lambda b: whole_sets(b, k), "class_key long, members binary"), "whole")
         full = pairs.join(sets.select(F.col("class_key").alias("a"), F.col("members").alias("sa")), "a").join(sets.select(F.col("class_key").alias("b"), F.col("members").alias("sb")), "b")
         return scratch(full.select("a", "b", "sa", "sb").mapInArrow(lambda b: similar(b, share), "a long, b long"), "linked")
 
@@ -229,40 +231,44 @@ class GroupedPrefixJoin:
         return scratch(rows.join(several.select("token", "parts"), "token"), "open")
 
     def star(self, open_rows: DataFrame, seed: int) -> DataFrame:
-        """Each open part's members against one member of the part that leads its token's block."""
+        """Each open part's members against one member of that leading part with which it shares most tokens."""
         pick = F.struct(F.xxhash64("group_key", "root", F.lit(seed)).alias("h"), "group_key", "root", "n")
         lead = open_rows.groupBy("token").agg(F.min(pick).alias("l")).select("token", F.col("l.group_key").alias("lg"), F.col("l.root").alias("lr"), F.col("l.n").alias("ln"))
-        pairs = open_rows.join(lead, "token").filter(f"root <> lr and {self.near_in_size('n', 'ln')}").select("group_key", "root", "lg", "lr").distinct()
+        shared = open_rows.join(lead, "token").filter(f"root <> lr and {self.near_in_size('n', 'ln')}").groupBy("group_key", "root", "lg", "lr").count()
+        pairs = shared.groupBy("group_key", "root").agg(F.max(F.struct("count", "lg", "lr")).alias("m")).select("group_key", "root", "m.lg", "m.lr")
         parts = self.rooted()
         heads = parts.groupBy(F.col("group_key").alias("lg"), F.col("root").alias("lr")).agg(F.min("class_key").alias("b"))
         return pairs.join(parts, ["group_key", "root"]).select(F.col("class_key").alias("a"), "lg", "lr").join(heads, ["lg", "lr"]).select("a", "b")
 
     def cross(self, open_rows: DataFrame) -> DataFrame:
-        """All members of parts that share a token, have different roots and are near in size."""
+        """All members of parts that share enough tokens, have different roots and are near in size.
+
+        Beyond the shared prefix shingles, two sets have at most what follows the larger one's prefix in common.
+        """
+        num, den = self.share
         x, y = (open_rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("group_key", "root", "n"))) for s in "xy")
-        pairs = x.join(y, "token").filter(f"root_x < root_y and {self.near_in_size('n_x', 'n_y')}").select("group_key_x", "root_x", "group_key_y", "root_y").distinct()
+        keys = ["group_key_x", "root_x", "group_key_y", "root_y"]
+        shared = x.join(y, "token").filter(f"root_x < root_y and {self.near_in_size('n_x', 'n_y')}").groupBy(*keys, "n_x", "n_y").count()
+        most = f"(count + ({num} * greatest(n_x, n_y) + {den - 1}) div {den} - 1)"
+        pairs = shared.filter(f"{most} * {num + den} >= {num} * (n_x + n_y)").select(*keys)
         parts = self.rooted()
         a, b = (parts.select(F.col("group_key").alias(f"group_key_{s}"), F.col("root").alias(f"root_{s}"), F.col("class_key").alias(n)) for s, n in (("x", "a"), ("y", "b")))
         return pairs.join(a, ["group_key_x", "root_x"]).join(b, ["group_key_y", "root_y"]).select("a", "b")
 
-    def run(self, rounds: int = 6) -> DataFrame:
+    def run(self, rounds: int = 4) -> DataFrame:
         """doc_id, n_shingles, component_id."""
         inside = self.members.join(self.groups.filter("m > 1").select("group_key", "lead"), "group_key").select(F.col("class_key").alias("a"), F.col("lead").alias("b"))
         rows = self.open_blocks()
-        self.link(self.star(rows, 0).union(inside))
-        for seed in range(1, rounds):
+        for seed in range(rounds):
+            found = self.link(self.star(rows, seed).union(inside) if seed == 0 else self.star(rows, seed))
             rows = self.open_blocks()
             size = rows.agg(F.count("*"), F.sum("parts")).first()
-            if not size[0] or size[1] <= 16 * size[0]:  # blocks are small: all their pairs are few
-                break
-            if not self.link(self.star(rows, seed)):
+            if not found or not size[0] or size[1] <= 16 * size[0]:  # where blocks are small, all their pairs are few
                 break
-        else:
-            rows = self.open_blocks()
         self.link(self.cross(rows))
         named = self.rooted().select("class_key", "root").join(self.classes.select("class_key", "doc_id"), "class_key")
         least = named.groupBy("root").agg(F.min("doc_id").alias("component"))
-        own = named.select("class_key", "root").filter("true").join(least, "root").select("class_key", "component")
+        own = named.select("class_key", "root").join(least, "root").select("class_key", "component")
         alone = self.sets.filter("n > 0").groupBy("class_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
         moved = alone.join(own, "class_key", "left").withColumn("component_id", F.coalesce("component", "least")).filter("copies > 1 or component_id <> least").select("class_key", "component_id")
         out = self.sets.select("doc_id", F.col("n").alias("n_shingles"), "class_key").join(moved, "class_key", "left")
