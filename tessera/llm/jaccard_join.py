@@ -255,17 +255,20 @@ class GroupedPrefixJoin:
         a, b = (parts.select(F.col("group_key").alias(f"group_key_{s}"), F.col("root").alias(f"root_{s}"), F.col("class_key").alias(n)) for s, n in (("x", "a"), ("y", "b")))
         return pairs.join(a, ["group_key_x", "root_x"]).join(b, ["group_key_y", "root_y"]).select("a", "b")
 
+    def large(self, open_rows: DataFrame) -> bool:
+        """Whether blocks hold so many parts that all their pairs would be many for the number of rows."""
+        size = open_rows.agg(F.count("*"), F.sum("parts")).first()
+        return bool(size[0]) and size[1] > 16 * size[0]
+
     def run(self, rounds: int = 4) -> DataFrame:
         """doc_id, n_shingles, component_id."""
         inside = self.members.join(self.groups.filter("m > 1").select("group_key", "lead"), "group_key").select(F.col("class_key").alias("a"), F.col("lead").alias("b"))
-        rows = self.open_blocks()
-        for seed in range(rounds):
-            found = self.link(self.star(rows, seed).union(inside) if seed == 0 else self.star(rows, seed))
-            rows = self.open_blocks()
-            size = rows.agg(F.count("*"), F.sum("parts")).first()
-            if not found or not size[0] or size[1] <= 16 * size[0]:  # where blocks are small, all their pairs are few
+        rows, seed = self.open_blocks(), 0
+        while seed < rounds and self.large(rows):
+            if not self.link(self.star(rows, seed).union(inside) if seed == 0 else self.star(rows, seed)):
                 break
-        self.link(self.cross(rows))
+            rows, seed = self.open_blocks(), seed + 1
+        self.link(self.cross(rows) if seed else self.cross(rows).union(inside))
         named = self.rooted().select("class_key", "root").join(self.classes.select("class_key", "doc_id"), "class_key")
         least = named.groupBy("root").agg(F.min("doc_id").alias("component"))
         own = named.select("class_key", "root").join(least, "root").select("class_key", "component")

@@ -147,7 +147,9 @@ def word_totals(batches: Iterator[pa.RecordBatch], largest: int, buckets: int) -
             top = np.argsort(-x["counts"], kind="stable")[:largest]
             times = np.bincount(np.minimum(x["counts"], SMALL + 2), minlength=SMALL + 3)
             numbers = word_numbers(x["places"][top], row["bucket"], buckets)
-            yield pa.RecordBatch.from_pydict({"tokens": [int(x["counts"].sum())], "types": [len(x["words"])], "times": [times.tolist()], "words": [numbers.view("i8").tolist()], "counts": [x["counts"][top].tolist()]})
+            many, one = pa.list_(pa.int64()), pa.int64()
+            columns = [([int(x["counts"].sum())], one), ([len(x["words"])], one), ([times.tolist()], many), ([numbers.view("i8").tolist()], many), ([x["counts"][top].tolist()], many)]
+            yield pa.RecordBatch.from_arrays([pa.array(*c) for c in columns], ["tokens", "types", "times", "words", "counts"])
 
 
 def word_numbers(places: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
@@ -259,7 +261,8 @@ def weights(na: np.ndarray, by_count: np.ndarray, taken: np.ndarray, d: np.ndarr
 
 def bigram_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_pydict({"times": [unpack(b)["times"].tolist() for b in batch["blob"].to_pylist()]})
+        times = [unpack(b)["times"].tolist() for b in batch["blob"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(times, pa.list_(pa.int64()))], ["times"])
 
 
 def frequent_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -58,7 +58,7 @@ class Units(Generic[V]):
         if not text:
             return []
         bare, spaced = self.bare.__getitem__, self.spaced.__getitem__
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:  # other white space, or some that meets
+        if " ".join(text.split()) != text.replace("\n", " "):  # other white space, or some that meets or stands at an end
             return list(map(bare, UNITS.findall(text)))
         out: list[V] = []
         for line in text.split("\n"):
