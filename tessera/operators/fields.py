@@ -140,7 +140,135 @@ def tiff(blob: bytes) -> Iterator[Row]:
         number += 1
 
 
-HANDLERS: dict[str, Callable[[bytes], Iterator[Row]]] = {"iff": iff, "riff": iff, "ilbm": iff, "png": png, "tiff": tiff, "jpeg2000": boxes, "bmff": boxes}
+def flac(blob: bytes) -> Iterator[Row]:
+    """Metadata blocks, with the stream's numbers and the comments."""
+    names = {0: "STREAMINFO", 1: "PADDING", 2: "APPLICATION", 3: "SEEKTABLE", 4: "VORBIS_COMMENT", 5: "CUESHEET", 6: "PICTURE"}
+    at, n, last = 4, 0, False
+    while not last and at + 4 <= len(blob):
+        kind, last, size = blob[at] & 127, blob[at] >> 7 == 1, int.from_bytes(blob[at + 1 : at + 4], "big")
+        body, value = blob[at + 4 : at + 4 + size], None
+        if kind == 0 and len(body) >= 18:
+            packed = int.from_bytes(body[10:18], "big")
+            value = f"rate={packed >> 44} channels={(packed >> 41 & 7) + 1} bits={(packed >> 36 & 31) + 1} samples={packed & (1 << 36) - 1}"
+        yield (n,), at, size, str(kind), names.get(kind), "block", value
+        if kind == 4:
+            yield from (((n, i), *row) for i, row in enumerate(comments(body, at + 4)))
+        at += 4 + size
+        n += 1
+
+
+def comments(body: bytes, at: int) -> Iterator[tuple[int, int, str, str | None, str, str | None]]:
+    """Vorbis comments: position, length, tag, name, type, value."""
+    place = 4 + int.from_bytes(body[:4], "little")
+    for _ in range(min(int.from_bytes(body[place : place + 4], "little"), 10_000)):
+        size = int.from_bytes(body[place + 4 : place + 8], "little")
+        raw = body[place + 8 : place + 8 + size]
+        if len(raw) < size:
+            return
+        key, _, value = raw.decode("utf-8", "replace").partition("=")
+        yield at + place + 8, size, key, None, "comment", value
+        place += 4 + size
+
+
+def ogg(blob: bytes) -> Iterator[Row]:
+    """Pages, with the stream that each belongs to."""
+    at, n = 0, 0
+    while blob[at : at + 4] == b"OggS" and at + 27 <= len(blob):
+        flags, granule, serial, page = struct.unpack_from("<BqII", blob, at + 5)
+        segments = blob[at + 27 : at + 27 + blob[at + 26]]
+        size = 27 + len(segments) + sum(segments)
+        yield (n,), at, size, "OggS", str(serial), "page", f"number={page} granule={granule} first={flags >> 1 & 1} last={flags >> 2 & 1}"
+        at += size
+        n += 1
+
+
+def midi(blob: bytes) -> Iterator[Row]:
+    at, n = 0, 0
+    while at + 8 <= len(blob):
+        tag, size = struct.unpack_from(">4sI", blob, at)
+        value = "format=%d tracks=%d division=%d" % struct.unpack_from(">HHH", blob, at + 8) if tag == b"MThd" else None
+        yield (n,), at, min(size, len(blob) - at - 8), four(tag), None, "chunk", value
+        at += 8 + size
+        n += 1
+
+
+def id3(blob: bytes) -> Iterator[Row]:
+    """Frames of ID3v2.2 to 2.4 tags at the start of a file."""
+    if blob[:3] != b"ID3" or len(blob) < 10:
+        return
+    version, seven = blob[3], lambda b: sum((x & 127) << 7 * i for i, x in enumerate(reversed(b)))
+    end, at, n = min(len(blob), 10 + seven(blob[6:10])), 10, 0
+    wide = 3 if version == 2 else 4
+    if version > 2 and blob[5] & 0x40:
+        at += seven(blob[10:14]) if version == 4 else 4 + int.from_bytes(blob[10:14], "big")
+    while at + wide * 2 + (2 if version > 2 else 0) <= end and blob[at]:
+        tag, raw = four(blob[at : at + wide]), blob[at + wide : at + 2 * wide]
+        size = seven(raw) if version == 4 else int.from_bytes(raw, "big")
+        start = at + 2 * wide + (2 if version > 2 else 0)
+        body, value = blob[start : min(start + size, end)], None
+        if tag.startswith("T") and body:
+            codec = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1")
+            value = body[1:].decode(codec, "replace").rstrip("\0")
+        yield (n,), at, size, tag, None, "frame", value
+        at = start + size
+        n += 1
+
+
+#: EBML elements that hold others, and names of some.
+EBML_PARENTS = {0x1A45DFA3: "EBML", 0x18538067: "Segment", 0x114D9B74: "SeekHead", 0x4DBB: "Seek", 0x1549A966: "Info", 0x1654AE6B: "Tracks", 0xAE: "TrackEntry", 0xE0: "Video", 0xE1: "Audio", 0x1254C367: "Tags", 0x7373: "Tag", 0x67C8: "SimpleTag", 0x1941A469: "Attachments", 0x61A7: "AttachedFile"}
+EBML_NAMES = {0x4282: ("DocType", "s"), 0x4286: ("EBMLVersion", "u"), 0x2AD7B1: ("TimestampScale", "u"), 0x4489: ("Duration", "f"), 0x4D80: ("MuxingApp", "s"), 0x5741: ("WritingApp", "s"), 0x7BA9: ("Title", "s"), 0xD7: ("TrackNumber", "u"), 0x86: ("CodecID", "s"), 0xB0: ("PixelWidth", "u"), 0xBA: ("PixelHeight", "u"), 0xB5: ("SamplingFrequency", "f"), 0x45A3: ("TagName", "s"), 0x4487: ("TagString", "s"), 0x466E: ("FileName", "s")}
+
+
+def ebml(blob: bytes, at: int = 0, end: int | None = None, node: tuple[int, ...] = ()) -> Iterator[Row]:
+    """Elements of EBML files; one of unknown size reaches to the end of its parent."""
+    end, n = len(blob) if end is None else end, 0
+
+    def number(place: int, keep: bool) -> tuple[int, int]:
+        first = blob[place]
+        size = 9 - first.bit_length() if first else 9
+        value = int.from_bytes(blob[place : place + size], "big")
+        return size, value if keep else value & (1 << 7 * size) - 1
+
+    while at + 2 <= end:
+        a, tag = number(at, True)
+        if a > 4 or at + a >= end:
+            return
+        b, size = number(at + a, False)
+        if b > 8:
+            return
+        start = at + a + b
+        size = end - start if size == (1 << 7 * b) - 1 else min(size, end - start)
+        name, kind = (EBML_PARENTS[tag], "m") if tag in EBML_PARENTS else EBML_NAMES.get(tag, (None, ""))
+        raw = blob[start : start + size]
+        value = {"s": lambda: raw.decode("utf-8", "replace").rstrip("\0"), "u": lambda: str(int.from_bytes(raw, "big")), "f": lambda: str(struct.unpack({4: ">f", 8: ">d"}.get(size, ">0s"), raw)[0])}.get(kind, lambda: None)()
+        yield (*node, n), at, size, f"{tag:X}", name, "master" if kind == "m" else "element", value
+        if kind == "m" and len(node) < 10:
+            yield from ebml(blob, start, start + size, (*node, n))
+        at = start + size
+        n += 1
+
+
+def plist(blob: bytes) -> Iterator[Row]:
+    """Values of binary property lists, each at its path of keys."""
+    import plistlib
+
+    try:
+        root = plistlib.loads(blob, fmt=plistlib.FMT_BINARY)
+    except Exception as e:  # the parser has no common base of its errors
+        raise ValueError(f"property list: {e}") from e
+
+    def walk(value: object, node: tuple[int, ...], name: str) -> Iterator[Row]:
+        if isinstance(value, (dict, list)) and len(node) <= 10:
+            yield node, 0, len(value), name, None, "dict" if isinstance(value, dict) else "array", None
+            for i, (k, v) in enumerate(value.items() if isinstance(value, dict) else enumerate(value)):
+                yield from walk(v, (*node, i), str(k))
+        else:
+            yield node, 0, 0, name, None, type(value).__name__, value.hex() if isinstance(value, bytes) else str(value)
+
+    yield from walk(root, (0,), "")
+
+
+HANDLERS: dict[str, Callable[[bytes], Iterator[Row]]] = {"iff": iff, "riff": iff, "ilbm": iff, "png": png, "tiff": tiff, "jpeg2000": boxes, "bmff": boxes, "flac": flac, "ogg": ogg, "midi": midi, "id3": id3, "ebml": ebml, "plist": plist}
 
 
 def fields(blobs: DataFrame, kind: str | None = None) -> DataFrame:
