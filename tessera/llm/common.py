@@ -40,6 +40,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def sized(df: DataFrame, rows: int, per_task: int = 100_000) -> DataFrame:
+    """df in as many tasks as its (known) number of rows needs, where a shuffle has made more."""
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
 def bases(spark: SparkSession, counts: dict[int, int], key: str, base: str) -> DataFrame:
     """Running totals before each key, in key order; one row for each partition, so it is small."""
     rows, total = [], 0

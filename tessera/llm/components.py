@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import scratch
+from tessera.llm.common import scratch, sized
 
 
-def _large(links: DataFrame) -> DataFrame:
+def _large(links: DataFrame, n: int) -> DataFrame:
     both = links.union(links.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = sized(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), 2 * n)
+    return sized(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")), n)
 
 
-def _small(links: DataFrame) -> DataFrame:
+def _small(links: DataFrame, n: int) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+    least = sized(down.groupBy("a").agg(F.min("b").alias("m")), n)
+    return sized(down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")), n).union(least.select("a", F.col("m").alias("b")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -33,6 +33,6 @@ def components(links: DataFrame) -> DataFrame:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == before or not mark[0]:
             return now.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
-        before = mark
-        wide = _large(now).filter("a <> b").distinct()
-        now = scratch(_small(wide).filter("a <> b").distinct(), "links")
+        before, n = mark, mark[0]
+        wide = sized(_large(now, n).filter("a <> b").distinct(), n)
+        now = scratch(sized(_small(wide, n).filter("a <> b").distinct(), n), "links")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.blobs import pack, unpack
-from tessera.llm.common import documents, partitions, scratch
+from tessera.llm.common import documents, partitions, scratch, sized
 from tessera.llm.components import components
 from tessera.llm.wordhash import byte_chunks, distinct, mix, runs, shingles
 
@@ -194,6 +194,7 @@ class GroupedPrefixJoin:
         rows = self.groups.select("group_key", "lead", "n", "m", F.explode("prefix").alias("token"))
         counts = rows.groupBy("token").agg(F.count("*").alias("groups"), F.sum("m").alias("rows"))
         self.blocks = scratch(rows.join(counts.filter("rows > 1").select("token"), "token").select("token", "group_key", "lead", "n"), "blocks")
+        self.n_classes, self.n_blocks = self.classes.count(), self.blocks.count()
         self.links: DataFrame | None = None
         self.roots: DataFrame | None = None
 
@@ -204,41 +205,47 @@ class GroupedPrefixJoin:
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b: class keys) whose whole sets are similar enough."""
         pairs = scratch(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        asked = pairs.select(F.col("a").alias("class_key")).union(pairs.select("b")).distinct()
-        asked = scratch(self.classes.join(asked, "class_key", "left_semi").select("doc_id").distinct(), "asked")
-        k, share = self.k, self.share
+        n, k, share = pairs.count(), self.k, self.share
+        asked = sized(pairs.select(F.col("a").alias("class_key")).union(pairs.select("b")).distinct(), 2 * n)
+        asked = scratch(sized(self.classes.join(asked, "class_key", "left_semi").select("doc_id").distinct(), 2 * n), "asked")
         sets = scratch(semi(self.docs, asked, "doc_id").select("text").mapInArrow(lambda b: whole_sets(b, k), "class_key long, members binary"), "whole")
-        full = pairs.join(sets.select(F.col("class_key").alias("a"), F.col("members").alias("sa")), "a").join(sets.select(F.col("class_key").alias("b"), F.col("members").alias("sb")), "b")
+        first = sized(pairs.join(sets.select(F.col("class_key").alias("a"), F.col("members").alias("sa")), "a"), n, 5_000)
+        full = sized(first.join(sets.select(F.col("class_key").alias("b"), F.col("members").alias("sb")), "b"), n, 5_000)
         return scratch(full.select("a", "b", "sa", "sb").mapInArrow(lambda b: similar(b, share), "a long, b long"), "linked")
 
     def link(self, pairs: DataFrame) -> int:
         found = self.verify(pairs)
-        self.links = found if self.links is None else self.links.union(found)
-        self.roots = scratch(components(self.links), "roots")
-        return found.count()
+        n = found.count()
+        if n:
+            self.links = found if self.links is None else self.links.union(found)
+            self.roots = scratch(components(self.links), "roots")
+        return n
 
     def rooted(self) -> DataFrame:
         """members with the root of each."""
         if self.roots is None:
             return self.members.withColumn("root", F.col("class_key"))
-        return self.members.join(self.roots.withColumnRenamed("node", "class_key"), "class_key", "left").withColumn("root", F.coalesce("root", "class_key"))
+        return sized(self.members.join(self.roots.withColumnRenamed("node", "class_key"), "class_key", "left").withColumn("root", F.coalesce("root", "class_key")), self.n_classes)
 
     def open_blocks(self) -> DataFrame:
         """token, group_key, root, n: parts of groups by root, where a token's parts have several roots."""
-        parts = self.rooted().select("group_key", "root").distinct()
-        rows = self.blocks.select("token", "group_key", "n").join(parts, "group_key")
-        several = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("parts")).filter("lo <> hi")
-        return scratch(rows.join(several.select("token", "parts"), "token"), "open")
+        n = self.n_blocks
+        parts = sized(self.rooted().select("group_key", "root").distinct(), self.n_classes)
+        rows = sized(self.blocks.select("token", "group_key", "n").join(parts, "group_key"), n)
+        several = sized(rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("parts")).filter("lo <> hi"), n)
+        return scratch(sized(rows.join(several.select("token", "parts"), "token"), n), "open")
 
     def star(self, open_rows: DataFrame, seed: int) -> DataFrame:
         """Each open part's members against one member of that leading part with which it shares most tokens."""
+        n = self.n_blocks
         pick = F.struct(F.xxhash64("group_key", "root", F.lit(seed)).alias("h"), "group_key", "root", "n")
-        lead = open_rows.groupBy("token").agg(F.min(pick).alias("l")).select("token", F.col("l.group_key").alias("lg"), F.col("l.root").alias("lr"), F.col("l.n").alias("ln"))
-        shared = open_rows.join(lead, "token").filter(f"root <> lr and {self.near_in_size('n', 'ln')}").groupBy("group_key", "root", "lg", "lr").count()
-        pairs = shared.groupBy("group_key", "root").agg(F.max(F.struct("count", "lg", "lr")).alias("m")).select("group_key", "root", "m.lg", "m.lr")
+        lead = sized(open_rows.groupBy("token").agg(F.min(pick).alias("l")).select("token", F.col("l.group_key").alias("lg"), F.col("l.root").alias("lr"), F.col("l.n").alias("ln")), n)
+        shared = sized(open_rows.join(lead, "token").filter(f"root <> lr and {self.near_in_size('n', 'ln')}").groupBy("group_key", "root", "lg", "lr").count(), n)
+        pairs = sized(shared.groupBy("group_key", "root").agg(F.max(F.struct("count", "lg", "lr")).alias("m")).select("group_key", "root", "m.lg", "m.lr"), self.n_classes)
         parts = self.rooted()
-        heads = parts.groupBy(F.col("group_key").alias("lg"), F.col("root").alias("lr")).agg(F.min("class_key").alias("b"))
-        return pairs.join(parts, ["group_key", "root"]).select(F.col("class_key").alias("a"), "lg", "lr").join(heads, ["lg", "lr"]).select("a", "b")
+        heads = sized(parts.groupBy(F.col("group_key").alias("lg"), F.col("root").alias("lr")).agg(F.min("class_key").alias("b")), self.n_classes)
+        members = sized(pairs.join(parts, ["group_key", "root"]).select(F.col("class_key").alias("a"), "lg", "lr"), self.n_classes)
+        return sized(members.join(heads, ["lg", "lr"]).select("a", "b"), self.n_classes)
 
     def cross(self, open_rows: DataFrame) -> DataFrame:
         """All members of parts that share enough tokens, have different roots and are near in size.
@@ -250,28 +257,32 @@ class GroupedPrefixJoin:
         keys = ["group_key_x", "root_x", "group_key_y", "root_y"]
         shared = x.join(y, "token").filter(f"root_x < root_y and {self.near_in_size('n_x', 'n_y')}").groupBy(*keys, "n_x", "n_y").count()
         most = f"(count + ({num} * greatest(n_x, n_y) + {den - 1}) div {den} - 1)"
-        pairs = shared.filter(f"{most} * {num + den} >= {num} * (n_x + n_y)").select(*keys)
-        parts = self.rooted()
-        a, b = (parts.select(F.col("group_key").alias(f"group_key_{s}"), F.col("root").alias(f"root_{s}"), F.col("class_key").alias(n)) for s, n in (("x", "a"), ("y", "b")))
-        return pairs.join(a, ["group_key_x", "root_x"]).join(b, ["group_key_y", "root_y"]).select("a", "b")
+        pairs = scratch(shared.filter(f"{most} * {num + den} >= {num} * (n_x + n_y)").select(*keys), "parts")
+        n, parts = pairs.count(), self.rooted()
+        a, b = (parts.select(F.col("group_key").alias(f"group_key_{s}"), F.col("root").alias(f"root_{s}"), F.col("class_key").alias(c)) for s, c in (("x", "a"), ("y", "b")))
+        first = sized(pairs.join(a, ["group_key_x", "root_x"]), n + self.n_classes)
+        return sized(first.join(b, ["group_key_y", "root_y"]).select("a", "b"), n + self.n_classes)
 
     def large(self, open_rows: DataFrame) -> bool:
         """Whether blocks hold so many parts that all their pairs would be many for the number of rows."""
         size = open_rows.agg(F.count("*"), F.sum("parts")).first()
         return bool(size[0]) and size[1] > 16 * size[0]
 
-    def run(self, rounds: int = 4) -> DataFrame:
+    def run(self, rounds: int = 3) -> DataFrame:
         """doc_id, n_shingles, component_id."""
         inside = self.members.join(self.groups.filter("m > 1").select("group_key", "lead"), "group_key").select(F.col("class_key").alias("a"), F.col("lead").alias("b"))
         rows, seed = self.open_blocks(), 0
-        while seed < rounds and self.large(rows):
-            if not self.link(self.star(rows, seed).union(inside) if seed == 0 else self.star(rows, seed)):
-                break
-            rows, seed = self.open_blocks(), seed + 1
-        self.link(self.cross(rows) if seed else self.cross(rows).union(inside))
+        found = self.link(self.star(rows, seed).union(inside))
+        rows = self.open_blocks()
+        while found and seed < rounds and self.large(rows):
+            seed += 1
+            found = self.link(self.star(rows, seed))
+            rows = self.open_blocks()
+        self.link(self.cross(rows))
         named = self.rooted().select("class_key", "root").join(self.classes.select("class_key", "doc_id"), "class_key")
-        least = named.groupBy("root").agg(F.min("doc_id").alias("component"))
-        own = named.select("class_key", "root").join(least, "root").select("class_key", "component")
+        named = sized(named, self.n_classes)
+        least = sized(named.groupBy("root").agg(F.min("doc_id").alias("component")), self.n_classes)
+        own = sized(named.select("class_key", "root").join(least, "root").select("class_key", "component"), self.n_classes)
         alone = self.sets.filter("n > 0").groupBy("class_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
         moved = alone.join(own, "class_key", "left").withColumn("component_id", F.coalesce("component", "least")).filter("copies > 1 or component_id <> least").select("class_key", "component_id")
         out = self.sets.select("doc_id", F.col("n").alias("n_shingles"), "class_key").join(moved, "class_key", "left")
