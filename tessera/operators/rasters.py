@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.codecs import lzw, pcx_rle
+from tessera.operators.codecs import lzw, packbits, pcx_rle
 
 LARGEST = 10_000  # of width and height
 RASTER = "struct<width: int, height: int, channels: int, data: binary, err: string>"
@@ -151,6 +151,141 @@ def gif(blob: bytes) -> np.ndarray:
     raise ValueError("no image")
 
 
+def tga(blob: bytes) -> np.ndarray:
+    """Truevision images: palette, colour or gray, plain or run-length coded, of 8, 16, 24 or 32 bits."""
+    n_id, has_palette, kind, first, n_palette, palette_bits = struct.unpack_from("<BBBHHB", blob)
+    width, height, bits, flags = struct.unpack_from("<HHBB", blob, 12)
+    width, height = checked(width, height)
+    unit, at = (bits + 7) // 8, 18 + n_id
+    if kind & ~8 not in (1, 2, 3) or unit not in (1, 2, 3, 4):
+        raise ValueError(f"type {kind} of {bits} bits")
+    palette = blob[at : at + n_palette * ((palette_bits + 7) // 8)] if has_palette else b""
+    at += len(palette)
+    size = width * height * unit
+    if kind & 8:
+        body = bytearray()
+        while at < len(blob) and len(body) < size:
+            n = (blob[at] & 127) + 1
+            if blob[at] & 128:
+                body += blob[at + 1 : at + 1 + unit] * n
+                at += 1 + unit
+            else:
+                body += blob[at + 1 : at + 1 + unit * n]
+                at += 1 + unit * n
+    else:
+        body = blob[at : at + size]
+    pixels = padded(bytes(body), size).reshape(height * width, unit)
+    colour = lambda x, b: np.stack([(x.astype(int) @ (1 << 8 * np.arange(x.shape[1])) >> s & 31) * 255 // 31 for s in (10, 5, 0)], 1).astype(np.uint8) if b <= 16 else x[:, [2, 1, 0]]
+    if kind & 7 == 1:
+        table = np.zeros((1 << 16, 3), np.uint8)
+        wide = (palette_bits + 7) // 8
+        known = colour(np.frombuffer(palette[: len(palette) // wide * wide], np.uint8).reshape(-1, wide), palette_bits)
+        table[first : first + len(known)] = known
+        image = table[pixels.astype(int) @ (1 << 8 * np.arange(unit))]
+    elif kind & 7 == 3:
+        image = pixels[:, :1]
+    else:
+        image = np.concatenate([colour(pixels, bits), pixels[:, 3:4]], 1) if unit == 4 and flags & 15 == 8 else colour(pixels, bits)
+    image = image.reshape(height, width, -1)
+    image = image if flags & 32 else image[::-1]
+    return image[:, ::-1] if flags & 16 else image
+
+
+def sun_raster(blob: bytes) -> np.ndarray:
+    """Sun rasters of 1, 8, 24 and 32 bits, plain or run-length coded (byte 80 hexadecimal, count - 1, value)."""
+    width, height, bits, _, kind, map_kind, map_size = struct.unpack_from(">7I", blob, 4)
+    width, height = checked(width, height)
+    if bits not in (1, 8, 24, 32) or kind > 3:
+        raise ValueError(f"type {kind} of {bits} bits")
+    table, body = blob[32 : 32 + map_size], blob[32 + map_size :]
+    stride = (width * bits + 15) // 16 * 2
+    if kind == 2:
+        out, at = bytearray(), 0
+        while at < len(body) and len(out) < stride * height:
+            if body[at] == 0x80 and body[at + 1 : at + 2] != b"\0":
+                out += body[at + 2 : at + 3] * (body[at + 1] + 1 if at + 1 < len(body) else 0)
+                at += 3
+            else:
+                out.append(body[at])
+                at += 2 if body[at] == 0x80 else 1
+        body = bytes(out)
+    rows = padded(body, stride * height).reshape(height, stride)
+    if bits == 1:
+        return (1 - np.unpackbits(rows, axis=1)[:, :width, None]) * np.uint8(255)
+    if bits == 8:
+        values = rows[:, :width]
+        if map_kind == 1 and map_size >= 3:
+            n = map_size // 3
+            palette = np.zeros((256, 3), np.uint8)
+            palette[: min(n, 256)] = padded(table, 3 * n).reshape(3, n).T[:256]
+            return palette[values]
+        return values[:, :, None]
+    pixels = rows[:, : width * bits // 8].reshape(height, width, bits // 8)[:, :, bits == 32 :]
+    return pixels if kind == 3 else pixels[:, :, ::-1]
+
+
+def farbfeld(blob: bytes) -> np.ndarray:
+    """16-bit RGBA, cut to 8 bits."""
+    if blob[:8] != b"farbfeld":
+        raise ValueError("no header")
+    width, height = checked(*struct.unpack_from(">II", blob, 8))
+    return padded(blob[16:], width * height * 8).reshape(height, width, 4, 2)[:, :, :, 0]
+
+
+def macpaint(blob: bytes) -> np.ndarray:
+    """576 x 720 pixels in PackBits after a header of 512 bytes, and after a MacBinary header if there is one."""
+    start = 128 if blob[65:69] == b"PNTG" else 0
+    rows = padded(packbits(blob[start + 512 :], 72 * 720).data, 72 * 720).reshape(720, 72)
+    return ((1 - np.unpackbits(rows, axis=1)) * np.uint8(255))[:, :, None]
+
+
+def ilbm(blob: bytes) -> np.ndarray:
+    """Amiga images of up to 8 planes with a palette (half-bright and hold-and-modify too), or of 24 planes."""
+    if blob[:4] != b"FORM" or blob[8:12] not in (b"ILBM", b"PBM "):
+        raise ValueError("no ILBM")
+    chunky, at, head, table, mode, body = blob[8:12] == b"PBM ", 12, b"", b"", 0, b""
+    while at + 8 <= len(blob):
+        tag, size = blob[at : at + 4], int.from_bytes(blob[at + 4 : at + 8], "big")
+        part = blob[at + 8 : at + 8 + size]
+        head, table, body = part if tag == b"BMHD" else head, part if tag == b"CMAP" else table, part if tag == b"BODY" else body
+        mode = int.from_bytes(part[:4], "big") if tag == b"CAMG" else mode
+        at += 8 + size + size % 2
+    if len(head) < 20:
+        raise ValueError("no header")
+    width, height = checked(*struct.unpack_from(">HH", head))
+    planes, mask, packed = head[8], head[9], head[10]
+    stride = (width + 15) // 16 * 2 if not chunky else (width + 1) // 2 * 2
+    each = 1 if chunky else planes + (mask == 1)
+    size = stride * each * height
+    rows = padded(packbits(body, size).data if packed == 1 else body, size).reshape(height, each, stride)
+    palette = np.zeros((256, 3), np.uint8)
+    known = padded(table, len(table) // 3 * 3).reshape(-1, 3)[:256]
+    palette[: len(known)] = known
+    if chunky:
+        return palette[rows[:, 0, :width]]
+    bits = np.unpackbits(rows[:, :planes], axis=2)[:, :, :width].astype(np.int64)
+    values = (bits << np.arange(planes)[None, :, None]).sum(1)
+    if planes == 24:
+        return np.stack([values >> s & 255 for s in (0, 8, 16)], 2).astype(np.uint8)
+    if mode & 0x800 and planes in (6, 8):  # hold the pixel to the left and modify one of its colours
+        keep, out = planes - 2, np.zeros((height, width, 3), np.uint8)
+        left = np.repeat(palette[:1], height, 0)
+        low = values & (1 << keep) - 1
+        scaled = (low * 255 // ((1 << keep) - 1)).astype(np.uint8)
+        for x in range(width):
+            code = values[:, x] >> keep
+            left = np.where((code == 0)[:, None], palette[low[:, x]], left)
+            for wanted, channel in ((1, 2), (2, 0), (3, 1)):
+                left[:, channel] = np.where(code == wanted, scaled[:, x], left[:, channel])
+            out[:, x] = left
+        return out
+    if mode & 0x80 and planes == 6:
+        palette[32:64] = palette[:32] // 2
+    if planes > 8:
+        raise ValueError(f"{planes} planes")
+    return palette[values]
+
+
 def png_encode(image: np.ndarray, level: int = 9) -> bytes:
     """A PNG of 8 bits: gray, gray and opacity, RGB or RGBA by the number of channels."""
     height, width, channels = image.shape
@@ -185,7 +320,9 @@ def with_mask(image: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.concatenate([image[:, :, :3], mask[:, :, :1]], axis=2)
 
 
-HANDLERS: dict[str, Callable[[bytes], np.ndarray]] = {"bmp": bmp, "pnm": pnm, "pcx": pcx, "gif": gif}
+HANDLERS: dict[str, Callable[[bytes], np.ndarray]] = {
+    "bmp": bmp, "pnm": pnm, "pcx": pcx, "gif": gif, "tga": tga, "sunras": sun_raster, "farbfeld": farbfeld, "macpaint": macpaint, "ilbm": ilbm,
+}
 
 
 def raster(content: Column | str, kind: str) -> Column:

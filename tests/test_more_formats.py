@@ -122,3 +122,52 @@ def test_no_bytes_break_fields(kind, data):
         list(fields.HANDLERS[kind](starts.get(kind, b"") + data))
     except (struct.error, ValueError, IndexError):
         pass  # fields() makes a row of these
+
+
+def test_more_archives(spark):
+    import zlib
+
+    from tests.test_codecs import lzss_encode, lzw_encode
+
+    data = b"some data, some data, " * 40
+    read = lambda kind, blob: members.members(blobs(spark, blob), kind).collect()
+    arc = b"\x1a\x09" + struct.pack("<13sIHHHI", b"A.TXT", len(c := lzw_encode(data, "compress", most=13)), 0x2A21, 0, crc16_arc(data), len(data)) + c + b"\x1a\x02" + struct.pack("<13sIHHHI", b"B", 3, 0, 0, 0, 3) + b"xyz\x1a\0"
+    assert [(r.name, r.ok, r.crc_ok, bytes(r.data)) for r in read("arc", arc)] == [("A.TXT", True, True, data), ("B", True, False, b"xyz")]
+    packed = read("compress", b"\x1f\x9d\x90" + lzw_encode(data, "compress"))[0]
+    assert bytes(packed.data)[: len(data)] == data
+    assert bytes(read("mscompress", b"SZDD\x88\xf0\x273AT" + struct.pack("<I", len(data)) + lzss_encode(data, 4080, 0x20))[0].data) == data
+    dcx = b"\xb1\x68\xde\x3a" + struct.pack("<3I", 16, 20, 0) + b"aaaabbb"
+    assert [bytes(r.data) for r in read("dcx", dcx)] == [b"aaaa", b"bbb"]
+    lbr = (b"\0" + b" " * 11 + struct.pack("<HH", 0, 1)).ljust(32, b"\0") + (b"\0" + b"READ    ME " + struct.pack("<HH", 1, 1)).ljust(26, b"\0") + bytes([120]) + bytes(5)
+    assert [(r.name, bytes(r.data)) for r in read("lbr", lbr.ljust(128, b"\xff") + b"12345678".ljust(128, b"\x1a"))] == [("READ.ME", b"12345678")]
+    coder = zlib.compressobj(9, zlib.DEFLATED, -15)
+    body = b"CK" + coder.compress(data) + coder.flush()
+    entry = struct.pack("<IIHHHH", len(data), 0, 0, 0x2A21, 0, 0) + b"dir\\a.txt\0"
+    cab = b"MSCF" + struct.pack("<IIIIIBBHHHHH", 0, 0, 0, 44, 0, 3, 1, 1, 1, 0, 0, 0) + struct.pack("<IHH", 44 + len(entry), 1, 1) + entry + struct.pack("<IHH", 0, len(body), len(data)) + body
+    assert [(r.name, r.ok, bytes(r.data)) for r in read("cab", cab)] == [("dir/a.txt", True, data)]
+
+
+def test_more_images():
+    import numpy as np
+
+    from tessera.operators import rasters
+
+    rgb = np.arange(12, dtype=np.uint8).reshape(2, 2, 3) * 20
+    head = struct.pack("<BBBHHBHHHHBB", 0, 0, 2, 0, 0, 0, 0, 0, 2, 2, 24, 32)
+    assert (rasters.tga(head + rgb[:, :, ::-1].tobytes()) == rgb).all()
+    coded = head[:2] + b"\x0a" + head[3:] + b"\x81\x03\x02\x01" + b"\x01" + rgb[1, :, ::-1].tobytes()
+    assert (rasters.tga(coded)[0] == [1, 2, 3]).all() and (rasters.tga(coded)[1] == rgb[1]).all()
+    sun = struct.pack(">8I", 0x59A66A95, 2, 2, 24, 12, 1, 0, 0)
+    assert (rasters.sun_raster(sun + rgb[:, :, ::-1].tobytes()) == rgb).all()
+    sun = struct.pack(">8I", 0x59A66A95, 4, 1, 8, 0, 2, 0, 0)
+    assert rasters.sun_raster(sun + b"\x80\x02\x07\x80\x00").ravel().tolist() == [7, 7, 7, 128]
+    field = b"farbfeld" + struct.pack(">II", 1, 1) + bytes([10, 0, 20, 0, 30, 0, 255, 255])
+    assert rasters.farbfeld(field).ravel().tolist() == [10, 20, 30, 255]
+    assert rasters.macpaint(bytes(512) + b"\xb9\xff" * 720).sum() == 0
+    chunk = lambda tag, body: tag + struct.pack(">I", len(body)) + body + bytes(len(body) % 2)
+    bmhd = struct.pack(">HHhhBBBBHBBhh", 4, 1, 0, 0, 2, 0, 0, 0, 0, 1, 1, 4, 1)
+    body = b"ILBM" + chunk(b"BMHD", bmhd) + chunk(b"CMAP", bytes(range(12))) + chunk(b"BODY", b"\x50\x00\x30\x00")
+    assert rasters.ilbm(b"FORM" + struct.pack(">I", len(body)) + body)[0, :, 0].tolist() == [0, 3, 6, 9]
+    icon = struct.pack("<HHH", 0, 1, 1) + struct.pack("<BBBBHHII", 2, 1, 0, 0, 1, 24, 52, 22) + struct.pack("<IiiHHIIiiII", 40, 2, 2, 1, 24, 0, 0, 0, 0, 0, 0) + bytes([3, 2, 1, 6, 5, 4, 0, 0]) + bytes(4)
+    icon_image = list(members.ico_members(icon))[0]
+    assert rasters.bmp(icon_image.data).ravel().tolist() == [1, 2, 3, 4, 5, 6]
