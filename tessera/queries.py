@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import checksums, dates, numbers, reading, text
-from tessera.operators import byteops, codecs, identify, members, rasters, selection
+from tessera.operators import byteops, codecs, identify, members, rasters, screens, selection, sinks
 from tessera.operators.fields import fields
 from tessera.sources.blobs import blobs_from_column, slice_blob
 
@@ -248,11 +248,45 @@ def png_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields(images.select("path", rasters.png_of(images).alias("content")), "png").select("path", "tag", F.when(F.col("tag") == "IHDR", F.regexp_extract("value", r"width=(\d+) height=(\d+)", 0)).alias("size"))
 
 
+def archives_of_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation packed as a ZIP file of its turns, and read again."""
+    turns = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("path"), F.col("turn").cast("int").alias("file_id"), F.concat(F.col("turn").cast("string"), F.lit(".txt")).alias("name"),
+        F.lit(False).alias("is_dir"), F.lit(1_000_000_001).cast("long").alias("mtime_unix"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"),
+    )
+    found = members.members(sinks.as_archives(turns), "zip")
+    return found.select("path", "name", "mtime_unix", "crc_ok", F.md5("data").alias("data_md5"))
+
+
+def wav_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return props(spark, sf_dir).select("path", F.hex(sinks.as_wav("content", 8_000)).alias("bytes_hex"))
+
+
+def decode_lzss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decoded(docs(spark, sf_dir), "lzss", lambda b: b"".join(b"\xff" + b[i : i + 8] for i in range(0, len(b), 8)))
+
+
+def decode_hlp_lz77(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decoded(docs(spark, sf_dir), "hlp_lz77", lambda b: b"".join(b"\x00" + b[i : i + 8] for i in range(0, len(b), 8)))
+
+
+def all_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules that hold, not only the best one, for TAR files."""
+    made_blobs = docs(spark, sf_dir).select("path", made(as_tar).alias("content"))
+    return identify.detections(made_blobs).select("path", "format", "confidence")
+
+
+def text_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of events as character screens, 80 columns wide, and their lines again."""
+    return screens.screen_lines(screens.cells(props(spark, sf_dir), "ansiart")).select("path", "row", "line")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         identify_best, byte_frequencies, checksum_sums, checksum_crcs, split, join_turns, xor, base16, hexdump, rot13, transcode_latin1, identify_made, overlay_and_slice, number_reads, main_outputs,
         size_limits, unrepeated, changed_turns, date_conversions, colour_conversions, safe_names, members_zip, members_tar, members_gzip, decode_deflate, decode_zlib, decode_packbits, decode_rle90, rasters_bmp, png_chunks,
+        archives_of_turns, wav_files, decode_lzss, decode_hlp_lz77, all_detections, text_screens,
     )
 }
 
@@ -261,6 +295,8 @@ DOC = "select cast(doc_id as varchar) as path, coalesce(text, '') as t from docu
 BYTES = "list_transform(range(0, octet_length(b)), lambda i: ('0x' || substr(hex(b), 2 * i + 1, 2))::int::bigint)"
 #: Days from 1970 to a date whose day of the month rolls over.
 DAYS = "cast(date_diff('day', date '1970-01-01', make_date(cast({y} as int), cast({m} as int), 1)) + {d} - 1 as bigint)"
+#: A number as four bytes in hexadecimal, least first.
+LITTLE = "printf('%02X%02X%02X%02X', {0} % 256, {0} // 256 % 256, {0} // 65536 % 256, {0} // 16777216)"
 FT = "(cast({s} as bigint) + 11644473600) * 10000000"
 
 
@@ -316,7 +352,12 @@ ORACLE_SQL: dict[str, str] = {
     "members_tar": f"""select path, 0 as file_id, 'a/text.txt' as name, octet_length(encode(t)) as orig_len, true as crc_ok, md5(t) as data_md5, true as ok from ({DOC})
         union all select path, 1, repeat('b', 120), least(100, octet_length(encode(t))), true, md5(unhex(substr(hex(encode(t)), 1, 200))), true from ({DOC})""",
     "members_gzip": f"select path, 0 as file_id, '' as name, octet_length(encode(t)) as orig_len, true as crc_ok, md5(t) as data_md5, true as ok from ({DOC})",
-    "decode_deflate": whole(), "decode_zlib": whole(), "decode_packbits": whole(), "decode_rle90": whole(),
+    "decode_deflate": whole(), "decode_zlib": whole(), "decode_packbits": whole(), "decode_rle90": whole(), "decode_lzss": whole(), "decode_hlp_lz77": whole(),
+    "archives_of_turns": "select cast(conv_id as varchar) as path, cast(turn as varchar) || '.txt' as name, 1000000001 as mtime_unix, true as crc_ok, md5(coalesce(text, '')) as data_md5 from conversations",
+    "wav_files": """select path, '52494646' || le(n + n % 2 + 36) || '57415645666D74201000000001000100401F0000401F00000100080064617461' || le(n) || h || repeat('00', n % 2) as bytes_hex
+        from (select cast(event_id as varchar) as path, hex(encode(coalesce(props, ''))) as h, octet_length(encode(coalesce(props, ''))) as n from events)""".replace("le(n + n % 2 + 36)", LITTLE.format("(n + n % 2 + 36)")).replace("le(n)", LITTLE.format("n")),
+    "all_detections": f"select path, 'tar' as format, 90 as confidence from ({DOC})",
+    "text_screens": """select path, cast(i as int) as row, substr(t, 80 * i + 1, 80) as line from (select path, t, unnest(range(0, (length(t) + 79) // 80)) as i from (select cast(event_id as varchar) as path, coalesce(props, '') as t from events))""",
     "rasters_bmp": """select path, 16 as width, 10 as height, md5(unhex(array_to_string(list_transform(range(0, 160), lambda i: substr(h, 6 * i + 5, 2) || substr(h, 6 * i + 3, 2) || substr(h, 6 * i + 1, 2)), ''))) as data_md5
         from (select cast(event_id as varchar) as path, substr(hex(encode(coalesce(props, ''))) || repeat('0', 960), 1, 960) as h from events)""",
     "png_chunks": "select cast(event_id as varchar) as path, tag, case when tag = 'IHDR' then 'width=16 height=10' end as size from events, (values ('IHDR'), ('IDAT'), ('IEND')) c(tag)",
