@@ -50,7 +50,7 @@ def xor_blob(content: Column | str, key: str = "FF") -> Column:
 def hexdump(blobs: DataFrame) -> DataFrame:
     """path, row, line: 16 bytes a row as decimal offset (as wide as the last), hexadecimal and ASCII; none for an empty blob."""
     rows = blobs.filter(F.octet_length("content") > 0).select("path", "content", F.posexplode(F.expr("sequence(0, octet_length(content) - 1, 16)")).alias("row", "at"))
-    width = F.length(F.call_function("div", F.octet_length("content") - 1, F.lit(16)).cast("long").__mul__(16).cast("string"))
+    width = F.length((F.call_function("div", F.octet_length("content") - 1, F.lit(16)) * 16).cast("string"))
     piece = F.expr("substring(content, at + 1, 16)")
     digits = F.rpad(F.rtrim(F.lower(F.regexp_replace(F.hex(piece), "(..)", "$1 "))), 47, " ")
     shown = F.regexp_replace(F.decode(piece, "ISO-8859-1"), r"[^\x20-\x7E]", ".")
