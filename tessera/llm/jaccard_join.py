@@ -186,21 +186,25 @@ class GroupedPrefixJoin:
         order = docs.sparkSession.sparkContext.broadcast(shingle_order(docs, k))
         sets = self.docs.mapInArrow(lambda b: describe_sets(b, k, share, order.value), "doc_id long, n long, class_key long, group_key long, prefix array<long>")
         self.sets = scratch(sets, "sets")
+        order.unpersist()
         classes = self.sets.filter("n > 0 and size(prefix) > 0").groupBy("class_key").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "group_key", "prefix")))
         self.classes = scratch(classes, "classes")
         self.members = self.classes.select("group_key", "class_key", "n")
         self.groups = self.classes.groupBy("group_key").agg(F.min("class_key").alias("lead"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("m"))
         #: token, group_key, n of shingles that several groups have, or one group of several members.
-        rows = self.groups.select("group_key", "lead", "n", "m", F.explode("prefix").alias("token"))
+        num, den = share
+        own = F.expr(f"n - ({num} * n + {den - 1}) div {den} + 1 - size(prefix)")  # shingles that no other document has: all lie in the prefix
+        rows = self.groups.select("group_key", "n", "m", own.alias("own"), F.explode("prefix").alias("token"))
         counts = rows.groupBy("token").agg(F.count("*").alias("groups"), F.sum("m").alias("rows"))
-        self.blocks = scratch(rows.join(counts.filter("rows > 1").select("token"), "token").select("token", "group_key", "lead", "n"), "blocks")
+        self.blocks = scratch(rows.join(counts.filter("rows > 1").select("token"), "token").select("token", "group_key", "own", "n"), "blocks")
         self.n_classes, self.n_blocks = self.classes.count(), self.blocks.count()
         self.links: DataFrame | None = None
         self.roots: DataFrame | None = None
 
-    def near_in_size(self, a: str, b: str) -> str:
+    def possible(self, n: str, own: str, other_n: str, other_own: str) -> str:
+        """Whether sets of these sizes, which share none of their own shingles, can be similar enough."""
         num, den = self.share
-        return f"{den} * least({a}, {b}) >= {num} * greatest({a}, {b})"
+        return f"{den} * least({n}, {other_n}) >= {num} * greatest({n}, {other_n}) and {num + den} * least({n} - {own}, {other_n} - {other_own}) >= {num} * ({n} + {other_n})"
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b: class keys) whose whole sets are similar enough."""
@@ -228,19 +232,22 @@ class GroupedPrefixJoin:
         return sized(self.members.join(self.roots.withColumnRenamed("node", "class_key"), "class_key", "left").withColumn("root", F.coalesce("root", "class_key")), self.n_classes)
 
     def open_blocks(self) -> DataFrame:
-        """token, group_key, root, n: parts of groups by root, where a token's parts have several roots."""
+        """token, group_key, root, n, own: parts of groups by root, where a token's parts have several roots."""
         n = self.n_blocks
         parts = sized(self.rooted().select("group_key", "root").distinct(), self.n_classes)
-        rows = sized(self.blocks.select("token", "group_key", "n").join(parts, "group_key"), n)
+        rows = sized(self.blocks.join(parts, "group_key"), n)
         several = sized(rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("parts")).filter("lo <> hi"), n)
         return scratch(sized(rows.join(several.select("token", "parts"), "token"), n), "open")
 
     def star(self, open_rows: DataFrame, seed: int) -> DataFrame:
-        """Each open part's members against one member of that leading part with which it shares most tokens."""
+        """Each open part's members against one member of that leading part with which it shares most tokens.
+
+        A block is led by the part with fewest shingles of its own (later, by one with few): in a family of copies, by one close to what all come from.
+        """
         n = self.n_blocks
-        pick = F.struct(F.xxhash64("group_key", "root", F.lit(seed)).alias("h"), "group_key", "root", "n")
-        lead = sized(open_rows.groupBy("token").agg(F.min(pick).alias("l")).select("token", F.col("l.group_key").alias("lg"), F.col("l.root").alias("lr"), F.col("l.n").alias("ln")), n)
-        shared = sized(open_rows.join(lead, "token").filter(f"root <> lr and {self.near_in_size('n', 'ln')}").groupBy("group_key", "root", "lg", "lr").count(), n)
+        pick = F.struct((-F.col("own") if seed == 0 else -F.floor(F.col("own") / 4)).alias("shared"), F.xxhash64("group_key", F.lit(seed)).alias("h"), "group_key", "root", "n", "own")
+        lead = sized(open_rows.groupBy("token").agg(F.max(pick).alias("l")).select("token", F.col("l.group_key").alias("lg"), F.col("l.root").alias("lr"), F.col("l.n").alias("ln"), F.col("l.own").alias("lo")), n)
+        shared = sized(open_rows.join(lead, "token").filter(f"root <> lr and {self.possible('n', 'own', 'ln', 'lo')}").groupBy("group_key", "root", "lg", "lr").count(), n)
         pairs = sized(shared.groupBy("group_key", "root").agg(F.max(F.struct("count", "lg", "lr")).alias("m")).select("group_key", "root", "m.lg", "m.lr"), self.n_classes)
         parts = self.rooted()
         heads = sized(parts.groupBy(F.col("group_key").alias("lg"), F.col("root").alias("lr")).agg(F.min("class_key").alias("b")), self.n_classes)
@@ -253,9 +260,9 @@ class GroupedPrefixJoin:
         Beyond the shared prefix shingles, two sets have at most what follows the larger one's prefix in common.
         """
         num, den = self.share
-        x, y = (open_rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("group_key", "root", "n"))) for s in "xy")
+        x, y = (open_rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("group_key", "root", "n", "own"))) for s in "xy")
         keys = ["group_key_x", "root_x", "group_key_y", "root_y"]
-        shared = x.join(y, "token").filter(f"root_x < root_y and {self.near_in_size('n_x', 'n_y')}").groupBy(*keys, "n_x", "n_y").count()
+        shared = x.join(y, "token").filter(f"root_x < root_y and {self.possible('n_x', 'own_x', 'n_y', 'own_y')}").groupBy(*keys, "n_x", "n_y").count()
         most = f"(count + ({num} * greatest(n_x, n_y) + {den - 1}) div {den} - 1)"
         pairs = scratch(shared.filter(f"{most} * {num + den} >= {num} * (n_x + n_y)").select(*keys), "parts")
         n, parts = pairs.count(), self.rooted()
@@ -268,7 +275,7 @@ class GroupedPrefixJoin:
         size = open_rows.agg(F.count("*"), F.sum("parts")).first()
         return bool(size[0]) and size[1] > 16 * size[0]
 
-    def run(self, rounds: int = 3) -> DataFrame:
+    def run(self, rounds: int = 1) -> DataFrame:
         """doc_id, n_shingles, component_id."""
         inside = self.members.join(self.groups.filter("m > 1").select("group_key", "lead"), "group_key").select(F.col("class_key").alias("a"), F.col("lead").alias("b"))
         rows, seed = self.open_blocks(), 0

@@ -44,7 +44,7 @@ class Units(Generic[V]):
     work: the value of a unit's text. special: strings that stand for one id each.
     """
 
-    def __init__(self, work: Callable[[str], V], special: list[str], limit: int = 1_500_000, chars: int = 20_000_000):
+    def __init__(self, work: Callable[[str], V], special: list[str], limit: int = 800_000, chars: int = 20_000_000):
         self.bare = Memo(work, limit // 6, chars)
         self.spaced = Memo(lambda word: work(" " + word), limit, chars)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
