@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.blobs import pack, unpack
@@ -257,18 +257,35 @@ class GroupedPrefixJoin:
     def cross(self, open_rows: DataFrame) -> DataFrame:
         """All members of parts that share enough tokens, have different roots and are near in size.
 
-        Beyond the shared prefix shingles, two sets have at most what follows the larger one's prefix in common.
+        Beyond the shared prefix shingles, two sets have at most what follows the larger one's prefix in
+        common, so they must share some number of tokens: of the same size, at least need. Such parts then
+        meet in the first tokens of each, in one order from the rarest on, when need - 1 of each are left out.
         """
         num, den = self.share
-        x, y = (open_rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("group_key", "root", "n", "own"))) for s in "xy")
+        upper = lambda x, y: f"(({x} + {y - 1}) div {y})"
+        need = lambda x, y: f"({upper(f'{num} * ({x} + {y})', num + den)} - {upper(f'{num} * greatest({x}, {y})', den)} + 1)"
+        part = ["group_key", "root"]
+        by_part = Window.partitionBy(*part)
+        place = F.row_number().over(by_part.orderBy("parts", "token"))
+        ranked = open_rows.withColumn("left", F.count("*").over(by_part) - place + 1)
+        ranked = scratch(sized(ranked, self.n_blocks), "ranked")
         keys = ["group_key_x", "root_x", "group_key_y", "root_y"]
-        shared = x.join(y, "token").filter(f"root_x < root_y and {self.possible('n_x', 'own_x', 'n_y', 'own_y')}").groupBy(*keys, "n_x", "n_y").count()
-        most = f"(count + ({num} * greatest(n_x, n_y) + {den - 1}) div {den} - 1)"
-        pairs = scratch(shared.filter(f"{most} * {num + den} >= {num} * (n_x + n_y)").select(*keys), "parts")
-        n, parts = pairs.count(), self.rooted()
-        a, b = (parts.select(F.col("group_key").alias(f"group_key_{s}"), F.col("root").alias(f"root_{s}"), F.col("class_key").alias(c)) for s, c in (("x", "a"), ("y", "b")))
-        first = sized(pairs.join(a, ["group_key_x", "root_x"]), n + self.n_classes)
-        return sized(first.join(b, ["group_key_y", "root_y"]).select("a", "b"), n + self.n_classes)
+
+        def meet(rows: DataFrame, sizes: str) -> DataFrame:
+            x, y = (rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in (*part, "n", "own"))) for s in "xy")
+            return x.join(y, "token").filter(f"root_x < root_y and {sizes} and {self.possible('n_x', 'own_x', 'n_y', 'own_y')}").select(*keys, "n_x", "n_y").distinct()
+
+        same = meet(ranked.filter(f"left >= {need('n', 'n')}"), "n_x = n_y")
+        other = meet(ranked, "n_x <> n_y")
+        met = scratch(same.union(other), "met")
+        n = met.count() + self.n_classes
+        tokens = sized(ranked.groupBy(*part).agg(F.collect_list("token").alias("tokens")), self.n_classes)
+        tx, ty = (tokens.select(*(F.col(c).alias(f"{c}_{s}") for c in (*part, "tokens"))) for s in "xy")
+        full = sized(sized(met.join(tx, keys[:2]), n).join(ty, keys[2:]), n)
+        pairs = scratch(full.filter(f"size(array_intersect(tokens_x, tokens_y)) >= {need('n_x', 'n_y')}").select(*keys), "parts")
+        n, members = pairs.count() + self.n_classes, self.rooted()
+        a, b = (members.select(F.col("group_key").alias(f"group_key_{s}"), F.col("root").alias(f"root_{s}"), F.col("class_key").alias(c)) for s, c in (("x", "a"), ("y", "b")))
+        return sized(sized(pairs.join(a, keys[:2]), n).join(b, keys[2:]).select("a", "b"), n)
 
     def large(self, open_rows: DataFrame) -> bool:
         """Whether blocks hold so many parts that all their pairs would be many for the number of rows."""
