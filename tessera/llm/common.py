@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder in the shared folder that the cluster names in spark.checkpoint.dir.
 
@@ -21,17 +24,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
+def scratch(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends there.
 
     Unlike a local checkpoint it survives lost executors, and unlike a recomputation it
-    gives the same rows in the same places each time it is read.
+    gives the same rows in the same places each time it is read. free: the shuffles behind
+    it go as soon as it is written, not when the JVM next collects garbage.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path, conf = scratch_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(FREES)
+    conf.set(FREES, "true" if free else before)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(FREES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing will read again."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,15 +1,19 @@
-"""Scoring by a Katz backoff language model of word bigrams, learnt from part of the scored corpus.
+"""Scoring by a Katz backoff language model of runs of up to `order` words, learnt from part of the scored corpus.
 
 A known word's probability is its Good-Turing discounted share of the tokens; what discounting takes
 off goes to the one outcome "unknown". After a context, a word seen there has its discounted share of
 the context's count (and one, set aside so that the rest is never empty), and any other word has the
-context's backoff weight times its probability without the context. The weight is the rest, divided
-by the probability of all words not seen there, so the outcomes of every context add up to 1.
+context's backoff weight times its probability after the context without its first word. The weight is
+the rest, divided by the probability of all words not seen there, so the outcomes of every context add
+up to 1. Contexts are the words before, order - 1 of them at most, back to the end that stands before a
+text's first word; a context that was never seen has the weight 1.
 
 How it runs, over T tokens: texts become blocks of word numbers with their own vocabularies. Counts
-of words and of bigrams are kept in partitioned tables by hash; blocks ask the partitions for what
-they hold, in compressed arrays, so what is moved is a few bytes for each distinct bigram of a block.
-A word so frequent that its bigrams would outgrow a partition has them dealt by both words.
+of words and of grams (runs of words) are kept in partitioned tables by hash, one table for each length.
+Blocks tell the partitions their distinct grams and are told the counts, in compressed arrays, so what is
+moved is a few bytes for each distinct gram of a block. A gram's number in its table stands for it as the
+context of longer ones. A context so frequent that its grams would outgrow a partition has them dealt by
+the context and the word.
 """
 
 from __future__ import annotations
@@ -20,11 +24,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.blobs import pack, unpack
-from tessera.llm.common import documents, partitions, scratch
+from tessera.llm.common import discard, documents, partitions, scratch
 from tessera.llm.wordhash import byte_chunks, mix, runs
 
 #: The end of a text, which also stands before its first word.
@@ -32,6 +36,8 @@ END = np.uint64(0x9E3779B97F4A7C15)
 #: Good-Turing discounts apply to counts up to this.
 SMALL = 5
 BLOCK_TOKENS = 1_000_000
+#: So many of a partition's grams are looked at for frequent ones.
+LARGEST = 32
 
 
 def discounts(of: np.ndarray) -> np.ndarray:
@@ -51,6 +57,10 @@ def discounts(of: np.ndarray) -> np.ndarray:
     return d
 
 
+def discounted(count: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.where(count <= SMALL, d[np.minimum(count, SMALL)], 1.0) * count
+
+
 @dataclass
 class Unigrams:
     """Tokens and types of the training texts, discounts, and the probability of the outcome "unknown"."""
@@ -68,8 +78,7 @@ class Unigrams:
         return Unigrams(tokens, types, d, (freed + 1) / (tokens + 1))
 
     def probability(self, count: np.ndarray) -> np.ndarray:
-        small = self.discount[np.minimum(count, SMALL)] * (count <= SMALL) + (count > SMALL)
-        return np.where(count > 0, small * count / (self.tokens + 1), self.unknown)
+        return np.where(count > 0, discounted(count, self.discount) / (self.tokens + 1), self.unknown)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -109,6 +118,17 @@ def pieces(rows: list[tuple[int, int, bytes]], names: tuple[str, str] = ("bucket
 
 PIECES = "bucket long, block long, blob binary"
 OWN = -1  # in place of a block's number: the partition's own rows
+TEXTS = 0  # in place of a gram's length: the block's texts
+
+
+@dataclass
+class Length:
+    """What the driver knows of the grams of one length: their discounts, the frequent ones' numbers (sorted), and weights of frequent contexts (by number, sorted)."""
+
+    d: np.ndarray
+    often: np.ndarray
+    heavy: np.ndarray
+    weight: np.ndarray
 
 
 def dealt(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -139,83 +159,140 @@ def count_words(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([pieces([*rows, (bucket, OWN, pack(words=words[known], places=known.astype("u8"), counts=counts[known]))])])
 
 
-def word_totals(batches: Iterator[pa.RecordBatch], largest: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Of each partition of the word table: tokens, types, numbers of types by small counts, and its most frequent words by number."""
+def totals(batches: Iterator[pa.RecordBatch], largest: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Of each partition of a table: tokens, types, numbers of types by small counts, and its most frequent grams by number."""
     for batch in batches:
         for row in batch.to_pylist():
             x = unpack(row["blob"])
             top = np.argsort(-x["counts"], kind="stable")[:largest]
             times = np.bincount(np.minimum(x["counts"], SMALL + 2), minlength=SMALL + 3)
-            numbers = word_numbers(x["places"][top], row["bucket"], buckets)
+            numbers = place_numbers(x["places"][top], row["bucket"], buckets)
             many, one = pa.list_(pa.int64()), pa.int64()
-            columns = [([int(x["counts"].sum())], one), ([len(x["words"])], one), ([times.tolist()], many), ([numbers.view("i8").tolist()], many), ([x["counts"][top].tolist()], many)]
+            columns = [([int(x["counts"].sum())], one), ([len(x["counts"])], one), ([times.tolist()], many), ([numbers.view("i8").tolist()], many), ([x["counts"][top].tolist()], many)]
             yield pa.RecordBatch.from_arrays([pa.array(*c) for c in columns], ["tokens", "types", "times", "words", "counts"])
 
 
-def word_numbers(places: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
-    """One number for each word, from its place in its partition: small ones, which travel in few bytes."""
+def place_numbers(places: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    """One number for each word or gram, from its place in its partition: small ones, which travel in few bytes."""
     return places * np.uint64(buckets) + np.uint64(bucket)
 
 
-def ask_bigrams(left: pa.Table, right: pa.Table, buckets: int, often: np.ndarray, model: Unigrams) -> pa.Table:
-    """One block with its words' counts: its bigrams for each partition, and what its texts' unigrams say.
+@dataclass
+class Grams:
+    """A block's distinct grams of one length: their numbers (sorted) and counts, the counts of their contexts, and each token's own gram (-1: the text starts too late for one)."""
 
-    left: the block; right: the answers. Words go by their numbers. Rows for partitions have those of both places with counts, the
-    distinct bigrams with their training counts, and the texts that each occurs in.
-    """
-    block = left["block"][0].as_py()
-    x = unpack(left["texts"][0].as_py())
-    sizes, by = x["sizes"], x["by"]
-    numbers, counts = np.zeros(len(by), "u8"), np.zeros(len(by), "i8")
-    for r in right.to_pylist():
-        answer = unpack(r["blob"])
-        numbers[by == r["bucket"]] = word_numbers(answer["places"], r["bucket"], buckets)
-        counts[by == r["bucket"]] = answer["counts"]
+    numbers: np.ndarray
+    counts: np.ndarray
+    context_counts: np.ndarray
+    at: np.ndarray
+
+
+@dataclass
+class Met:
+    """A block's distinct grams by context and word, as places among its shorter grams and words; where: the tokens that end one, inverse: which."""
+
+    where: np.ndarray
+    inverse: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    own: list[tuple[int, np.ndarray]]
+
+
+class Block:
+    """A block's texts with what the tables have answered so far, by length."""
+
+    def __init__(self, rows: list[dict], buckets: int, model: Unigrams):
+        self.answers: dict[int, dict[int, dict]] = {}
+        for r in rows:
+            self.answers.setdefault(r["level"], {})[r["bucket"]] = unpack(r["blob"])
+        self.x = x = self.answers.pop(TEXTS)[0]
+        self.buckets = buckets
+        numbers, counts = np.zeros(len(x["by"]), "u8"), np.zeros(len(x["by"]), "i8")
+        for b, answer in self.answers.pop(1, {}).items():
+            own = x["by"] == b
+            numbers[own] = place_numbers(answer["places"], b, buckets)
+            counts[own] = answer["counts"]
+        order, rank = ranks(numbers)
+        self.ids, self.end = rank[x["ids"]], rank[x["end"][0]]
+        self.words = Grams(numbers[order], counts[order], np.full(len(order), model.tokens), self.ids)
+        self.sizes = x["sizes"]
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.offset = np.arange(len(self.ids)) - (np.cumsum(self.sizes) - self.sizes)[self.doc]
+
+    def met(self, n: int, below: Grams, often: np.ndarray) -> Met:
+        """The grams of n words, and which of them each partition holds."""
+        where = np.flatnonzero(self.offset >= n - 2)
+        before = below.at[where - 1]
+        if n == 2:
+            before[self.offset == 0] = self.end
+        size = len(self.words.numbers)
+        pair, inverse = np.unique(before * size + self.ids[where], return_inverse=True)
+        first, second = np.divmod(pair, size)
+        context = below.numbers[first]
+        bucket = dealt(np.where(np.isin(context, often), context + mix(self.words.numbers[second]), context), self.buckets)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        return Met(where, inverse, first, second, [(b, order[cuts[b] : cuts[b + 1]]) for b in range(self.buckets) if cuts[b] < cuts[b + 1]])
+
+    def grams(self, n: int, below: Grams, met: Met) -> Grams:
+        """The grams of n words by the numbers and counts that the tables gave them."""
+        numbers, counts = np.zeros(len(met.first), "u8"), np.zeros(len(met.first), "i8")
+        for b, own in met.own:
+            answer = self.answers[n][b]
+            numbers[own] = place_numbers(answer["places"], b, self.buckets)
+            counts[own] = answer["counts"]
+        order, rank = ranks(numbers)
+        at = np.full(len(self.ids), -1)
+        at[met.where] = rank[met.inverse]
+        return Grams(numbers[order], counts[order], below.counts[met.first[order]], at)
+
+
+def ranks(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(numbers)
     rank = np.empty(len(order), "i8")
     rank[order] = np.arange(len(order))
-    words, counts, ids, end = numbers[order], counts[order], rank[x["ids"]], rank[x["end"][0]]
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    base = np.log10((counts + 1) / (model.tokens + model.types + 1))
-    said = pack(doc_id=x["doc_id"], known=x["known"], held=x["held"], sizes=sizes, n_known=np.bincount(doc, counts[ids] > 0, len(sizes)).astype("i8"), base=np.bincount(doc, base[ids], len(sizes)))
-    before = np.roll(ids, 1)
-    before[np.cumsum(sizes) - sizes] = end
-    pair, inverse, times = np.unique(before * len(words) + ids, return_inverse=True, return_counts=True)
-    first, second = np.divmod(pair, len(words))
-    train = np.bincount(inverse[np.repeat(~x["held"], sizes)], minlength=len(pair))
-    hot = np.isin(words[first], often)
-    bucket = dealt(np.where(hot, words[first] + mix(words[second]), words[first]), buckets)
-    where = doc[np.argsort(inverse, kind="stable")]  # the texts of each bigram, one after another
-    start = np.cumsum(times) - times
-    rows = [(buckets + block, block, said)]
-    for b in range(buckets):
-        own = np.flatnonzero(bucket == b)
-        if len(own):
-            a, ai = np.unique(first[own], return_inverse=True)
-            z, zi = np.unique(second[own], return_inverse=True)
-            n = times[own]
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[own], n)
-            rows.append((b, block, pack(a=words[a], na=counts[a], z=words[z], nz=counts[z], pairs=(ai * len(z) + zi).astype("u8"), train=train[own], times=n, doc=where[at], docs=np.array([len(sizes)]))))
-    return pa.Table.from_batches([pieces(rows)])
+    return order, rank
 
 
-def count_bigrams(table: pa.Table, often: np.ndarray, model: Unigrams) -> pa.Table:
-    """A partition of the bigram table, and what it means to each block's texts.
+def ask_grams(number: int, found: list[dict], n: int, buckets: int, known: list[Length], model: Unigrams) -> pa.RecordBatch:
+    """One block with the answers on all shorter grams: its grams of n words for each partition.
 
-    For each block: seen, the logarithms of r / (context's count + 1) over bigrams seen r times and of
-    the word's own probability over others; small, tokens with r from 1 to SMALL; and the contexts of
-    those others with what their weights follow from. Discounts are not known yet. The partition's own
-    rows: numbers of bigrams by small counts, and its part of the frequent contexts.
+    Rows have the contexts' numbers, their counts (na) and those of their own ends' contexts (sa), the words' numbers,
+    the distinct grams with their training counts, and for those that are not 0 the counts of the grams without their first words (ns).
+    """
+    block = Block(found, buckets, model)
+    below = block.words
+    for m in range(2, n):
+        below = block.grams(m, below, block.met(m, below, known[m - 2].often))
+    met = block.met(n, below, known[n - 2].often)
+    train = np.bincount(met.inverse[np.repeat(~block.x["held"], block.sizes)[met.where]], minlength=len(met.first))
+    end = np.empty(len(met.first), "i8")
+    end[met.inverse] = below.at[met.where]
+    ns, shorter = below.counts[end], below.context_counts[end]
+    rows = []
+    for b, own in met.own:
+        a, start, ai = np.unique(met.first[own], return_index=True, return_inverse=True)
+        z, zi = np.unique(met.second[own], return_inverse=True)
+        taught = train[own] > 0
+        rows.append((b, number, pack(a=below.numbers[a], na=below.counts[a], sa=shorter[own][start], z=block.words.numbers[z], pairs=(ai * len(z) + zi).astype("u8"), train=train[own], ns=ns[own][taught])))
+    return pieces(rows)
+
+
+def count_grams(table: pa.Table, d: np.ndarray, often: np.ndarray, last: bool) -> pa.Table:
+    """A partition of the table of one length, and its answers to each block.
+
+    An answer has the counts of the grams as they were asked, their places in the partition (not for the last length),
+    and what the weights follow from of those contexts that back off in the block. d: discounts of the grams one
+    word shorter; those of this length are not known yet. The partition's own rows: numbers of grams by small
+    counts, the most frequent grams, and its part of the frequent contexts.
     """
     bucket = table["bucket"][0].as_py()
     asked = [(r["block"], unpack(r["blob"])) for r in table.to_pylist()]
-    if "base" in asked[0][1]:  # what a block's unigrams say passes through
-        return table
     column = lambda name: np.concatenate([x[name] for _, x in asked])
     first, ai = np.unique(column("a"), return_inverse=True)
     second, zi = np.unique(column("z"), return_inverse=True)
-    na, nz = np.zeros(len(first), "i8"), np.zeros(len(second), "i8")
-    na[ai], nz[zi] = column("na"), column("nz")
+    na, sa = np.zeros(len(first), "i8"), np.zeros(len(first), "i8")
+    na[ai], sa[ai] = column("na"), column("sa")
     a0 = z0 = 0
     codes = []
     for _, x in asked:
@@ -223,46 +300,47 @@ def count_bigrams(table: pa.Table, often: np.ndarray, model: Unigrams) -> pa.Tab
         codes.append(ai[a0 : a0 + len(x["a"])][own_a] * len(second) + zi[z0 : z0 + len(x["z"])][own_z])
         a0, z0 = a0 + len(x["a"]), z0 + len(x["z"])
     pair, inverse = np.unique(np.concatenate(codes), return_inverse=True)
-    r = np.bincount(inverse, column("train")).astype("i8")
-    pa_, pz = np.divmod(pair, len(second))
-    plain = model.probability(nz)
+    train = column("train")
+    r = np.bincount(inverse, train, len(pair)).astype("i8")
+    ns = np.zeros(len(pair), "i8")
+    ns[inverse[train > 0]] = column("ns")
+    context = pair // len(second)
     seen = r > 0
-    by_count = np.bincount(pa_[seen] * (SMALL + 2) + np.minimum(r[seen], SMALL + 1), minlength=len(first) * (SMALL + 2)).reshape(len(first), SMALL + 2)
-    taken = np.bincount(pa_[seen], plain[pz[seen]], len(first))
-    value = np.where(seen, np.log10(np.maximum(r, 1) / (na[pa_] + 1)), np.log10(plain[pz]))
+    by_count = np.bincount(context[seen] * (SMALL + 2) + np.minimum(r[seen], SMALL + 1), minlength=len(first) * (SMALL + 2)).reshape(len(first), SMALL + 2)
+    taken = np.bincount(context[seen], discounted(ns[seen], d) / (sa[context[seen]] + 1), len(first))
+    part = lambda used: {"taken": taken[used], "by_count": by_count[used].ravel()}
     rows, at = [], 0
     for (block, x), code in zip(asked, codes, strict=True):
         own = inverse[at : at + len(code)]
         at += len(code)
-        docs, n = int(x["docs"][0]), x["times"]
-        each, doc = np.repeat(own, n), x["doc"]
-        total = np.bincount(doc, value[each], docs)
-        count = r[each]
-        few = (count > 0) & (count <= SMALL)
-        small = np.bincount(doc[few] * SMALL + count[few] - 1, minlength=docs * SMALL)
-        back = (count == 0) & (na[pa_[each]] > 0)
-        key, many = np.unique(doc[back] * len(first) + pa_[each][back], return_counts=True)
-        where, context = np.divmod(key, len(first))
-        used, context = np.unique(context, return_inverse=True)
-        rows.append((bucket, block, pack(seen=total, small=small, where=where, many=many, context=context, a=first[used], na=na[used], taken=taken[used], by_count=by_count[used].ravel())))
+        used = backing(r[own], na[context[own]], context[own])
+        rows.append((bucket, block, pack(counts=r[own], **part(used), **({} if last else {"places": own.astype("u8")}))))
     hot = np.flatnonzero(np.isin(first, often))
+    top = np.sort(np.argsort(-r, kind="stable")[:LARGEST])
     times = np.bincount(np.minimum(r, SMALL + 2), minlength=SMALL + 3)
-    rows.append((bucket, OWN, pack(times=times, a=first[hot], na=na[hot], taken=taken[hot], by_count=by_count[hot].ravel())))
+    rows.append((bucket, OWN, pack(times=times, places=top.astype("u8"), counts=r[top], a=first[hot], na=na[hot], **part(hot))))
     return pa.Table.from_batches([pieces(rows)])
 
 
+def backing(r: np.ndarray, na: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """The contexts, in order, of grams that are not seen after a context that is."""
+    return np.unique(context[(r == 0) & (na > 0)])
+
+
 def weights(na: np.ndarray, by_count: np.ndarray, taken: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Backoff weights of contexts: counts, numbers of bigrams seen r times (rows of SMALL + 2), and the own probability of all words seen."""
+    """Backoff weights of contexts: counts, numbers of grams seen r times (rows of SMALL + 2), and the probability, without the context's first word, of all words seen."""
     small = np.arange(1, SMALL + 1)
     n = by_count.reshape(-1, SMALL + 2)[:, 1 : SMALL + 1]
     kept = (na - n @ small + n @ (d[1:] * small)) / (na + 1)
     return (1 - kept) / np.maximum(1 - taken, 1e-12)
 
 
-def bigram_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def gram_totals(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        times = [unpack(b)["times"].tolist() for b in batch["blob"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(times, pa.list_(pa.int64()))], ["times"])
+        for row in batch.to_pylist():
+            x = unpack(row["blob"])
+            lists = [x["times"].tolist(), place_numbers(x["places"], row["bucket"], buckets).view("i8").tolist(), x["counts"].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.list_(pa.int64())) for v in lists], ["times", "words", "counts"])
 
 
 def frequent_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,66 +351,104 @@ def frequent_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_pydict({"word": x["a"].view("i8"), "na": x["na"], "taken": x["taken"], **{f"n{r}": n[:, r] for r in range(SMALL + 2)}})
 
 
-def finish(batches: Iterator[pa.RecordBatch], d: np.ndarray, often: np.ndarray, often_weight: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of one partition and block: the logarithm that its bigrams add to each text."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            x = unpack(row["blob"])
-            if "base" in x:
-                yield pieces([(row["bucket"], row["block"], row["blob"])])
-                continue
-            score = x["seen"] + x["small"].reshape(-1, SMALL) @ np.log10(d[1:])
-            if len(x["many"]):
-                weight = weights(x["na"], x["by_count"], x["taken"], d)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, x["a"]), len(often) - 1)
-                    weight = np.where(often[at] == x["a"], often_weight[at], weight)
-                score += np.bincount(x["where"], x["many"] * np.log10(weight[x["context"]]), len(score))
-            yield pieces([(row["bucket"], row["block"], pack(score=score))])
-
-
-def add_up(table: pa.Table, tokens: int) -> pa.Table:
-    rows = [unpack(r["blob"]) for r in table.sort_by("bucket").to_pylist()]
-    x = next(r for r in rows if "base" in r)
-    score = sum((r["score"] for r in rows if "score" in r), np.zeros(len(x["sizes"])))
+def score(table: pa.Table, buckets: int, known: list[Length], model: Unigrams) -> pa.Table:
+    """One block with all answers: its texts' rows. known[n - 2] has the frequent contexts of the grams of n words, known[n - 1] their discounts."""
+    block = Block(table.to_pylist(), buckets, model)
+    x, below, docs = block.x, block.words, len(block.sizes)
+    value = np.log10(model.probability(below.counts))[block.ids]
+    base = np.log10((below.counts + 1) / (model.tokens + model.types + 1))
+    for n in range(2, len(known) + 1):
+        met, length, d = block.met(n, below, known[n - 2].often), known[n - 2], known[n - 1].d
+        r, na = np.zeros(len(met.first), "i8"), below.counts[met.first]
+        weight = np.ones(len(below.counts))
+        for b, own in met.own:
+            answer = block.answers[n][b]
+            r[own] = answer["counts"]
+            used = backing(r[own], na[own], met.first[own])
+            weight[used] = weights(below.counts[used], answer["by_count"], answer["taken"], d)
+        if len(length.heavy):
+            at = np.minimum(np.searchsorted(length.heavy, below.numbers), len(length.heavy) - 1)
+            weight = np.where(length.heavy[at] == below.numbers, length.weight[at], weight)
+        seen = (r > 0)[met.inverse]
+        own = np.log10(np.where(r > 0, discounted(r, d) / (na + 1), weight[met.first]))[met.inverse]
+        value[met.where] = np.where(seen, own, own + value[met.where])
+        if n < len(known):
+            below = block.grams(n, below, met)
     return pa.table({
         "doc_id": pa.array(x["doc_id"].view("i8"), mask=~x["known"]),
-        "held_out": pa.array(x["held"]), "n_tokens": x["sizes"], "n_known": x["n_known"],
-        "train_tokens": np.full(len(score), tokens), "base_score": x["base"], "score": score,
+        "held_out": pa.array(x["held"]), "n_tokens": block.sizes, "n_known": np.bincount(block.doc, block.words.counts[block.ids] > 0, docs).astype("i8"),
+        "train_tokens": np.full(docs, model.tokens), "base_score": np.bincount(block.doc, base[block.ids], docs), "score": np.bincount(block.doc, value, docs),
     })
 
 
-def katz_scores(docs: DataFrame, held: Column) -> DataFrame:
+def katz_scores(docs: DataFrame, held: Column, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; texts that are not held teach.
 
-    A null text is an empty one: its only token is its end. Repeated rows stay and count each time.
-    Without a text to learn from, every token is "unknown", with probability 1.
+    order: words of the longest grams, from 1. A null text is an empty one: its only token is its end. Repeated rows stay
+    and count each time. Without a text to learn from, every token is "unknown", with probability 1.
     """
+    if order < 1:
+        raise ValueError("order must be 1 or more")
     spark = docs.sparkSession
-    buckets = partitions(spark)
+    buckets = partitions(spark) * max(1, order - 1)  # blocks have more distinct grams the longer these are
     cut = scratch(docs.select("doc_id", "text", held.alias("held")).mapInArrow(lambda b: blocks(b, buckets), "block long, texts binary, words binary"), "blocks")
-    words = scratch(cut.mapInArrow(lambda b: ask_words(b, buckets), PIECES).groupBy("bucket").applyInArrow(count_words, PIECES), "words")
-    totals = words.filter(F.col("block") == OWN).mapInArrow(lambda b: word_totals(b, 32, buckets), "tokens long, types long, times array<long>, words array<long>, counts array<long>").collect()
-    tokens = sum(r["tokens"] for r in totals)
-    times = np.sum([r["times"] for r in totals], axis=0, dtype="i8") if totals else np.zeros(SMALL + 3, "i8")
-    model = Unigrams.of(tokens, sum(r["types"] for r in totals), times)
-    often = np.sort(np.array([w for r in totals for w, c in zip(r["words"], r["counts"], strict=True) if c * buckets > tokens], "i8").view("u8"))
-    answers = words.filter(F.col("block") != OWN)
-    asked = cut.select("block", "texts").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda x, y: ask_bigrams(x, y, buckets, often, model), PIECES)
-    table = scratch(asked.groupBy("bucket").applyInArrow(lambda t: count_bigrams(t, often, model), PIECES), "bigrams")
-    own = table.filter(F.col("block") == OWN).select("blob")
-    numbers = own.mapInArrow(bigram_numbers, "times array<long>").collect()  # one row for each partition
-    d = discounts(np.sum([r["times"] for r in numbers], axis=0, dtype="i8") if numbers else np.zeros(SMALL + 3, "i8"))
+    words = scratch(cut.mapInArrow(lambda b: ask_words(b, buckets), PIECES).groupBy("bucket").applyInArrow(count_words, PIECES), "words", free=True)
+    found = words.filter(F.col("block") == OWN).mapInArrow(lambda b: totals(b, LARGEST, buckets), "tokens long, types long, times array<long>, words array<long>, counts array<long>").collect()
+    tokens = sum(r["tokens"] for r in found)
+    model = Unigrams.of(tokens, sum(r["types"] for r in found), added(found))
+    none = np.zeros(0)
+    known = [Length(model.discount, frequent(found, buckets, tokens), none, none)]
+    rows = cut.select(F.lit(TEXTS).alias("level"), F.lit(0).cast("long").alias("bucket"), "block", F.col("texts").alias("blob")).union(answers(words, 1))
+    read = [cut, words]
+    for n in range(2, order + 1):
+        whole = scratch(rows.groupBy("block").agg(F.collect_list(F.struct("level", "bucket", "blob")).alias("rows")), f"blocks-{n}", free=True)
+        discard(*read)
+        table = scratch(counted(whole, n, buckets, list(known), model, n == order), f"grams-{n}", free=True)
+        own = table.filter(F.col("block") == OWN).select("bucket", "blob")
+        found = own.mapInArrow(lambda b: gram_totals(b, buckets), "times array<long>, words array<long>, counts array<long>").collect()  # one row for each partition
+        d = discounts(added(found))
+        known[-1].heavy, known[-1].weight = frequent_weights(own, d)
+        known.append(Length(d, frequent(found, buckets, tokens), none, none))
+        rows = whole.select("block", F.inline("rows")).select("level", "bucket", "block", "blob").union(answers(table, n))
+        read = [whole, table]
+    return rows.groupBy("block").applyInArrow(lambda t: score(t, buckets, known, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def counted(whole: DataFrame, n: int, buckets: int, known: list[Length], model: Unigrams, last: bool) -> DataFrame:
+    """The table of the grams of n words, and its answers."""
+    d, often = known[-1].d, known[-1].often
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, rows in zip(batch["block"].to_pylist(), batch["rows"], strict=True):
+                yield ask_grams(block, rows.as_py(), n, buckets, known, model)
+
+    asked = whole.mapInArrow(ask, PIECES)
+    return asked.groupBy("bucket").applyInArrow(lambda t: count_grams(t, d, often, last), PIECES)
+
+
+def answers(table: DataFrame, n: int) -> DataFrame:
+    return table.filter(F.col("block") != OWN).select(F.lit(n).alias("level"), "bucket", "block", "blob")
+
+
+def added(found: list[Row]) -> np.ndarray:
+    return np.sum([r["times"] for r in found], axis=0, dtype="i8") if found else np.zeros(SMALL + 3, "i8")
+
+
+def frequent(found: list[Row], buckets: int, tokens: int) -> np.ndarray:
+    """Numbers of the grams that are more than a partition's share of the tokens."""
+    return np.sort(np.array([w for r in found for w, c in zip(r["words"], r["counts"], strict=True) if c * buckets > tokens], "i8").view("u8"))
+
+
+def frequent_weights(own: DataFrame, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     counts = [f"n{r}" for r in range(SMALL + 2)]
-    parts = own.mapInArrow(frequent_contexts, f"word long, na long, taken double, {', '.join(f'{c} long' for c in counts)}")
-    frequent = parts.groupBy("word").agg(F.max("na").alias("na"), F.sum("taken").alias("taken"), *(F.sum(c).alias(c) for c in counts)).toPandas()
-    names = frequent["word"].to_numpy("i8").view("u8")
-    heavy = weights(frequent["na"].to_numpy(), frequent[counts].to_numpy(), frequent["taken"].to_numpy(), d)[np.argsort(names)]
-    names = np.sort(names)
-    done = table.filter(F.col("block") != OWN).mapInArrow(lambda b: finish(b, d, names, heavy), PIECES)
-    return done.groupBy("block").applyInArrow(lambda t: add_up(t, tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    parts = own.select("blob").mapInArrow(frequent_contexts, f"word long, na long, taken double, {', '.join(f'{c} long' for c in counts)}")
+    whole = parts.groupBy("word").agg(F.max("na").alias("na"), F.sum("taken").alias("taken"), *(F.sum(c).alias(c) for c in counts)).toPandas()
+    names = whole["word"].to_numpy("i8").view("u8")
+    weight = weights(whole["na"].to_numpy(), whole[counts].to_numpy(), whole["taken"].to_numpy(), d)
+    return np.sort(names), weight[np.argsort(names)]
 
 
 def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's probability under a model learnt from those that are not held out."""
-    return katz_scores(documents(spark, sf_dir), held_out())
+    """Every document's probability under a model of order three, learnt from those that are not held out."""
+    return katz_scores(documents(spark, sf_dir), held_out(), 3)

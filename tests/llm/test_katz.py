@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.llm.util import ODD, documents, prose, words
 
-from tessera.llm.katz import SMALL, discounts, katz_scores
+from tessera.llm.katz import SMALL, discounts, katz_scores, op5_katz_backoff
 
 
 def plain(texts, held):
@@ -61,3 +61,63 @@ def test_odd_tables(spark):
     assert [r.doc_id for r in katz_scores(nulls, F.lit(False)).collect()] == [None, None]
     negative = documents(spark, ["a"]).selectExpr("-5L as doc_id", "text")
     assert katz_scores(negative, F.lit(False)).first().doc_id == -5
+
+
+def any_order(texts, held, order):
+    """Scores by the recursion itself, over dictionaries; every context's outcomes are added up."""
+    grams = [Counter() for _ in range(order + 1)]
+    padded = [[None, *words(t), None] for t in texts]
+    for t, h in zip(padded, held, strict=True):
+        if not h:
+            grams[1].update(t[1:])
+            for n in range(2, order + 1):
+                grams[n].update(tuple(t[i - n + 1 : i + 1]) for i in range(max(1, n - 1), len(t)))
+    d = [None, *(discounts(np.bincount([min(c, SMALL + 2) for c in g.values()], minlength=SMALL + 3)) for g in grams[1:])]
+    share = lambda n, c: (d[n][c] if c <= SMALL else 1) * c
+    total = sum(grams[1].values())
+    unknown = (sum(c - share(1, c) for c in grams[1].values()) + 1) / (total + 1)
+    after = defaultdict(dict)
+    for n in range(2, order + 1):
+        for g, c in grams[n].items():
+            after[g[:-1]][g[-1]] = share(n, c)
+    times = {k: sum(grams[len(k) + 1][*k, w] for w in v) for k, v in after.items()}
+    weight = {}
+
+    def p(context, w):
+        if not context:
+            return share(1, grams[1][w]) / (total + 1) if grams[1][w] else unknown
+        if context not in after:
+            return p(context[1:], w)
+        if w in after[context]:
+            return after[context][w] / (times[context] + 1)
+        if context not in weight:
+            weight[context] = (1 - sum(after[context].values()) / (times[context] + 1)) / (1 - sum(p(context[1:], v) for v in after[context]))
+        return weight[context] * p(context[1:], w)
+
+    for context in list(after)[:: max(1, len(after) // 50)]:  # exactly normalised
+        assert sum(p(context, w) for w in [*grams[1], "never seen"]) == pytest.approx(1)
+    return [sum(math.log10(p(tuple(t[max(0, i - order + 1) : i]), t[i])) for i in range(1, len(t))) for t in padded]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize("buckets", ["1", "4"])
+def test_orders(spark, monkeypatch, buckets, order):
+    monkeypatch.setattr("tessera.llm.wordhash.CHUNK", 1 << 12)
+    texts = [*ODD, *(prose(i, 40, 12) for i in range(60)), *(prose(i, 30, 900) for i in range(20)), prose(3, 40, 12), "w0x w1x", "new w1x w2x w3x", "same same same"]
+    held = [i % 7 == 2 for i in range(len(texts))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", buckets)
+    try:
+        rows = {r.doc_id: r.score for r in katz_scores(documents(spark, texts), F.col("doc_id") % 7 == 2, order).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for i, want in enumerate(any_order(texts, held, order)):
+        assert rows[i] == pytest.approx(want)
+
+
+def test_registered_order(spark, tmp_path):
+    """The registered query sees two words before: documents that differ only in the farther one are scored apart."""
+    texts = ["a x b", "c x d"] * 20 + ["a x b", "c x b"]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r.score for r in op5_katz_backoff(spark, str(tmp_path)).collect()}
+    assert rows[40] > rows[41] + 0.5
