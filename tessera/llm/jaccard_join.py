@@ -211,8 +211,13 @@ class GroupedPrefixJoin:
         pairs = scratch(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         n, k, share = pairs.count(), self.k, self.share
         asked = sized(pairs.select(F.col("a").alias("class_key")).union(pairs.select("b")).distinct(), 2 * n)
-        asked = scratch(sized(self.classes.join(asked, "class_key", "left_semi").select("doc_id").distinct(), 2 * n), "asked")
-        sets = scratch(semi(self.docs, asked, "doc_id").select("text").mapInArrow(lambda b: whole_sets(b, k), "class_key long, members binary"), "whole")
+        asked = scratch(sized(self.classes.join(asked, "class_key", "left_semi").select("doc_id", "class_key"), 2 * n), "asked")
+        whole = lambda rows: rows.select("text").mapInArrow(lambda b: whole_sets(b, k), "class_key long, members binary")
+        sets = whole(semi(self.docs, asked.filter("doc_id is not null").select("doc_id").distinct(), "doc_id"))
+        nameless = asked.filter("doc_id is null").select("class_key")
+        if nameless.head(1):  # no document of these has an id: all that have none are looked through
+            sets = sets.union(semi(whole(self.docs.filter("doc_id is null")), nameless, "class_key").dropDuplicates(["class_key"]))
+        sets = scratch(sets, "whole")
         first = sized(pairs.join(sets.select(F.col("class_key").alias("a"), F.col("members").alias("sa")), "a"), n, 5_000)
         full = sized(first.join(sets.select(F.col("class_key").alias("b"), F.col("members").alias("sb")), "b"), n, 5_000)
         return scratch(full.select("a", "b", "sa", "sb").mapInArrow(lambda b: similar(b, share), "a long, b long"), "linked")
@@ -308,7 +313,7 @@ class GroupedPrefixJoin:
         least = sized(named.groupBy("root").agg(F.min("doc_id").alias("component")), self.n_classes)
         own = sized(named.select("class_key", "root").join(least, "root").select("class_key", "component"), self.n_classes)
         alone = self.sets.filter("n > 0").groupBy("class_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-        moved = alone.join(own, "class_key", "left").withColumn("component_id", F.coalesce("component", "least")).filter("copies > 1 or component_id <> least").select("class_key", "component_id")
+        moved = alone.join(own, "class_key", "left").withColumn("component_id", F.coalesce("component", "least")).filter("copies > 1 or not component_id <=> least").select("class_key", "component_id")
         out = self.sets.select("doc_id", F.col("n").alias("n_shingles"), "class_key").join(moved, "class_key", "left")
         return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -76,3 +76,15 @@ def test_one_of_each(spark):
     twice = docs.union(docs)
     assert sorted(r.doc_id for r in one_of_each(twice).collect()) == [0, 1, 3, 4]
     assert [r.doc_id for r in one_of_each(twice.filter("doc_id = 0")).collect()] == [0]
+
+
+def test_near_copies_without_id(spark):
+    base, other = prose(1, 100), prose(2, 100)
+    bridge = base.split()
+    ends = [" ".join([*["left"] * 8, *bridge[8:]]), " ".join([*bridge[:-8], *["right"] * 8])]
+    texts = [other, other + " more", ends[0], ends[1], base, prose(3, 100), prose(3, 100) + " more"]
+    assert [c for _, c in plain(texts, 4, 85, 100)] == [0, 0, 2, 2, 2, 5, 5] and plain(texts[:4], 4, 85, 100)[3][1] == 3
+    docs = documents(spark, texts).selectExpr("case when doc_id in (0, 2, 3) then doc_id end as doc_id", "text")
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in linked_components(docs).collect()), key=str)
+    n = [len(shingle_set(t, 4)) for t in texts]
+    assert found == sorted([(0, n[0], 0), (None, n[1], 0), (2, n[2], 2), (3, n[3], 2), (None, n[4], 2), (None, n[5], None), (None, n[6], None)], key=str)
