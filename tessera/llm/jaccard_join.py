@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm.blobs import pack, unpack
 from tessera.llm.common import documents, partitions, scratch, sized
@@ -297,8 +298,8 @@ class GroupedPrefixJoin:
         size = open_rows.agg(F.count("*"), F.sum("parts")).first()
         return bool(size[0]) and size[1] > 16 * size[0]
 
-    def run(self, rounds: int = 1) -> DataFrame:
-        """doc_id, n_shingles, component_id."""
+    def run(self, rounds: int = 1, keyed: bool = False) -> DataFrame:
+        """doc_id, n_shingles, component_id; keyed: class_key and root too, which tell components of one name apart."""
         inside = self.members.join(self.groups.filter("m > 1").select("group_key", "lead"), "group_key").select(F.col("class_key").alias("a"), F.col("lead").alias("b"))
         rows, seed = self.open_blocks(), 0
         found = self.link(self.star(rows, seed).union(inside))
@@ -311,11 +312,13 @@ class GroupedPrefixJoin:
         named = self.rooted().select("class_key", "root").join(self.classes.select("class_key", "doc_id"), "class_key")
         named = sized(named, self.n_classes)
         least = sized(named.groupBy("root").agg(F.min("doc_id").alias("component")), self.n_classes)
-        own = sized(named.select("class_key", "root").join(least, "root").select("class_key", "component"), self.n_classes)
+        own = sized(named.select("class_key", "root").join(least, "root").select("class_key", "component", "root"), self.n_classes)
         alone = self.sets.filter("n > 0").groupBy("class_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-        moved = alone.join(own, "class_key", "left").withColumn("component_id", F.coalesce("component", "least")).filter("copies > 1 or not component_id <=> least").select("class_key", "component_id")
+        moved = alone.join(own, "class_key", "left").withColumn("component_id", F.coalesce("component", "least"))
+        moved = moved.filter("copies > 1 or not component_id <=> least" + " or root <> class_key" * keyed).select("class_key", "component_id", *["root"] * keyed)
         out = self.sets.select("doc_id", F.col("n").alias("n_shingles"), "class_key").join(moved, "class_key", "left")
-        return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        name = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
+        return out.select("doc_id", "n_shingles", name, *(["class_key", F.coalesce("root", "class_key").alias("root")] if keyed else []))
 
 
 def linked_components(docs: DataFrame, k: int = 4, share: tuple[int, int] = (85, 100)) -> DataFrame:
@@ -328,15 +331,33 @@ def linked_components(docs: DataFrame, k: int = 4, share: tuple[int, int] = (85,
     return GroupedPrefixJoin(docs, k, share).run()
 
 
+def with_class(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows with _class_key behind their columns."""
+    for batch in batches:
+        for at, to, data, offsets in byte_chunks(batch["text"]):
+            h, d, _ = distinct(*shingles(runs(data, offsets), k))
+            keys = set_key(h, np.searchsorted(d, np.arange(to - at + 1)))
+            yield pa.RecordBatch.from_arrays([*batch.slice(at, to - at).columns, pa.array(keys.view("i8"))], [*batch.schema.names, "_class_key"])
+
+
 def one_of_each(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The document of the least id of each component, with its columns; of rows that repeat that id, one stays. Rows without id stay."""
-    found = scratch(linked_components(docs, k, share), "components")
+    """The document of the least id of each component, with its columns; of rows that repeat it, one stays. Rows without id stay.
+
+    An id that several rows have is no document's own: such rows are told apart by the sets of their texts. Of linked
+    texts of the least id that of the least class key stays.
+    """
+    found = scratch(GroupedPrefixJoin(docs, k, share).run(keyed=True), "components")
     others = scratch(found.filter("doc_id <> component_id").select("doc_id").distinct(), "others")
-    again = scratch(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    again = scratch(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
     kept = semi(docs, others, "doc_id", "left_anti")
     if not again.head(1):
         return kept
-    return semi(kept, again, "doc_id", "left_anti").unionByName(semi(kept, again, "doc_id").dropDuplicates(["doc_id"]))
+    least = semi(found.filter("doc_id = component_id"), again, "doc_id").groupBy("doc_id", "root").agg(F.min("class_key").alias("_class_key"))
+    stays = scratch(least.select("doc_id", "_class_key"), "stays")
+    several = semi(docs, again, "doc_id").select(*docs.columns)
+    several = several.mapInArrow(lambda b: with_class(b, k), StructType([*several.schema.fields, StructField("_class_key", LongType())]))
+    several = several.join(stays, ["doc_id", "_class_key"], "left_semi").dropDuplicates(["doc_id", "_class_key"])
+    return semi(kept, again, "doc_id", "left_anti").unionByName(several.select(*docs.columns))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,3 +88,12 @@ def test_near_copies_without_id(spark):
     found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in linked_components(docs).collect()), key=str)
     n = [len(shingle_set(t, 4)) for t in texts]
     assert found == sorted([(0, n[0], 0), (None, n[1], 0), (2, n[2], 2), (3, n[3], 2), (None, n[4], 2), (None, n[5], None), (None, n[6], None)], key=str)
+
+
+def test_one_of_each_of_repeated_ids(spark):
+    a, b, c, d = (prose(i, 100) for i in range(1, 5))
+    rows = [(3, a), (5, a + " more"), (5, b), (7, c), (7, d), (7, d), (8, ""), (8, d + " more"), (9, b + " more"), (None, a)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, class_key string")
+    kept = one_of_each(docs)
+    expected = [(3, a), (5, b), (7, c), (7, d), (8, ""), (None, a)]
+    assert kept.columns == docs.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(expected, key=str)
