@@ -30,8 +30,8 @@ def split_blob(blobs: DataFrame, size: int, stride: int | None = None, most: int
 
 def join_blobs(parts: DataFrame, keys: list[str], order: str) -> DataFrame:
     """keys, content: the parts of each set one after another. A set is one value, so it must fit in a task, as blobs do."""
-    grouped = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col("content")))).alias("parts"))
-    return grouped.select(*keys, F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["content"])).alias("content"))
+    grouped = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.hex("content").alias("digits")))).alias("parts"))
+    return grouped.select(*keys, F.unhex(F.array_join(F.transform("parts", lambda x: F.coalesce(x["digits"], F.lit(""))), "")).alias("content"))
 
 
 def xor_blob(content: Column | str, key: str = "FF") -> Column:
@@ -42,7 +42,11 @@ def xor_blob(content: Column | str, key: str = "FF") -> Column:
 
     @F.pandas_udf("binary")
     def each(blobs: pd.Series) -> pd.Series:
-        return blobs.map(lambda b: None if b is None else (np.frombuffer(b, np.uint8) ^ np.resize(mask, len(b))).tobytes())
+        sizes = np.array([0 if b is None else len(b) for b in blobs])
+        ends = np.cumsum(sizes)
+        place = np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes)
+        turned = (np.frombuffer(b"".join(b for b in blobs if b), np.uint8) ^ mask[place % len(mask)]).tobytes()
+        return pd.Series([None if b is None else turned[end - n : end] for b, n, end in zip(blobs, sizes, ends, strict=True)])
 
     return each(content)
 
@@ -58,35 +62,49 @@ def hexdump(blobs: DataFrame) -> DataFrame:
     return rows.select("path", "row", F.concat(offset, F.lit(": "), digits, F.lit("  "), shown).alias("line"))
 
 
+#: Bytes and blobs that are counted at once.
+COUNTED_BYTES, COUNTED_BLOBS = 4 << 20, 8_192
+
+
 def byte_frequencies(blobs: DataFrame) -> DataFrame:
     """path, byte, count, first (up to three first offsets), char (null unless printable ASCII) for every byte value that a blob has.
 
-    A blob is counted by itself in one pass, so no row is made for each byte.
+    Many blobs are counted in one pass over their bytes; none is split into rows of bytes. Null and empty blobs give no row.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, blob in zip(batch["path"].to_pylist(), batch["content"], strict=True):
-                data = np.frombuffer(blob.as_buffer(), np.uint8) if blob.is_valid else np.zeros(0, np.uint8)
-                counts = np.bincount(data, minlength=256)
-                values = np.flatnonzero(counts)
-                places = [np.flatnonzero(data == v)[:3] if counts[v] < 4 else first_places(data, v) for v in values]
-                yield pa.RecordBatch.from_pydict({
-                    "path": pa.array([path] * len(values), pa.string()), "byte": pa.array(values, pa.int32()), "count": pa.array(counts[values], pa.int64()),
-                    "first": pa.array([p.tolist() for p in places], pa.list_(pa.int64())), "char": pa.array([chr(v) if 0x20 <= v < 0x7F else None for v in values], pa.string()),
-                })
+            content = batch["content"].cast(pa.large_binary()).fill_null(b"")
+            ends = np.frombuffer(content.buffers()[1], "i8")[content.offset : content.offset + len(content) + 1]
+            data = np.frombuffer(content.buffers()[2] or b"", np.uint8)
+            at = 0
+            while at < len(content):
+                to = min(at + COUNTED_BLOBS, max(at + 1, int(np.searchsorted(ends, ends[at] + COUNTED_BYTES, "right")) - 1))
+                yield counted(batch["path"].slice(at, to - at), data[ends[at] : ends[to]], ends[at : to + 1] - ends[at])
+                at = to
 
     return blobs.select("path", "content").mapInArrow(count, "path string, byte int, count long, first array<long>, char string")
 
 
-def first_places(data: np.ndarray, value: int) -> np.ndarray:
-    """The first three offsets of a byte that occurs at least that often, looked for in growing beginnings."""
-    size = 1024
-    while True:
-        found = np.flatnonzero(data[:size] == value)
-        if len(found) >= 3 or size >= len(data):
-            return found[:3]
-        size *= 16
+def counted(paths: pa.Array, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    sizes = np.diff(offsets)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    key = row * 256 + data
+    counts = np.bincount(key, minlength=len(sizes) * 256)
+    seen = np.flatnonzero(counts)
+    index = np.zeros(len(counts), "i8")
+    index[seen] = np.arange(len(seen))
+    place, item = np.arange(len(data)) - offsets[row], index[key]
+    first = np.full((len(seen), 3), -1)
+    for k in range(3):
+        first[item[::-1], k] = place[::-1]  # of several, the last one written stays: the least place
+        later = place > first[item, k]
+        place, item = place[later], item[later]
+    known = first >= 0
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(known.sum(1))]), pa.int32()), pa.array(first[known]))
+    value = seen % 256
+    chars = pa.array([chr(v) if 0x20 <= v < 0x7F else None for v in range(256)], pa.string()).take(pa.array(value))
+    return pa.RecordBatch.from_arrays([paths.take(pa.array(seen // 256)), pa.array(value, pa.int32()), pa.array(counts[seen]), lists, chars], ["path", "byte", "count", "first", "char"])
 
 
 def total_bytes(frequencies: DataFrame) -> DataFrame:
@@ -106,13 +124,9 @@ def as_dates(blobs: DataFrame) -> DataFrame:
 
 
 def find_bytes(content: Column | str, needle: bytes) -> Column:
-    """The first offset of needle, -1 without one; an empty needle is found at 0."""
-
-    @F.pandas_udf("long")
-    def each(blobs: pd.Series) -> pd.Series:
-        return blobs.map(lambda b: -1 if b is None else b.find(needle))
-
-    return each(content)
+    """The first offset of needle, -1 without one; an empty needle is found at 0. Each byte is one character of Latin-1, so places of characters are those of bytes."""
+    place = F.locate(needle.decode("latin-1"), F.decode(content, "ISO-8859-1")) - 1
+    return F.coalesce(place if needle else F.lit(0), F.lit(-1)).cast("long")
 
 
 def all_zero(content: Column | str) -> Column:

@@ -1,7 +1,8 @@
 """Decompressors of old formats, in plain Python and numpy.
 
 Each takes the compressed bytes and gives a Decoded: what came out before any error, how many bytes
-were taken, and the error if there was one. Sizes are bounded by limit, as inputs are not trusted.
+were taken, and the error if there was one. With a limit no more comes out, and that is no error;
+without one LIMIT holds, as inputs are not trusted, and reaching it with input left is an error.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,6 +26,19 @@ class Decoded:
     error: str | None = None
 
 
+def bounded(decode: Callable[..., Decoded]) -> Callable[..., Decoded]:
+    """decode(data, limit, ...) with LIMIT where none is given."""
+
+    @wraps(decode)
+    def within(data: bytes, limit: int | None = None, *args, **kwargs) -> Decoded:
+        found = decode(data, LIMIT if limit is None else limit, *args, **kwargs)
+        if limit is None and found.error is None and len(found.data) >= LIMIT and found.taken < len(data):
+            found.error = f"more than {LIMIT} bytes"
+        return found
+
+    return within
+
+
 class Bits:
     """A reader of bits, most or least significant first; zero bits follow the end."""
 
@@ -65,10 +80,11 @@ class Tree:
             code <<= 1
         self.longest = max(lengths, default=0)
 
-    def read(self, bits: Bits) -> int:
+    def read(self, bits: Bits, flip: int = 0) -> int:
+        """The next symbol; flip 1: the bits of codes are stored inverted."""
         code = 0
         for size in range(1, self.longest + 1):
-            code = code << 1 | bits.take(1)
+            code = code << 1 | bits.take(1) ^ flip
             found = self.codes.get((size, code))
             if found is not None:
                 return found
@@ -89,11 +105,13 @@ def copy_back(out: bytearray, distance: int, length: int) -> None:
         length -= len(piece)
 
 
-def stored(data: bytes, limit: int = LIMIT) -> Decoded:
+@bounded
+def stored(data: bytes, limit: int) -> Decoded:
     return Decoded(data[:limit], min(len(data), limit))
 
 
-def inflate(data: bytes, limit: int = LIMIT, wbits: int = -15) -> Decoded:
+@bounded
+def inflate(data: bytes, limit: int, wbits: int = -15) -> Decoded:
     """Raw deflate; wbits 15 for zlib, 31 for gzip."""
     codec = zlib.decompressobj(wbits)
     try:
@@ -107,10 +125,12 @@ def inflate(data: bytes, limit: int = LIMIT, wbits: int = -15) -> Decoded:
             except zlib.error:
                 break
         return Decoded(bytes(out), len(data), str(e))
-    return Decoded(out, len(data) - len(codec.unused_data) - len(codec.unconsumed_tail), None if codec.eof else "unexpected end")
+    cut = f"more than {limit} bytes" if codec.unconsumed_tail else "unexpected end"
+    return Decoded(out, len(data) - len(codec.unused_data) - len(codec.unconsumed_tail), None if codec.eof else cut)
 
 
-def packbits(data: bytes, limit: int = LIMIT, unit: int = 1) -> Decoded:
+@bounded
+def packbits(data: bytes, limit: int, unit: int = 1) -> Decoded:
     """Runs of units: 0-127 copies n + 1 of them, 129-255 repeats the next one 257 - n times, 128 does nothing."""
     out, at = bytearray(), 0
     while at < len(data) and len(out) < limit:
@@ -126,7 +146,8 @@ def packbits(data: bytes, limit: int = LIMIT, unit: int = 1) -> Decoded:
     return Decoded(bytes(out[:limit]), min(at, len(data)), "unexpected end" if at > len(data) else None)
 
 
-def rle90(data: bytes, limit: int = LIMIT) -> Decoded:
+@bounded
+def rle90(data: bytes, limit: int) -> Decoded:
     """Byte 90 hexadecimal and n repeat the byte before so that n stand there; with n = 0 it stands for itself."""
     out, at, last = bytearray(), 0, 0
     while at < len(data) and len(out) < limit:
@@ -147,7 +168,8 @@ def rle90(data: bytes, limit: int = LIMIT) -> Decoded:
     return Decoded(bytes(out[:limit]), at)
 
 
-def pcx_rle(data: bytes, limit: int = LIMIT) -> Decoded:
+@bounded
+def pcx_rle(data: bytes, limit: int) -> Decoded:
     """Bytes from C0 hexadecimal repeat the next byte by their lower six bits."""
     out, at = bytearray(), 0
     while at < len(data) and len(out) < limit:
@@ -160,7 +182,8 @@ def pcx_rle(data: bytes, limit: int = LIMIT) -> Decoded:
     return Decoded(bytes(out[:limit]), min(at, len(data)))
 
 
-def lzw(data: bytes, limit: int = LIMIT, variant: str = "compress", root: int = 8, most: int | None = None, blocks: bool = True) -> Decoded:
+@bounded
+def lzw(data: bytes, limit: int, variant: str = "compress", root: int = 8, most: int | None = None, blocks: bool = True) -> Decoded:
     """LZW of three kinds.
 
     compress: codes from 9 to most bits (16), least significant bit first, in groups of eight codes of a
@@ -210,7 +233,8 @@ def lzw(data: bytes, limit: int = LIMIT, variant: str = "compress", root: int =
     return Decoded(bytes(out[:limit]), min(bits.at, len(data)))
 
 
-def lzss(data: bytes, limit: int = LIMIT, start: int = 4078, fill: int = 0x20) -> Decoded:
+@bounded
+def lzss(data: bytes, limit: int, start: int = 4078, fill: int = 0x20) -> Decoded:
     """Flag bytes, lowest bit first: 1 is a literal, 0 a place (12 bits) and length (4 bits, from 3) in a ring of 4096 that starts full of one byte."""
     ring, at, here, out = bytearray([fill]) * 4096, 0, start, bytearray()
     while at < len(data) and len(out) < limit:
@@ -239,11 +263,13 @@ def lzss(data: bytes, limit: int = LIMIT, start: int = 4078, fill: int = 0x20) -
     return Decoded(bytes(out[:limit]), at)
 
 
-def szdd(data: bytes, limit: int = LIMIT) -> Decoded:
+@bounded
+def szdd(data: bytes, limit: int) -> Decoded:
     return lzss(data, limit, start=4080)
 
 
-def hlp_lz77(data: bytes, limit: int = LIMIT) -> Decoded:
+@bounded
+def hlp_lz77(data: bytes, limit: int) -> Decoded:
     """Flag bytes, lowest bit first: 0 is a literal, 1 a 16-bit number of distance - 1 (12 bits) and length - 3."""
     at, out = 0, bytearray()
     while at < len(data) and len(out) < limit:
@@ -264,7 +290,8 @@ def hlp_lz77(data: bytes, limit: int = LIMIT) -> Decoded:
     return Decoded(bytes(out[:limit]), at)
 
 
-def lzs(data: bytes, limit: int = LIMIT) -> Decoded:
+@bounded
+def lzs(data: bytes, limit: int) -> Decoded:
     """Stac LZS: literals, and copies with distances of 7 or 11 bits and lengths in growing steps; distance 0 of 7 bits ends."""
     bits, out = Bits(data), bytearray()
     while len(out) < limit and not bits.over:
@@ -340,19 +367,23 @@ def lh_new(data: bytes, limit: int, window: int) -> Decoded:
     return Decoded(bytes(out[:limit]), min(bits.at, len(data)), "unexpected end" if len(out) < limit and limit < LIMIT else None)
 
 
-def lh5(data: bytes, limit: int = LIMIT) -> Decoded:
+@bounded
+def lh5(data: bytes, limit: int) -> Decoded:
     return lh_new(data, limit, 13)
 
 
-def lh6(data: bytes, limit: int = LIMIT) -> Decoded:
+@bounded
+def lh6(data: bytes, limit: int) -> Decoded:
     return lh_new(data, limit, 15)
 
 
-def lh7(data: bytes, limit: int = LIMIT) -> Decoded:
+@bounded
+def lh7(data: bytes, limit: int) -> Decoded:
     return lh_new(data, limit, 16)
 
 
-def squeeze(data: bytes, limit: int = LIMIT) -> Decoded:
+@bounded
+def squeeze(data: bytes, limit: int) -> Decoded:
     """A static Huffman tree of 16-bit node pairs (negative: a byte, -257: the end), read from the root by bits, lowest first; then RLE90."""
     nodes = int.from_bytes(data[:2], "little")
     if nodes == 0 or nodes > 257 or len(data) < 2 + 4 * nodes:
@@ -371,60 +402,77 @@ def squeeze(data: bytes, limit: int = LIMIT) -> Decoded:
     return Decoded(rle90(bytes(out), limit).data, min(bits.at, len(data)))
 
 
-def implode_dcl(data: bytes, limit: int = LIMIT) -> Decoded:
-    """PKWARE's data compression library with plain literals; files with coded ones give an error."""
-    # Fixed values of the format: code lengths (low four bits) with how often they repeat, less one (high ones); bases and extra bits of lengths.
-    length_runs, distance_runs = (2, 35, 36, 53, 38, 23), (2, 20, 53, 230, 247, 151, 248)
-    base, extra = (3, 2, 4, 5, 6, 7, 8, 9, 10, 12, 16, 24, 40, 72, 136, 264), (0, 0, 0, 0, 0, 0, 0, 0, 1, 2, 3, 4, 5, 6, 7, 8)
-    tree = lambda runs: Tree([r & 15 for r in runs for _ in range((r >> 4) + 1)])
-    if len(data) < 2 or data[0] > 1 or not 4 <= data[1] <= 6:
-        return Decoded(b"", 0, "bad header")
-    if data[0] == 1:
-        return Decoded(b"", 2, "coded literals are not supported")
-    lengths, distances, bits, out = tree(length_runs), tree(distance_runs), Bits(data, 2, False), bytearray()
+def code_lengths(runs: str) -> list[int]:
+    """Code lengths from text: "5" or, for several symbols in a row, "5x12"."""
+    out: list[int] = []
+    for part in runs.split():
+        size, _, times = part.partition("x")
+        out += [int(size)] * int(times or 1)
+    return out
 
-    def read(codes: Tree) -> int:
-        code = 0
-        for size in range(1, codes.longest + 1):
-            code = code << 1 | (bits.take(1) ^ 1)
-            if (found := codes.codes.get((size, code))) is not None:
-                return found
-        raise ValueError("no such code")
 
+# Fixed values of PKWARE's data compression library: code lengths of literals, lengths and distances; bases and extra bits of lengths.
+DCL_LITERALS = code_lengths("""
+    11 12x8 8 7 12x2 7 12x12 13 12x5 4 10 8 12 10 12 10 8 7x2 8 9 7 6 7 8 7 6 7x4 8 7x2 8x2 12 11 7 9 11 12 6 7 6x2 5 7 8x2 6 11 9 6 7 6x2 7 11 6x3 7 9 8 9x2 11 8 11 9 12
+    8 12 5 6x3 5 6x3 5 11 7 5 6 5x2 6 10 5x4 8 7 8x2 10 11x2 12x3 13x16 13x16 13x16 12x16 12x16 12x16 13 12 13x3 12 13x3 12 13x4 12 13x3 12x3 13x11
+""")
+DCL_LENGTHS = code_lengths("2 3x3 4x3 5x4 6x3 7x2")
+DCL_DISTANCES = code_lengths("2 4x2 5x4 6x15 7x26 8x16")
+DCL_BASES = (3, 2, 4, 5, 6, 7, 8, 9, 10, 12, 16, 24, 40, 72, 136, 264)
+DCL_EXTRA = (0, 0, 0, 0, 0, 0, 0, 0, 1, 2, 3, 4, 5, 6, 7, 8)
+
+
+@bounded
+def implode_dcl(data: bytes, limit: int) -> Decoded:
+    """PKWARE's data compression library, with plain or coded literals; code bits are stored inverted."""
+    if len(data) < 2 or data[0] > 1 or not 4 <= data[1] <= 6:
+        return Decoded(b"", 0, "bad header")
+    literals = Tree(DCL_LITERALS) if data[0] else None
+    lengths, distances, bits, out = Tree(DCL_LENGTHS), Tree(DCL_DISTANCES), Bits(data, 2, False), bytearray()
     try:
         while len(out) < limit and not bits.over:
             if not bits.take(1):
-                out.append(bits.take(8))
+                out.append(literals.read(bits, 1) if literals else bits.take(8))
                 continue
-            symbol = read(lengths)
-            length = base[symbol] + bits.take(extra[symbol])
+            symbol = lengths.read(bits, 1)
+            length = DCL_BASES[symbol] + bits.take(DCL_EXTRA[symbol])
             if length == 519:
                 return Decoded(bytes(out), min(bits.at, len(data)))
             low = 2 if length == 2 else data[1]
-            copy_back(out, (read(distances) << low) + bits.take(low) + 1, length)
+            copy_back(out, (distances.read(bits, 1) << low) + bits.take(low) + 1, length)
     except ValueError as e:
         return Decoded(bytes(out), min(bits.at, len(data)), str(e))
-    return Decoded(bytes(out[:limit]), len(data), "unexpected end")
+    return Decoded(bytes(out[:limit]), len(data), "unexpected end" if bits.over else None)
 
 
 #: Method names of decompress().
 METHODS: dict[str, Callable[..., Decoded]] = {
-    "stored": stored, "deflate": inflate, "zlib": lambda d, limit=LIMIT: inflate(d, limit, 15), "gzip": lambda d, limit=LIMIT: inflate(d, limit, 31),
-    "packbits": packbits, "packbits16": lambda d, limit=LIMIT: packbits(d, limit, 2), "rle90": rle90, "pcx_rle": pcx_rle,
-    "lzw": lzw, "lzw_gif": lambda d, limit=LIMIT: lzw(d, limit, "gif"), "lzw_tiff": lambda d, limit=LIMIT: lzw(d, limit, "tiff"),
+    "stored": stored, "deflate": inflate, "zlib": lambda d, limit=None: inflate(d, limit, 15), "gzip": lambda d, limit=None: inflate(d, limit, 31),
+    "packbits": packbits, "packbits16": lambda d, limit=None: packbits(d, limit, 2), "rle90": rle90, "pcx_rle": pcx_rle,
+    "lzw": lzw, "lzw_gif": lambda d, limit=None: lzw(d, limit, "gif"), "lzw_tiff": lambda d, limit=None: lzw(d, limit, "tiff"), "lzw_zoo": lambda d, limit=None: lzw(d, limit, "zoo", most=13),
     "lzss": lzss, "szdd": szdd, "hlp_lz77": hlp_lz77, "lzs": lzs, "lh5": lh5, "lh6": lh6, "lh7": lh7, "squeeze": squeeze, "implode_dcl": implode_dcl,
 }
 
 
+def _more_methods() -> dict[str, Callable[..., Decoded]]:
+    """Those of modules that build on this one."""
+    from tessera.operators import adaptive, zip_codecs
+
+    return {
+        "lh1": adaptive.lh1, "shrink": zip_codecs.shrink, **{f"reduce{k}": lambda d, limit=None, k=k: zip_codecs.reduce(d, limit, k) for k in (1, 2, 3, 4)}, "implode": zip_codecs.implode,
+        "deflate64": zip_codecs.deflate64,
+    }
+
+
 def decompress(content: Column | str, method: str, size: Column | int | None = None) -> Column:
-    """A struct of data, taken, ok and err: what the method makes of each blob, at most size bytes. Nulls stay null."""
-    work = METHODS[method]
+    """A struct of data, taken, ok and err: what the method makes of each blob, at most size bytes (without it, LIMIT, where more is an error). Nulls stay null."""
+    work = METHODS[method] if method in METHODS else _more_methods()[method]
 
     @F.pandas_udf("struct<data: binary, taken: long, ok: boolean, err: string>")
     def each(blobs: pd.Series, sizes: pd.Series) -> pd.DataFrame:
         rows = []
         for blob, limit in zip(blobs, sizes, strict=True):
-            d = work(blob or b"", LIMIT if pd.isna(limit) else int(limit))
+            d = work(blob or b"", None if pd.isna(limit) else int(limit))
             rows.append((d.data, d.taken, d.error is None, d.error))
         return pd.DataFrame(rows, columns=["data", "taken", "ok", "err"])
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SCHEMA = "path string, node_path array<int>, pos long, len long, tag string, name string, type string, value string"
 #: Of a chunk or box tree, how deep it is followed.
 DEEPEST_CHUNK, DEEPEST_BOX = 16, 32
+#: Of a TIFF file, so many directories are read; more are an error.
+MOST_DIRECTORIES = 1_000
 Row = tuple[tuple[int, ...], int, int, str, str | None, str, str | None]
 
 
@@ -107,10 +109,12 @@ def tiff(blob: bytes) -> Iterator[Row]:
     if len(blob) < 8:
         return
     queue, seen, number = [struct.unpack_from(order + "I", blob, 4)[0]], set(), 0
-    while queue and number < 1_000:
+    while queue:
         at = queue.pop(0)
         if at in seen or at == 0 or at + 2 > len(blob):
             continue
+        if number == MOST_DIRECTORIES:
+            raise ValueError(f"more than {MOST_DIRECTORIES} directories")
         seen.add(at)
         n = struct.unpack_from(order + "H", blob, at)[0]
         for i in range(n):
@@ -122,7 +126,7 @@ def tiff(blob: bytes) -> Iterator[Row]:
             size = unit * count
             place = entry + 8 if size <= 4 else struct.unpack_from(order + "I", blob, entry + 8)[0]
             raw, value = blob[place : place + size], None
-            if unit and len(raw) == size and count <= 100_000:
+            if unit and len(raw) == size:
                 if kind == 2:
                     value = raw.split(b"\0")[0].decode("utf-8", "replace")
                 else:
@@ -130,7 +134,7 @@ def tiff(blob: bytes) -> Iterator[Row]:
                     if kind in (5, 10):
                         value = ", ".join(str(a / b) if b else "" for a, b in zip(numbers[::2], numbers[1::2], strict=True))
                     else:
-                        value = ", ".join(map(str, numbers[:1_000]))
+                        value = ", ".join(map(str, numbers))
                     if tag in TIFF_INNER:
                         queue += numbers
             yield (number, i), entry, size, str(tag), TIFF_TAGS.get(tag), name, value
@@ -160,11 +164,11 @@ def flac(blob: bytes) -> Iterator[Row]:
 def comments(body: bytes, at: int) -> Iterator[tuple[int, int, str, str | None, str, str | None]]:
     """Vorbis comments: position, length, tag, name, type, value."""
     place = 4 + int.from_bytes(body[:4], "little")
-    for _ in range(min(int.from_bytes(body[place : place + 4], "little"), 10_000)):
+    for _ in range(int.from_bytes(body[place : place + 4], "little")):
         size = int.from_bytes(body[place + 4 : place + 8], "little")
         raw = body[place + 8 : place + 8 + size]
-        if len(raw) < size:
-            return
+        if len(raw) < size or place + 8 > len(body):
+            raise ValueError("comments end early")
         key, _, value = raw.decode("utf-8", "replace").partition("=")
         yield at + place + 8, size, key, None, "comment", value
         place += 4 + size

@@ -1,218 +1,143 @@
-"""Which format a blob is in: signature rules with confidences, and the best one for each blob.
+"""Which format a blob is in: signatures and further tests with confidences, and the best one for each blob.
 
-A rule holds where all its tests do. Of several, the one of the highest confidence wins, and of
-equal ones that of the format registered first. All rules are columns of one pass over the first
-bytes of each blob; neither a join nor a shuffle takes place.
+A signature rule holds where all its tests do; a probe gives a confidence by looking closer. Of
+several, the one of the highest confidence wins, and of equal ones that of the format registered
+first. All are columns of one pass over the beginnings of blobs; neither a join nor a shuffle takes place.
 """
 
 from __future__ import annotations
 
+import json
+from base64 import b64encode
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.reading import extension, has_bytes
+from tessera.functions.reading import extension
+from tessera.operators import signatures
+from tessera.operators.probes import ANSWERS, PROBES, probed
 
 
 @dataclass(frozen=True)
 class Rule:
-    """format; its place in the order of registration; confidence; tests: (offset, bytes) that must all stand there; suffix that a file name must have."""
+    """format; its place in the order of registration; confidence; tests: (offset, values) of which one must stand there; suffixes that a file name must have one of; sizes of the blob, as (least, most)."""
 
     format: str
     order: int
     confidence: int
-    tests: tuple[tuple[int, bytes], ...]
-    suffix: str | None = None
+    tests: tuple[tuple[int, tuple[bytes, ...]], ...] = ()
+    suffixes: tuple[str, ...] = ()
+    sizes: tuple[tuple[int, int], ...] = ()
 
 
-def _rules(rows: str, confidence: int = 100) -> list[Rule]:
-    """Rules from lines of order, format and tests "offset:hexadecimal or 'text'", parted by blanks."""
+def _bytes(value: str) -> bytes:
+    return value[1:-1].replace("_", " ").encode("latin-1") if value[0] == "'" else bytes.fromhex(value)
+
+
+def parse(text: str) -> list[Rule]:
+    """Rules from lines as described in the module signatures."""
     out = []
-    for line in rows.strip().splitlines():
-        order, name, *tests = line.split()
-        parsed = []
+    for line in text.strip().splitlines():
+        order, name, confidence, *tests = line.split()
+        at, suffixes, sizes, least, most = [], (), [], 0, 1 << 62
         for test in tests:
-            at, value = test.split(":", 1)
-            parsed.append((int(at), value[1:-1].replace("_", " ").encode("latin-1") if value[0] == "'" else bytes.fromhex(value)))
-        out.append(Rule(name, int(order), confidence, tuple(parsed)))
+            if test[0] == ".":
+                suffixes = tuple(test[1:].split("|"))
+            elif test.startswith("len="):
+                sizes = [(int(n), int(n)) for n in test[4:].split("|")]
+            elif test.startswith("len<="):
+                most = int(test[5:])
+            elif test.startswith("len>="):
+                least = int(test[5:])
+            else:
+                offset, values = test.split(":", 1)
+                at.append((int(offset), tuple(_bytes(v) for v in values.split("/"))))
+        if (least, most) != (0, 1 << 62):
+            sizes = [(least, most)]
+        out.append(Rule(name, int(order), int(confidence), tuple(at), suffixes, tuple(sizes)))
     return out
 
 
-# Published signatures of formats (blanks written as "_"), with places in the order of detection and confidences.
-RULES: list[Rule] = [
-    *_rules("""
-0 jpeg 0:ffd8ff
-2 gif 0:'GIF87a'
-2 gif 0:'GIF89a'
-4 psd 0:'8BPS'
-5 png 0:89504e470d0a1a0a
-5 png 0:8b4a4e470d0a1a0a
-5 png 0:8a4d4e470d0a1a0a
-6 cfb 0:d0cf11e0a1b11ae1
-8 gzip 0:1f8b08
-9 jpeg2000 0:0000000c6a5020200d0a870a
-10 cab 0:'MSCF'
-11 hlp 0:3f5f0300
-12 rpm 0:edabeedb
-13 asf 0:3026b2758e66cf11a6d900aa0062ce6c
-14 ebml 0:1a45dfa3
-15 stuffit 0:'SIT!'
-15 stuffit 0:'StuffIt_('
-19 eps 0:'%!PS-Adobe-' 14:'_EPSF-'
-21 emf 0:01000000 40:'_EMF'
-22 midi 0:'MThd'
-28 sunras 0:59a66a95
-33 j2c 0:ff4fff51
-34 farbfeld 0:'farbfeld'
-40 ogg 0:'OggS'
-41 flac 0:'fLaC'
-43 monkeys_audio 0:'MAC_'
-44 rm 0:'.RMF' 4:00
-45 mscompress 0:535a444488f02733
-45 mscompress 0:4b57414a88f027d1
-45 mscompress 0:535a2088f02733
-48 wpg 0:ff575043
-56 zoo 20:dca7c4fd
-64 jbf 0:'JASC_BROWS_FILE'
-65 dcx 0:b168de3a
-66 bpg 0:425047fb
-68 ar 0:'!<arch>' 7:0a
-69 cpio 0:'070707'
-69 cpio 0:'070701'
-69 cpio 0:'070702'
-73 psionpic 0:504943dc3030
-75 arcfs 0:'Archive' 7:00
-76 dsstore 0:00000001 4:'Bud1'
-77 bmi 0:'ZonerBMIa'
-78 mrw 0:004d524d
-90 is_instarch 0:2aab79d80001
-96 woz 0:'WOZ' 4:ff0a0d0a
-97 moof 0:'MOOF' 4:ff0a0d0a
-99 xbin 0:'XBIN' 4:1a
-102 icedraw 0:04312e34
-108 hsiraw 0:'mhwanh'
-110 pgc 0:504701
-117 hpi 0:894850490d0a1a0a
-118 hta 0:894854410d0a1a0a
-120 psf 0:72b54a86
-133 pff2 0:46494c450000000450464632
-135 olpc565 0:'C565'
-137 lss16 0:3df31314
-142 compress 0:1f9d
-149 makichan 0:'MAKI0'
-154 crg 0:'CALAMUSCRG'
-158 corel_bmf 0:'@CorelBMF' 9:0a0d
-159 animatic 48:27182818
-160 iim 0:'IS_IMAGE'
-161 deskmate_pnt 0:13504e54
-173 pcxlib 0:'pcxLib' 6:00
-176 cazip 0:0d0a1a 3:'CAZIP'
-180 red 0:52520129
-188 nufx 0:4ef546e96ce5
-190 pmsfx 2:'-pms-'
-196 autocad_slb 0:'AutoCAD_Slide_Library_1.0' 25:0d0a1a
-197 plist 0:'bplist00'
-202 squash 0:'SQSH'
-230 gemmeta 0:ffff1800
-231 pcf 0:01666370
-242 neochrome_ani 0:babeebea
-253 pp_gph 0:'PrintPartner'
-266 crush 0:'CRUSH_v'
-281 fmtowns_hel 0:'he1' 3:0001000000
-286 dxp_image 0:'DXP1' 4:01
-293 mmfw 0:'MMFW_'
-294 imggal_alch 0:'ALCHGLRY'
-295 gws_thn 0:'THNL'
-312 pkm 0:'PKM' 3:00
-323 zpk2 0:'zpk2'
-325 cork 0:'CORK' 4:0100
-329 vort 0:'VORT01'
-333 vitec 0:005b0720
-340 coke 0:'COKE_format.'
-341 videomaster 0:'VMAS1'
-368 wizsolitaire 0:'WizSolitaireDeck'
-"""),
-    *_rules("""
-36 tar 257:'ustar'
-39 id3 0:'ID3'
-92 amigaicon 0:e310
-111 pgx 0:'PGX'
-119 flif 0:'FLIF'
-""", 90),
-    *_rules("""
-58 zoo_z 0:fe0701
-85 ico 0:00000100
-85 ico 0:00000200
-121 nol 0:'NOL'
-122 ngg 0:'NGG'
-123 npm 0:'NPM'
-124 nlm 0:'NLM_'
-139 t64 0:'C64'
-140 cardfile 0:'MGC'
-212 pcrfont 0:'KPG'
-243 iccprofile 36:'acsp'
-317 npack 0:'MSTSM'
-318 lzs221 0:'sTaC'
-319 xpk 0:'XPKF'
-29 exe 0:'MZ'
-""", 80),
-    *_rules("""
-30 riff 0:'RIFF'
-30 riff 0:'XFIR'
-30 riff 0:'RIFX'
-31 iff 0:'FORM'
-""", 50),
-    Rule("zip", 37, 100, ((0, b"PK\x03\x04"),)),
-    Rule("zip", 37, 100, ((0, b"PK\x05\x06"),)),
-    Rule("bmp", 3, 90, ((0, b"BM"), (6, bytes(4)))),
-    Rule("bmp", 3, 100, ((0, b"BM"), (6, bytes(4))), "bmp"),
-    Rule("tiff", 1, 100, ((0, b"II*\x00"),)),
-    Rule("tiff", 1, 100, ((0, b"MM\x00*"),)),
-    Rule("pcx", 18, 80, ((0, b"\x0a"), (2, b"\x01"))),
-    Rule("pcx", 18, 100, ((0, b"\x0a"), (2, b"\x01")), "pcx"),
-    Rule("bzip2", 402, 100, ((0, b"BZh"), (4, b"\x31\x41\x59\x26\x53\x59"))),
-    Rule("7z", 402, 100, ((0, b"7z\xbc\xaf\x27\x1c"),)),
-    Rule("xz", 402, 100, ((0, b"\xfd7zXZ\x00"),)),
-    Rule("lzip", 402, 100, ((0, b"LZIP"),)),
-    Rule("pdf", 402, 100, ((0, b"%PDF-"),)),
-    Rule("html", 402, 20, ((0, b"<!DOCTYPE html"),)),
-    Rule("html", 402, 20, ((0, b"<!doctype html"),)),
-    Rule("html", 402, 20, ((0, b"<html"),)),
-    Rule("html", 402, 20, ((0, b"<HTML"),)),
-    Rule("xml", 402, 10, ((0, b"<?xml"),)),
-    Rule("utf8_text", 402, 5, ((0, b"\xef\xbb\xbf"),)),
-]
+RULES: list[Rule] = [*parse(signatures.CONTAINERS), *parse(signatures.IMAGES), *parse(signatures.OTHERS)]
+
+#: Other names of formats.
+ALIASES = {"applesingle": "applesd", "appledouble": "applesd"}
+
+
+def format_name(name: str) -> str:
+    """The registered format that a name or an alias stands for, whatever its case."""
+    name = name.lower()
+    return ALIASES.get(name, name)
 
 
 def registry(spark, rules: list[Rule] = RULES) -> DataFrame:
-    """The formats that rules know: format, order, rules, best (highest confidence)."""
-    rows = [(r.format, r.order, r.confidence) for r in rules]
-    return spark.createDataFrame(rows, "format string, `order` int, confidence int").groupBy("format", "order").agg(F.count("*").alias("rules"), F.max("confidence").alias("best"))
-
-
-def rule_holds(rule: Rule, content: str = "content", path: str = "path") -> Column:
-    tests = [has_bytes(content, at, value) for at, value in rule.tests]
-    if rule.suffix:
-        tests.append(extension(path) == rule.suffix)
-    out = tests[0]
-    for test in tests[1:]:
-        out = out & test
-    return out
+    """The formats that are told by a signature or a probe: format, order, rules (signatures), best (their highest confidence, null for probes alone)."""
+    rows = [(r.format, r.order, r.confidence, 1) for r in rules] + [(name, order, None, 0) for name, (order, _) in PROBES.items()]
+    return spark.createDataFrame(rows, "format string, `order` int, confidence int, n int").groupBy("format", "order").agg(F.sum("n").alias("rules"), F.max("confidence").alias("best"))
+
+
+SCHEMA = "array<struct<format:string,order:int,confidence:int,tests:array<struct<at:int,values:array<binary>>>,suffixes:array<string>,sizes:array<struct<least:long,most:long>>>>"
+
+
+def as_value(rules: list[Rule]) -> Column:
+    """Rules as one constant array, so that plans stay small however many there are."""
+    coded = [
+        {"format": r.format, "order": r.order, "confidence": r.confidence, "tests": [{"at": at, "values": [b64encode(v).decode() for v in values]} for at, values in r.tests],
+         "suffixes": list(r.suffixes), "sizes": [{"least": a, "most": b} for a, b in r.sizes]}
+        for r in rules
+    ]
+    return F.from_json(F.lit(json.dumps(coded)), SCHEMA)
+
+
+def rules_that_hold(rules: list[Rule], content: str = "content", path: str = "path") -> Column:
+    """An array of struct (confidence, before, format) of the rules that hold: before grows with earlier registration."""
+    blob, size = F.col(content), F.octet_length(content)
+    ending = extension(path)
+
+    def stands(test: Column, value: Column) -> Column:
+        place, n = F.when(test["at"] < 0, size + test["at"]).otherwise(test["at"]), F.octet_length(value)
+        return (place >= 0) & (F.rpad(F.substring(blob, place + 1, n), n, bytes(1)) == value)
+
+    def holds(rule: Column) -> Column:
+        sizes = (F.size(rule["sizes"]) == 0) | F.exists(rule["sizes"], lambda s: size.between(s["least"], s["most"]))
+        suffix = (F.size(rule["suffixes"]) == 0) | F.array_contains(rule["suffixes"], ending)
+        return sizes & suffix & F.forall(rule["tests"], lambda t: F.exists(t["values"], lambda v: stands(t, v)))
+
+    found = F.filter(as_value(rules), lambda r: F.coalesce(holds(r), F.lit(False)))
+    return F.transform(found, lambda r: F.struct(r["confidence"].alias("confidence"), (-r["order"]).alias("before"), r["format"].alias("format")))
+
+
+def _considered(name: str, only: set[str] | frozenset[str] | None, without: set[str] | frozenset[str]) -> bool:
+    return (only is None or name in {format_name(x) for x in only}) and name not in {format_name(x) for x in without}
+
+
+def _answers(blobs: DataFrame, rules: list[Rule], probes: dict) -> DataFrame:
+    """blobs with _answers: an array of struct (confidence, before, format)."""
+    found = rules_that_hold(rules)
+    if not probes:
+        return blobs.withColumn("_answers", found)
+    return blobs.withColumn("_probed", probed(probes)).withColumn("_answers", F.concat(F.coalesce(found, F.array().cast(ANSWERS)), "_probed")).drop("_probed")
+
+
+def detections(blobs: DataFrame, rules: list[Rule] = RULES, probes: dict = PROBES) -> DataFrame:
+    """path, format, confidence, order for every format that some test tells, with its highest confidence. Blobs of one path keep their own rows."""
+    better = lambda x: ~F.exists("_answers", lambda y: (y["format"] == x["format"]) & (y["confidence"] > x["confidence"]))
+    best = _answers(blobs.select("path", "content"), rules, probes).select("path", F.explode(F.array_distinct(F.filter("_answers", better))).alias("d"))
+    return best.select("path", "d.format", "d.confidence", (-F.col("d.before")).alias("order"))
 
 
-def detections(blobs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """path, format, confidence, order for every rule that holds (the best of each format)."""
-    found = F.array_compact(F.array(*(F.when(rule_holds(r), F.struct(F.lit(r.format).alias("format"), F.lit(r.confidence).alias("confidence"), F.lit(r.order).alias("order"))) for r in rules)))
-    rows = blobs.select("path", F.explode(found).alias("d")).select("path", "d.*")
-    return rows.groupBy("path", "format", "order").agg(F.max("confidence").alias("confidence")).select("path", "format", "confidence", "order")
+def with_format(blobs: DataFrame, rules: list[Rule] = RULES, only: set[str] | frozenset[str] | None = None, without: frozenset[str] | set[str] = frozenset(), probes: dict = PROBES) -> DataFrame:
+    """blobs with the columns format and confidence of the best answer (null and 0 without one). Rows and other columns stay. only, without: formats (or aliases) to consider or leave out."""
+    used = [r for r in rules if _considered(r.format, only, without)]
+    looks = {name: p for name, p in probes.items() if _considered(name, only, without)}
+    plain = blobs.drop("format", "confidence")
+    if not used and not looks:
+        return plain.withColumns({"format": F.lit(None).cast("string"), "confidence": F.lit(0)})
+    best = _answers(plain, used, looks).withColumn("_best", F.array_max("_answers"))
+    return best.withColumns({"format": F.col("_best.format"), "confidence": F.coalesce("_best.confidence", F.lit(0))}).drop("_answers", "_best")
 
 
-def identify(blobs: DataFrame, rules: list[Rule] = RULES, only: set[str] | None = None, without: frozenset[str] | set[str] = frozenset()) -> DataFrame:
-    """path, format, confidence of every blob; null and 0 where no rule holds. only, without: formats to consider or leave out."""
-    used = sorted((r for r in rules if (only is None or r.format in only) and r.format not in without), key=lambda r: (-r.confidence, r.order))
-    if not used:
-        return blobs.select("path", F.lit(None).cast("string").alias("format"), F.lit(0).alias("confidence"))
-    # the first that holds is the best one
-    best = F.coalesce(*(F.when(rule_holds(r), F.struct(F.lit(r.format).alias("format"), F.lit(r.confidence).alias("confidence"))) for r in used))
-    return blobs.select("path", best.alias("best")).select("path", "best.format", F.coalesce("best.confidence", F.lit(0)).alias("confidence"))
+def identify(blobs: DataFrame, rules: list[Rule] = RULES, only: set[str] | frozenset[str] | None = None, without: frozenset[str] | set[str] = frozenset(), probes: dict = PROBES) -> DataFrame:
+    """path, format, confidence of every blob; null and 0 where nothing tells a format."""
+    return with_format(blobs.select("path", "content"), rules, only, without, probes).select("path", "format", "confidence")

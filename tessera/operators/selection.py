@@ -48,9 +48,9 @@ def output_name(base: Column, file_id: Column, suffix: Column) -> Column:
 
 
 def drop_repeats(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """The first row, by order, of those equal in by."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return rows.withColumn("_place", place).filter("_place = 1").drop("_place")
+    """The first row, by order, of those equal in by. Each task first keeps its own first ones, so no key's rows meet in one."""
+    first = rows.groupBy(*by).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_first"))
+    return first.select("_first.*")
 
 
 def changed_frames(frames: DataFrame, by: str, order: str, content: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The whole way of a blob: identify, extract, select, number, name."""
+"""The whole way of a blob: identify, extract, select, number, name. Each step is a column or a row of the same pass: nothing is joined to itself."""
 
 from __future__ import annotations
 
@@ -14,7 +14,12 @@ from tessera.operators.fields import fields
 
 @dataclass(frozen=True)
 class Options:
-    """What is extracted. only, without: formats; main, aux: kinds of outputs; first, most: numbers of outputs (most None: no limit, get sets both); list_only: leave data out."""
+    """What is extracted.
+
+    only, without: formats (or aliases); main, aux, directories, labels: kinds of outputs; first, most: numbers of
+    outputs (most None: no limit, get sets both); list_only: leave data out; largest, total: bytes of an output and
+    of all of a blob; force: the format to take all blobs for; level: 1, or 2 to keep members whose headers are wrong.
+    """
 
     only: frozenset[str] | None = None
     without: frozenset[str] = field(default_factory=frozenset)
@@ -27,18 +32,33 @@ class Options:
     list_only: bool = False
     largest: int = 10 << 30
     total: int = 15 << 30
+    force: str | None = None
+    level: int = 1
+
+
+def typed(blobs: DataFrame, options: Options) -> DataFrame:
+    """path, content, format and confidence of blobs."""
+    rows = blobs.select("path", "content")
+    if options.force:
+        return rows.withColumns({"format": F.lit(identify.format_name(options.force)), "confidence": F.lit(100)})
+    return identify.with_format(rows, only=options.only, without=options.without)
+
+
+def _members(blobs: DataFrame, options: Options, data: bool) -> DataFrame:
+    return members.members(typed(blobs, options), data=data).withColumnRenamed("file_id", "member")
 
 
 def outputs(blobs: DataFrame, options: Options = Options()) -> DataFrame:
     """Members of blobs (path, content) whose format is known, as selected, with the number and name of each output.
 
-    Numbers count what the policy keeps; first, most and get then choose among them.
+    Numbers count what the policy keeps; first, most and get then choose among them. Blobs that share a path are
+    numbered together, one after another.
     """
-    known = identify.identify(blobs, only=options.only, without=options.without)
-    typed = blobs.select("path", "content").join(known.filter(F.col("format").isin(sorted(members.HANDLERS))), "path")
-    found = members.members(typed, data=not options.list_only).withColumnRenamed("file_id", "member")
+    found = _members(blobs, options, not options.list_only)
+    if options.level < 2:
+        found = found.filter(~F.coalesce(F.col("err") == "wrong header checksum", F.lit(False)))
     kept = selection.policy(found, options.main, options.aux, options.directories)
-    numbered = selection.number(kept, "path", ["member"])
+    numbered = selection.number(kept, "path", ["member", "name", "orig_len"])
     chosen = selection.get(numbered, options.get) if options.get is not None else selection.take(numbered, options.first, options.most)
     sized = selection.within_size(chosen, "path", "orig_len", options.largest, options.total)
     base = F.regexp_extract("path", r"([^/\\]*)$", 1)
@@ -47,11 +67,10 @@ def outputs(blobs: DataFrame, options: Options = Options()) -> DataFrame:
 
 
 def diagnostics(blobs: DataFrame, options: Options = Options()) -> DataFrame:
-    """path, level, message: blobs of unknown format, damaged members, wrong sums, and outputs beyond the limit."""
-    known = identify.identify(blobs, only=options.only, without=options.without)
+    """path, level, message: blobs of unknown format, damaged members, wrong sums, and outputs beyond the limit. Data stays in the tasks that read it."""
+    known = typed(blobs, options)
     unknown = known.filter(F.col("format").isNull()).select("path", F.lit("error").alias("level"), F.lit("unknown format").alias("message"))
-    typed = blobs.select("path", "content").join(known.filter(F.col("format").isin(sorted(members.HANDLERS))), "path")
-    found = members.members(typed, data=False)
+    found = members.members(known, data=False)
     broken = found.filter(~F.col("ok")).select("path", F.lit("error").alias("level"), F.concat_ws(": ", "name", "err").alias("message"))
     wrong = found.filter(F.col("ok") & ~F.coalesce("crc_ok", F.lit(True))).select("path", F.lit("warning").alias("level"), F.concat_ws(": ", "name", F.lit("wrong checksum")).alias("message"))
     out = unknown.union(broken).union(wrong)
@@ -63,5 +82,5 @@ def diagnostics(blobs: DataFrame, options: Options = Options()) -> DataFrame:
 
 def metadata(blobs: DataFrame, options: Options = Options()) -> DataFrame:
     """Fields of all blobs whose format has any."""
-    known = identify.identify(blobs, only=options.only, without=options.without)
-    return fields(blobs.select("path", "content").join(known.filter(F.col("format").isin(sorted(FIELD_KINDS))), "path"))
+    known = typed(blobs, options)
+    return fields(known.filter(F.col("format").isin(sorted(FIELD_KINDS))))

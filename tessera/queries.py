@@ -7,10 +7,6 @@ made from those texts first, so that what comes out can be held against what wen
 from __future__ import annotations
 
 import gzip
-import io
-import struct
-import tarfile
-import zipfile
 import zlib
 from collections.abc import Callable
 
@@ -18,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import fixtures
+from tessera.fixtures import as_bmp, as_tar, as_zip
 from tessera.functions import checksums, dates, numbers, reading, text
 from tessera.operators import byteops, codecs, identify, members, rasters, screens, selection, sinks
 from tessera.operators.fields import fields
@@ -36,10 +34,6 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blobs_from_column(table(spark, sf_dir, "pages"), "url", "html")
 
 
-def props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blobs_from_column(table(spark, sf_dir, "events"), "event_id", "props")
-
-
 def made(work: Callable[[bytes], bytes], content: str = "content") -> Column:
     """A blob made from each blob, for queries that read what they wrote."""
 
@@ -50,36 +44,8 @@ def made(work: Callable[[bytes], bytes], content: str = "content") -> Column:
     return each(content)
 
 
-def as_zip(data: bytes) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, body, how in (("text.txt", data, zipfile.ZIP_DEFLATED), ("head.bin", data[:100], zipfile.ZIP_STORED)):
-            z.writestr(zipfile.ZipInfo(name, (2001, 2, 3, 4, 5, 6)), body, how)
-    return out.getvalue()
-
-
-def as_tar(data: bytes) -> bytes:
-    out = io.BytesIO()
-    with tarfile.open(fileobj=out, mode="w", format=tarfile.PAX_FORMAT) as t:
-        for name, body in (("a/text.txt", data), ("b" * 120, data[:100])):
-            info = tarfile.TarInfo(name)
-            info.size, info.mtime = len(body), 981_173_106
-            t.addfile(info, io.BytesIO(body))
-    return out.getvalue()
-
-
-def as_packbits(data: bytes) -> bytes:
-    return b"".join(bytes([len(p) - 1]) + p for p in (data[i : i + 128] for i in range(0, len(data), 128)))
-
-
-def as_bmp(data: bytes) -> bytes:
-    """A 24-bit image, 16 pixels wide, of the first 480 bytes (zero-filled)."""
-    body = data[:480].ljust(480, b"\0")
-    return b"BM" + struct.pack("<IIIIiiHHIIiiII", 534, 0, 54, 40, 16, -10, 1, 24, 0, 480, 0, 0, 0, 0) + body
-
-
 def byte_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byteops.byte_frequencies(props(spark, sf_dir)).select("path", "byte", F.col("count").alias("n"), F.col("first")[0].alias("first_at"), "char")
+    return byteops.byte_frequencies(docs(spark, sf_dir)).select("path", "byte", F.col("count").alias("n"), F.col("first")[0].alias("first_at"), "char")
 
 
 def checksum_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +59,7 @@ def checksum_crcs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = byteops.split_blob(pages(spark, sf_dir), 100, 128)
+    parts = byteops.split_blob(pages(spark, sf_dir), 100, 128, most=None)
     return parts.select("path", "part", F.lower(F.hex("content")).alias("bytes_hex"))
 
 
@@ -103,7 +69,7 @@ def join_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def xor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return props(spark, sf_dir).select("path", F.hex(byteops.xor_blob("content", "5A")).alias("bytes_hex"))
+    return docs(spark, sf_dir).select("path", F.hex(byteops.xor_blob("content", "5A")).alias("bytes_hex"))
 
 
 def base16(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +77,7 @@ def base16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hexdump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byteops.hexdump(props(spark, sf_dir))
+    return byteops.hexdump(docs(spark, sf_dir))
 
 
 def rot13(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +85,7 @@ def rot13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transcode_latin1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("path", text.transcode("content", "latin1").alias("shown")).select("path", F.length("shown").cast("long").alias("chars"))
+    return docs(spark, sf_dir).select("path", F.md5(text.transcode("content", "latin1")).alias("shown_md5"))
 
 
 def identify_best(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,13 +104,13 @@ def identify_made(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlay_and_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return props(spark, sf_dir).select("path", F.hex(slice_blob(F.col("content"), 3, 8)).alias("bytes_hex"))
+    return docs(spark, sf_dir).select("path", F.hex(slice_blob(F.col("content"), 3, 8)).alias("bytes_hex"))
 
 
 def number_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zero-filled reads near the ends of short blobs."""
+    """Zero-filled reads at the beginnings and ends of blobs."""
     at = F.octet_length("content") - 1
-    return props(spark, sf_dir).select(
+    return docs(spark, sf_dir).select(
         "path", reading.u8("content", 0).cast("long").alias("first_u8"), reading.u16le("content", at).cast("long").alias("last_u16le"),
         reading.u16be("content", at).cast("long").alias("last_u16be"), reading.u32be("content", 2).alias("third_u32be"), reading.i16le("content", 1).cast("long").alias("second_i16le"),
     )
@@ -229,22 +195,56 @@ def decode_zlib(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decode_packbits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decoded(docs(spark, sf_dir), "packbits", as_packbits)
+    """Texts with runs of one to five equal bytes."""
+    return _decoded(docs(spark, sf_dir), "packbits", lambda b: fixtures.as_packbits(fixtures.stretched(b)))
 
 
 def decode_rle90(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decoded(docs(spark, sf_dir), "rle90", lambda b: b.replace(b"\x90", b"\x90\x00"))
+    return _decoded(docs(spark, sf_dir), "rle90", lambda b: fixtures.as_rle90(fixtures.stretched(b)))
+
+
+def _each(spark: SparkSession, sf_dir: str, kinds: dict[str, tuple[str, Callable[[bytes], bytes]]]) -> DataFrame:
+    """What came out of each of several methods, by name."""
+    sized = docs(spark, sf_dir)
+    parts = [
+        sized.select("path", "length", made(work).alias("coded")).select("path", F.lit(name).alias("kind"), codecs.decompress("coded", method, F.col("length")).alias("d"))
+        for name, (method, work) in kinds.items()
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.union(part)
+    return whole.select("path", "kind", F.md5("d.data").alias("data_md5"), F.length("d.data").cast("long").alias("size"))
+
+
+def decode_lzw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four kinds of LZW: least significant bit first with and without a stop code, most significant first, and up to 13 bits."""
+    return _each(spark, sf_dir, {k: (m, lambda b, v=v: fixtures.as_lzw(b, v)) for k, m, v in (("compress", "lzw", "compress"), ("gif", "lzw_gif", "gif"), ("tiff", "lzw_tiff", "tiff"), ("zoo", "lzw_zoo", "zoo"))})
+
+
+def decode_lha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LHA's adaptive code and its static ones."""
+    return _each(spark, sf_dir, {"lh1": ("lh1", fixtures.as_lh1), "lh5": ("lh5", fixtures.as_lh), "lh6": ("lh6", lambda b: fixtures.as_lh(b, 15)), "lh7": ("lh7", lambda b: fixtures.as_lh(b, 16))})
+
+
+def decode_dcl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain and coded literals."""
+    return _each(spark, sf_dir, {"plain": ("implode_dcl", fixtures.as_dcl), "coded": ("implode_dcl", lambda b: fixtures.as_dcl(b, True, 4))})
+
+
+def members_old_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A member for each of ZIP's older methods: shrink, reduce, implode, deflate64 and DCL implode."""
+    return _members(docs(spark, sf_dir), "zip", fixtures.old_zip)
 
 
 def rasters_bmp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels, as hexadecimal RGB, of images made from the first bytes of events' properties."""
-    images = props(spark, sf_dir).select("path", rasters.raster(made(as_bmp), "bmp").alias("r"))
+    """Pixels, as hexadecimal RGB, of images made of whole texts."""
+    images = docs(spark, sf_dir).select("path", rasters.raster(made(as_bmp), "bmp").alias("r"))
     return images.select("path", F.col("r.width").cast("long").alias("width"), F.col("r.height").cast("long").alias("height"), F.md5("r.data").alias("data_md5"))
 
 
 def png_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of PNG files that are encoded from decoded images."""
-    images = props(spark, sf_dir).select("path", rasters.raster(made(as_bmp), "bmp").alias("raster"))
+    images = docs(spark, sf_dir).select("path", rasters.raster(made(as_bmp), "bmp").alias("raster"))
     return fields(images.select("path", rasters.png_of(images).alias("content")), "png").select("path", "tag", F.when(F.col("tag") == "IHDR", F.regexp_extract("value", r"width=(\d+) height=(\d+)", 0)).alias("size"))
 
 
@@ -259,15 +259,15 @@ def archives_of_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wav_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return props(spark, sf_dir).select("path", F.hex(sinks.as_wav("content", 8_000)).alias("bytes_hex"))
+    return docs(spark, sf_dir).select("path", F.hex(sinks.as_wav("content", 8_000)).alias("bytes_hex"))
 
 
 def decode_lzss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decoded(docs(spark, sf_dir), "lzss", lambda b: b"".join(b"\xff" + b[i : i + 8] for i in range(0, len(b), 8)))
+    return _decoded(docs(spark, sf_dir), "lzss", fixtures.as_lzss)
 
 
 def decode_hlp_lz77(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decoded(docs(spark, sf_dir), "hlp_lz77", lambda b: b"".join(b"\x00" + b[i : i + 8] for i in range(0, len(b), 8)))
+    return _decoded(docs(spark, sf_dir), "hlp_lz77", fixtures.as_hlp_lz77)
 
 
 def all_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,8 +277,17 @@ def all_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Properties of events as character screens, 80 columns wide, and their lines again."""
-    return screens.screen_lines(screens.cells(props(spark, sf_dir), "ansiart")).select("path", "row", "line")
+    """Texts, with blanks for control characters, as character screens of 80 columns, and their lines again."""
+    plain = docs(spark, sf_dir).select("path", F.encode(F.regexp_replace(F.decode("content", "UTF-8"), "[\\x00-\\x1F\\x7F]", " "), "UTF-8").alias("content"))
+    return screens.screen_lines(screens.cells(plain, "ansiart")).select("path", "row", F.md5("line").alias("line_md5"))
+
+
+def screen_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as ANSI art, each in a colour by its turn, bright for the user; how many cells have which colours."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("path"), "turn", "role", F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x20-\\x7E]", "").alias("t"))
+    order = F.concat(F.lit("\x1b["), F.when(F.col("role") == "user", "1;").otherwise("0;"), (F.col("turn") % 8 + 30).cast("string"), F.lit(";4"), (F.col("turn") * 3 % 8).cast("string"), F.lit("m"))
+    found = screens.cells(turns.select("path", F.encode(F.concat(order, "t"), "UTF-8").alias("content")), "ansiart")
+    return found.groupBy("path", "fg", "bg").agg(F.count("*").alias("cells"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -286,13 +295,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         identify_best, byte_frequencies, checksum_sums, checksum_crcs, split, join_turns, xor, base16, hexdump, rot13, transcode_latin1, identify_made, overlay_and_slice, number_reads, main_outputs,
         size_limits, unrepeated, changed_turns, date_conversions, colour_conversions, safe_names, members_zip, members_tar, members_gzip, decode_deflate, decode_zlib, decode_packbits, decode_rle90, rasters_bmp, png_chunks,
-        archives_of_turns, wav_files, decode_lzss, decode_hlp_lz77, all_detections, text_screens,
+        archives_of_turns, wav_files, decode_lzss, decode_hlp_lz77, all_detections, text_screens, screen_colours, decode_lzw, decode_lha, decode_dcl, members_old_zip,
     )
 }
 
 DOC = "select cast(doc_id as varchar) as path, coalesce(text, '') as t from documents"
-#: The bytes of a blob b as a list of numbers.
-BYTES = "list_transform(range(0, octet_length(b)), lambda i: ('0x' || substr(hex(b), 2 * i + 1, 2))::int::bigint)"
+#: Texts with the digits of their UTF-8 bytes (h) and the number of bytes (n); the bytes as a list of numbers.
+HEX = f"select path, t, hex(encode(t)) as h, octet_length(encode(t)) as n from ({DOC})"
+BYTES = "list_transform(regexp_extract_all(h, '..'), lambda d: ('0x' || d)::int::bigint)"
+#: What fixtures.stretched makes of a text, as digits.
+STRETCHED = "array_to_string(list_transform(regexp_extract_all(h, '..'), lambda d: repeat(d, 1 + ('0x' || d)::int % 5)), '')"
+
+
+def crc_sql(table: list[int], first: int, step: str) -> str:
+    """A fold over the bytes x from first on; step tells the next remainder from the last one c, a byte b and the table t."""
+    return f"list_reduce(list_prepend({first}::bigint, x), lambda c, b: {step.replace('t[', f'({table}::bigint[])[')})"
+
+
+def remainders(polynomial: int, reflected: bool) -> list[int]:
+    """The remainder of each byte value: of a reflected polynomial, or of one of 16 bits."""
+    out = []
+    for value in range(256):
+        value = value if reflected else value << 8
+        for _ in range(8):
+            if reflected:
+                value = value >> 1 ^ (polynomial if value & 1 else 0)
+            else:
+                value = value << 1 & 0xFFFF ^ (polynomial if value & 0x8000 else 0)
+        out.append(value)
+    return out
+
+
+REFLECTED, PLAIN = "xor(c >> 8, t[(xor(c, b) & 255) + 1])", "xor((c << 8) & 65535, t[xor(c >> 8, b) + 1])"
+#: The character that a DOS screen shows for bytes from 7F on.
+UPPER_HALF = "⌂ÇüéâäàåçêëèïîìÄÅÉæÆôöòûùÿÖÜ¢£¥₧ƒáíóúñÑªº¿⌐¬½¼¡«»░▒▓│┤╡╢╖╕╣║╗╝╜╛┐└┴┬├─┼╞╟╚╔╩╦╠═╬╧╨╤╥╙╘╒╓╫╪┘┌█▄▌▐▀αßΓπΣσµτΦΘΩδ∞φε∩≡±≥≤⌠⌡÷≈°∙·√ⁿ²■\xa0"
 #: Days from 1970 to a date whose day of the month rolls over.
 DAYS = "cast(date_diff('day', date '1970-01-01', make_date(cast({y} as int), cast({m} as int), 1)) + {d} - 1 as bigint)"
 #: A number as four bytes in hexadecimal, least first.
@@ -305,31 +341,40 @@ def whole(extra: str = "") -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
-    "identify_best": """select path, case when html then 'html' when xml then 'xml' when bom then 'utf8_text' else 'none' end as format, case when html then 20 when xml then 10 when bom then 5 else 0 end as confidence
-        from (select path, starts_with(t, '<!DOCTYPE html') or starts_with(t, '<!doctype html') or starts_with(t, '<html') or starts_with(t, '<HTML') as html, starts_with(t, '<?xml') as xml, starts_with(t, chr(65279)) as bom
-        from (select url as path, coalesce(html, '') as t from pages union all select cast(doc_id as varchar), coalesce(text, '') from documents))""",
+    "identify_best": f"""select path, max(f).n as format, max(f).c as confidence from (
+        select path, unnest(list_filter([{{'c': 0, 'before': 0, 'n': 'none'}}, case when starts_with(t, '<!DOCTYPE html') or starts_with(t, chr(65279) || '<!DOCTYPE html') or starts_with(t, '<html') then {{'c': 20, 'before': -402, 'n': 'html'}} end,
+            case when n > 1 and v % 16 = 8 and v between 8 and 120 and (v * 256 + w) % 31 = 0 then {{'c': 50, 'before': -143, 'n': 'zlib'}} end, case when starts_with(t, 'WL') then {{'c': 6, 'before': -156, 'n': 'cdr_wl'}} end,
+            case when starts_with(t, 'CI') or starts_with(t, 'CP') or starts_with(t, 'PT') then {{'c': 20, 'before': -38, 'n': 'os2bmp'}} when starts_with(t, 'BA') or starts_with(t, 'IC') then {{'c': 10, 'before': -38, 'n': 'os2bmp'}} end], lambda x: x is not null)) as f
+        from (select *, coalesce(('0x' || nullif(substr(h, 1, 2), ''))::int, 0) as v, coalesce(('0x' || nullif(substr(h, 3, 2), ''))::int, 0) as w from ({HEX} union all select url, t, hex(encode(t)), octet_length(encode(t)) from (select url, coalesce(html, '') as t from pages)))) group by path""",
     "byte_frequencies": f"""select path, cast(v as int) as byte, count(*) as n, min(i) as first_at, case when v between 32 and 126 then chr(cast(v as int)) end as char
-        from (select path, unnest({BYTES}) as v, unnest(range(0, octet_length(b))) as i from (select cast(event_id as varchar) as path, encode(coalesce(props, '')) as b from events)) group by path, v""",
+        from (select path, unnest({BYTES}) as v, unnest(range(0, n)) as i from ({HEX})) group by path, v""",
     "checksum_sums": f"""select path, cast(list_sum(x) as bigint) as sum_bytes,
         cast(((n + list_sum(list_transform(x, lambda v, i: (n - i + 1) * v))) % 65521) * 65536 + (1 + list_sum(x)) % 65521 as bigint) as adler32,
         cast(list_sum(list_transform(x, lambda v, i: case when i % 2 = 1 then v else 256 * v end)) as bigint) as sum_u16le, cast(list_sum(list_transform(x, lambda v, i: case when i % 2 = 0 then v else 256 * v end)) as bigint) as sum_u16be
-        from (select path, {BYTES} as x, octet_length(b) as n from (select path, encode(t) as b from ({DOC})) where octet_length(b) > 0)
+        from (select path, {BYTES} as x, n from ({HEX}) where n > 0)
         union all select path, 0, 1, 0, 0 from ({DOC}) where t = ''""",
+    "checksum_crcs": f"""select path, xor(c, 4294967295) as crc32_native, c as jamcrc_native, xor(c, 4294967295) as crc32_ieee, c as crc32_jamcrc, {crc_sql(remainders(0xEDB88320, True), 0, REFLECTED)} as crc32_pl,
+        {crc_sql(remainders(0xA001, True), 0, REFLECTED)} as crc16_arc, {crc_sql(remainders(0x1021, False), 0, PLAIN)} as crc16_xmodem, {crc_sql(remainders(0x1021, False), 0xFFFF, PLAIN)} as crc16_ibm3740,
+        xor({crc_sql(remainders(0x8408, True), 0xFFFF, REFLECTED)}, 65535) as crc16_ibmsdlc, cast((n + coalesce(list_sum(list_transform(x, lambda v, i: (n - i + 1) * v)), 0)) % 65521 * 65536 + (1 + coalesce(list_sum(x), 0)) % 65521 as bigint) as adler32,
+        cast(coalesce(list_sum(x), 0) as bigint) as sum_bytes, cast(coalesce(list_sum(list_transform(x, lambda v, i: case when i % 2 = 1 then v else 256 * v end)), 0) as bigint) as sum_u16le,
+        cast(coalesce(list_sum(list_transform(x, lambda v, i: case when i % 2 = 0 then v else 256 * v end)), 0) as bigint) as sum_u16be
+        from (select *, {crc_sql(remainders(0xEDB88320, True), 0xFFFFFFFF, REFLECTED)} as c from (select path, n, {BYTES} as x from ({HEX})))""",
     "split": """select path, cast(i // 128 as int) as part, lower(substr(h, 2 * i + 1, 200)) as bytes_hex
-        from (select path, h, unnest(range(0, length(h) // 2, 128)) as i from (select url as path, hex(encode(coalesce(html, ''))) as h from pages) where length(h) // 2 <= 256 * 128)""",
+        from (select path, h, unnest(range(0, length(h) // 2, 128)) as i from (select url as path, hex(encode(coalesce(html, ''))) as h from pages))""",
     "join_turns": "select conv_id, string_agg(coalesce(text, ''), '' order by turn) as joined from conversations group by conv_id",
-    "xor": f"""select path, coalesce(array_to_string(list_transform(x, lambda v: printf('%02X', xor(v, 90))), ''), '') as bytes_hex from (select path, {BYTES} as x from (select cast(event_id as varchar) as path, encode(coalesce(props, '')) as b from events))""",
+    "xor": f"""select path, coalesce(array_to_string(list_transform({BYTES}, lambda v: printf('%02X', xor(v, 90))), ''), '') as bytes_hex from ({HEX})""",
     "base16": f"""select path, substr(d, 1, length(d) - length(d) % 2) as bytes_hex from (select path, upper(regexp_replace(t, '[^0-9A-Fa-f]', '', 'g')) as d from ({DOC}))""",
-    "hexdump": """select path, cast(i // 16 as int) as row, lpad(cast(i as varchar), cast(length(cast((n - 1) // 16 * 16 as varchar)) as int), ' ') || ': '
-        || rpad(rtrim(lower(regexp_replace(substr(h, 2 * i + 1, 32), '(..)', '\\1 ', 'g'))), 47, ' ') || '  '
-        || array_to_string(list_transform(range(i, least(i + 16, n)), lambda j: case when ('0x' || substr(h, 2 * j + 1, 2))::int between 32 and 126 then chr(('0x' || substr(h, 2 * j + 1, 2))::int) else '.' end), '') as line
-        from (select path, h, length(h) // 2 as n, unnest(range(0, length(h) // 2, 16)) as i from (select cast(event_id as varchar) as path, hex(encode(coalesce(props, ''))) as h from events))""",
+    "hexdump": f"""select path, cast(r as int) as row, lpad(cast(16 * r as varchar), cast(length(cast((n - 1) // 16 * 16 as varchar)) as int), ' ') || ': '
+        || rpad(rtrim(lower(regexp_replace(piece, '(..)', '\\1 ', 'g'))), 47, ' ') || '  '
+        || array_to_string(list_transform(regexp_extract_all(piece, '..'), lambda d: case when ('0x' || d)::int between 32 and 126 then chr(('0x' || d)::int) else '.' end), '') as line
+        from (select path, n, unnest(regexp_extract_all(h, '.{{1,32}}')) as piece, unnest(range(0, (n + 15) // 16)) as r from ({HEX}))""",
     "rot13": "select doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm') as turned from documents",
-    "transcode_latin1": f"select path, octet_length(encode(t)) - case when starts_with(t, chr(65279)) then 3 else 0 end as chars from ({DOC})",
-    "identify_made": f"select m.made, m.made as format, m.c as confidence, count(*) as n from ({DOC}) d, (values ('gzip', 100), ('zip', 100), ('tar', 90), ('bmp', 90)) m(made, c) where t <> '' group by all",
-    "overlay_and_slice": "select cast(event_id as varchar) as path, case when octet_length(b) >= 11 then substr(hex(b), 7, 16) end as bytes_hex from (select event_id, encode(coalesce(props, '')) as b from events)",
-    "number_reads": """select path, ('0x' || substr(h, 1, 2))::bigint as first_u8, ('0x' || substr(h, length(h) - 35, 2))::bigint as last_u16le, ('0x' || substr(h, length(h) - 35, 2))::bigint * 256 as last_u16be, ('0x' || substr(h, 5, 8))::bigint as third_u32be,
-        case when v >= 32768 then v - 65536 else v end as second_i16le from (select path, h, ('0x' || substr(h, 5, 2) || substr(h, 3, 2))::bigint as v from (select cast(event_id as varchar) as path, hex(encode(coalesce(props, ''))) || repeat('0', 36 - 2) as h from events))""",
+    "transcode_latin1": f"""select path, md5(coalesce(array_to_string(list_transform({BYTES}, lambda v: chr(cast(v as int))), ''), '')) as shown_md5 from ({HEX}) where not starts_with(t, chr(65279))
+        union all select path, md5(substr(t, 2)) from ({DOC}) where starts_with(t, chr(65279))""",
+    "identify_made": f"select m.made, m.made as format, m.c as confidence, count(*) as n from ({DOC}) d, (values ('gzip', 100), ('zip', 100), ('tar', 90), ('bmp', 100)) m(made, c) where t <> '' group by all",
+    "overlay_and_slice": f"select path, case when n >= 11 then substr(h, 7, 16) end as bytes_hex from ({HEX})",
+    "number_reads": f"""select path, ('0x' || substr(f, 1, 2))::bigint as first_u8, case when n = 0 then 0 else ('0x' || substr(f, 2 * n - 1, 2))::bigint end as last_u16le, case when n = 0 then 0 else ('0x' || substr(f, 2 * n - 1, 2))::bigint * 256 end as last_u16be, ('0x' || substr(f, 5, 8))::bigint as third_u32be,
+        case when v >= 32768 then v - 65536 else v end as second_i16le from (select path, n, f, ('0x' || substr(f, 5, 2) || substr(f, 3, 2))::bigint as v from (select path, n, h || '0000000000000000' as f from ({HEX})))""",
     "main_outputs": """select conv_id, turn, file_id, 'output.' || lpad(cast(file_id as varchar), 3, '0') || '.txt' as name
         from (select conv_id, turn, row_number() over (partition by conv_id order by turn, text) - 1 as file_id from conversations where role is distinct from 'user') where file_id between 1 and 2""",
     "size_limits": """select conv_id, turn, file_id, size from (select *, sum(size) over w as s, max(size) over w as m from (select conv_id, turn, octet_length(encode(coalesce(text, ''))) as size, row_number() over (partition by conv_id order by turn, text) - 1 as file_id
@@ -352,13 +397,18 @@ ORACLE_SQL: dict[str, str] = {
     "members_tar": f"""select path, 0 as file_id, 'a/text.txt' as name, octet_length(encode(t)) as orig_len, true as crc_ok, md5(t) as data_md5, true as ok from ({DOC})
         union all select path, 1, repeat('b', 120), least(100, octet_length(encode(t))), true, md5(unhex(substr(hex(encode(t)), 1, 200))), true from ({DOC})""",
     "members_gzip": f"select path, 0 as file_id, '' as name, octet_length(encode(t)) as orig_len, true as crc_ok, md5(t) as data_md5, true as ok from ({DOC})",
-    "decode_deflate": whole(), "decode_zlib": whole(), "decode_packbits": whole(), "decode_rle90": whole(), "decode_lzss": whole(), "decode_hlp_lz77": whole(),
+    "decode_deflate": whole(), "decode_zlib": whole(), "decode_lzss": whole(), "decode_hlp_lz77": whole(),
+    **{name: f"select path, md5(unhex(s)) as data_md5, length(s) // 2 as size, true as ok from (select path, {STRETCHED} as s from ({HEX}))" for name in ("decode_packbits", "decode_rle90")},
+    **{name: f"select path, kind, md5(t) as data_md5, octet_length(encode(t)) as size from ({DOC}), (values {', '.join(f'($${k}$$)' for k in kinds)}) k(kind)" for name, kinds in (("decode_lzw", ("compress", "gif", "tiff", "zoo")), ("decode_lha", ("lh1", "lh5", "lh6", "lh7")), ("decode_dcl", ("plain", "coded")))},
+    "members_old_zip": f"select path, cast(file_id as int) as file_id, 'm' || m as name, octet_length(encode(t)) as orig_len, true as crc_ok, md5(t) as data_md5, true as ok from ({DOC}), (values (0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 9), (8, 10)) v(file_id, m)",
     "archives_of_turns": "select cast(conv_id as varchar) as path, cast(turn as varchar) || '.txt' as name, 1000000001 as mtime_unix, true as crc_ok, md5(coalesce(text, '')) as data_md5 from conversations",
-    "wav_files": """select path, '52494646' || le(n + n % 2 + 36) || '57415645666D74201000000001000100401F0000401F00000100080064617461' || le(n) || h || repeat('00', n % 2) as bytes_hex
-        from (select cast(event_id as varchar) as path, hex(encode(coalesce(props, ''))) as h, octet_length(encode(coalesce(props, ''))) as n from events)""".replace("le(n + n % 2 + 36)", LITTLE.format("(n + n % 2 + 36)")).replace("le(n)", LITTLE.format("n")),
+    "wav_files": f"""select path, '52494646' || {LITTLE.format("(n + n % 2 + 36)")} || '57415645666D74201000000001000100401F0000401F00000100080064617461' || {LITTLE.format("n")} || h || repeat('00', n % 2) as bytes_hex from ({HEX})""",
     "all_detections": f"select path, 'tar' as format, 90 as confidence from ({DOC})",
-    "text_screens": """select path, cast(i as int) as row, substr(t, 80 * i + 1, 80) as line from (select path, t, unnest(range(0, (length(t) + 79) // 80)) as i from (select cast(event_id as varchar) as path, coalesce(props, '') as t from events))""",
-    "rasters_bmp": """select path, 16 as width, 10 as height, md5(unhex(array_to_string(list_transform(range(0, 160), lambda i: substr(h, 6 * i + 5, 2) || substr(h, 6 * i + 3, 2) || substr(h, 6 * i + 1, 2)), ''))) as data_md5
-        from (select cast(event_id as varchar) as path, substr(hex(encode(coalesce(props, ''))) || repeat('0', 960), 1, 960) as h from events)""",
-    "png_chunks": "select cast(event_id as varchar) as path, tag, case when tag = 'IHDR' then 'width=16 height=10' end as size from events, (values ('IHDR'), ('IDAT'), ('IEND')) c(tag)",
+    "text_screens": f"""select path, cast(r as int) as row, md5(regexp_replace(array_to_string(list_transform(regexp_extract_all(piece, '..'), lambda d: case when ('0x' || d)::int < 127 then chr(('0x' || d)::int) else substr('{UPPER_HALF}', ('0x' || d)::int - 126, 1) end), ''), '^$', '')) as line_md5
+        from (select path, unnest(regexp_extract_all(h, '.{{1,160}}')) as piece, unnest(range(0, (n + 79) // 80)) as r from (select path, hex(encode(u)) as h, octet_length(encode(u)) as n from (select path, regexp_replace(t, '[\\x00-\\x1F\\x7F]', ' ', 'g') as u from ({DOC}))))""",
+    "screen_colours": """select conv_id || '/' || turn as path, fg + case when role = 'user' then 8 else 0 end as fg, bg, octet_length(encode(t)) as cells from (select *, [0, 4, 2, 6, 1, 5, 3, 7][turn % 8 + 1] as fg, [0, 4, 2, 6, 1, 5, 3, 7][turn * 3 % 8 + 1] as bg,
+        regexp_replace(coalesce(text, ''), '[^\\x20-\\x7E]', '', 'g') as t from conversations) where t <> ''""",
+    "rasters_bmp": f"""select path, 16 as width, length(h) // 96 as height, md5(unhex(array_to_string(list_transform(regexp_extract_all(h, '.{{6}}'), lambda p: substr(p, 5, 2) || substr(p, 3, 2) || substr(p, 1, 2)), ''))) as data_md5
+        from (select path, rpad(h, cast(greatest(1, (n + 47) // 48) * 96 as int), '0') as h from ({HEX}))""",
+    "png_chunks": f"select path, tag, case when tag = 'IHDR' then 'width=16 height=' || greatest(1, (octet_length(encode(t)) + 47) // 48) end as size from ({DOC}), (values ('IHDR'), ('IDAT'), ('IEND')) c(tag)",
 }

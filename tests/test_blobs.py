@@ -122,7 +122,12 @@ def test_identify(spark):
     assert identify.identify(blobs(spark, png), only=set()).first().confidence == 0
     many = identify.detections(spark.createDataFrame([("a.bmp", bytearray(as_bmp(b"")))], "path string, content binary")).collect()
     assert [(r.format, r.confidence) for r in many] == [("bmp", 100)]
-    assert identify.registry(spark).filter("format = 'gif'").first().rules == 2
+    assert identify.registry(spark).filter("format = 'gif'").first().rules == 1
+    two = spark.createDataFrame([("a", bytearray(png)), ("a", bytearray(b"<html>"))], "path string, content binary")
+    kept = identify.with_format(two.withColumn("format", F.lit("old")))
+    assert kept.columns == ["path", "content", "format", "confidence"] and {r.format for r in kept.collect()} == {"png", "html"}
+    assert "Join" not in (plan := kept._jdf.queryExecution().executedPlan().toString()) and "Exchange" not in plan
+    assert identify.with_format(two, only={"PNG"}).filter("format = 'png'").count() == 1 and identify.format_name("AppleDouble") == "applesd"
 
 
 def test_members(spark):
@@ -158,9 +163,14 @@ def test_members(spark):
     assert [(r.name, bytes(r.data), r.mtime_unix) for r in members.members(blobs(spark, cpio), "cpio").collect()] == [("a", b"hello", 7)]
 
 
-def test_nested(spark):
+def test_nested(spark, tmp_path):
     inner = as_zip(b"hello")
-    levels = members.unpack_all(blobs(spark, gzip.compress(inner)), identify.identify)
+
+    def settle(table, level):
+        table.write.parquet(f"{tmp_path}/{level}")
+        return spark.read.schema(table.schema).parquet(f"{tmp_path}/{level}")
+
+    levels = members.unpack_all(blobs(spark, gzip.compress(inner)), identify.with_format, settle)
     assert [level.count() for level in levels] == [1, 2]
     assert {r.path for r in levels[1].collect()} == {"0!/0"}
 
@@ -210,7 +220,7 @@ def test_files_and_stream(spark, tmp_path):
     (tmp_path / "a.gz").write_bytes(gzip.compress(b"hello"))
     (tmp_path / "b.txt").write_bytes(b"x")
     assert blobs_from_files(spark, str(tmp_path), glob="*.gz").count() == 1
-    found = members.members(identify.identify(blobs_from_files(spark, str(tmp_path))).join(blobs_from_files(spark, str(tmp_path)).select("path", "content"), "path"))
+    found = members.members(identify.with_format(blobs_from_files(spark, str(tmp_path))))
     assert bytes(found.first().data) == b"hello"
     query = identify.identify(blob_stream(spark, str(tmp_path))).writeStream.format("memory").queryName("seen").start()
     query.processAllAvailable()
