@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -325,23 +326,65 @@ HANDLERS: dict[str, Callable[[bytes], np.ndarray]] = {
 }
 
 
+def readers() -> dict[str, Callable[[bytes], Iterator[np.ndarray]]]:
+    """All formats, each with the images that a blob of it holds."""
+    from tessera.operators import old_rasters, tiff_rasters
+
+    one = lambda read: lambda blob: iter((read(blob),))
+    return {k: one(f) for k, f in (HANDLERS | old_rasters.ONE).items()} | old_rasters.SEVERAL | {"tiff": tiff_rasters.tiff_images}
+
+
+#: What reading damaged images may raise.
+DAMAGE = (ArithmeticError, LookupError, ValueError, struct.error, zlib.error, RecursionError)
+
+
 def raster(content: Column | str, kind: str) -> Column:
-    """Each blob of the format as a struct of width, height, channels and rows of pixels; err tells why there is none."""
+    """The (first) image of each blob of the format as a struct of width, height, channels and rows of pixels; err tells why there is none."""
+    read = readers()[kind]
 
     @F.pandas_udf(RASTER)
     def each(blobs: pd.Series) -> pd.DataFrame:
         rows = []
         for blob in blobs:
             try:
-                image = HANDLERS[kind](blob or b"")
+                image = next(read(blob or b""), None)
+                if image is None:
+                    raise ValueError("no image")
                 rows.append((image.shape[1], image.shape[0], image.shape[2], image.tobytes(), None))
-            except (ValueError, IndexError, struct.error) as e:
+            except DAMAGE as e:
                 rows.append((None, None, None, None, str(e) or type(e).__name__))
         return pd.DataFrame(rows, columns=["width", "height", "channels", "data", "err"]).astype({"width": "Int32", "height": "Int32", "channels": "Int32"})
 
     return each(content)
 
 
+PICTURES = "path string, file_id int, width int, height int, channels int, data binary, err string"
+
+
+def pictures(blobs: DataFrame, kind: str | None = None) -> DataFrame:
+    """All images of blobs of the given format, or of that in their column format; one that cannot be read ends those of its blob with the reason."""
+    typed = blobs.select("path", (F.lit(kind) if kind else F.col("format")).alias("format"), "content")
+    names = [part.split()[0] for part in PICTURES.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+
+    def images(path: str, own: str | None, blob: bytes) -> Iterator[tuple]:
+        n = 0
+        try:
+            for image in readers()[own](blob) if own in readers() else ():
+                yield path, n, image.shape[1], image.shape[0], image.shape[2], image.tobytes(), None
+                n += 1
+        except DAMAGE as e:
+            yield path, n, None, None, None, None, str(e) or type(e).__name__
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(batch[c].to_pylist() for c in ("path", "format", "content")), strict=True):
+                for found in images(row[0], row[1], row[2] or b""):
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(found, kinds, strict=True)], names)
+
+    return typed.mapInArrow(expand, PICTURES)
+
+
 def png_of(rasters: DataFrame, raster_column: str = "raster") -> Column:
     """The rasters as PNG files, in the fewest channels."""
 
