@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -15,10 +15,12 @@ FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder in the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only a session without that setting (tests on one machine) gets a temporary folder.
+    Without that setting a session on one machine (tests) gets a temporary folder; on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
@@ -41,6 +43,13 @@ def scratch(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(df: DataFrame, name: str, free: bool = False, **metrics: Column) -> tuple[DataFrame, Row]:
+    """scratch(), with the number of its rows (rows) and other aggregates of them, which the write itself takes."""
+    seen = Observation()
+    table = scratch(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in metrics.items())), name, free)
+    return table, Row(**seen.get)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes scratch tables that nothing will read again."""
     for table in tables:
@@ -50,6 +59,11 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their very names, whatever characters these have."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

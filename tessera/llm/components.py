@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import scratch, sized
+from tessera.llm.common import discard, settle, sized
 
 
 def _large(links: DataFrame, n: int) -> DataFrame:
@@ -26,13 +26,16 @@ def components(links: DataFrame) -> DataFrame:
     Each round joins every node's neighbours to the least among them and writes the links anew, so
     neither a component nor the links ever lie in one task; rounds grow as the logarithm of the
     longest path. Minima are taken before the shuffle, and large nodes are split by skew joins.
+    Links of a node with itself and repeated links count for nothing; without links there is no row.
     """
-    now = scratch(links.select("a", "b").filter("a <> b").distinct(), "links")
-    before = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if mark == before or not mark[0]:
-            return now.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
-        before, n = mark, mark[0]
-        wide = sized(_large(now, n).filter("a <> b").distinct(), n)
-        now = scratch(sized(_small(wide, n).filter("a <> b").distinct(), n), "links")
+    mark = {"sum": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
+    now, before = settle(links.select("a", "b").filter("a <> b").distinct(), "links", **mark)
+    while before.rows:
+        wide = sized(_large(now, before.rows).filter("a <> b").distinct(), before.rows)
+        later, after = settle(sized(_small(wide, before.rows).filter("a <> b").distinct(), before.rows), "links", **mark)
+        discard(now)
+        now = later
+        if after == before:
+            break
+        before = after
+    return now.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.llm.wordhash import byte_chunks
 
@@ -31,17 +32,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n: int) -> D
 
 
 def with_scores(docs: DataFrame, scores: Callable[[np.ndarray, np.ndarray], np.ndarray], name: str = "score") -> DataFrame:
-    """Adds the scores of whole texts, given as bytes and offsets; a null text scores as an empty one. Rows and other columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(scores)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    """Adds the scores of whole texts, given as bytes and offsets; a null text scores as an empty one. Rows and other columns stay.
+
+    scores travels with the tasks: models here have some 100 KB.
+    """
+    schema = StructType([*(StructField(f.name, f.dataType) for f in docs.schema), StructField(name, DoubleType())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, data, offsets in byte_chunks(batch["text"]):
                 own = batch.slice(at, to - at)
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(shared.value(data, offsets))], [*batch.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(scores(data, offsets))], [*batch.schema.names, name])
 
-    return docs.mapInArrow(add, f"{fields}, `{name}` double")
+    return docs.mapInArrow(add, schema)
 
 
 def free_name(docs: DataFrame, name: str) -> str:
