@@ -53,7 +53,7 @@ def k_means(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return centroids
 
 
-def fit(sample: np.ndarray, rows: int, k: int, recall: float = 0.985, most: int = 1_024) -> Index:
+def fit(sample: np.ndarray, rows: int, k: int, recall: float = 0.985, most: int = 4_096) -> Index:
     """Learns lists from a sample, and from exact searches in it how many of them reach the recall.
 
     Neighbours in a sample lie farther away than in the whole table, so the count errs upwards.
@@ -76,7 +76,7 @@ def fit(sample: np.ndarray, rows: int, k: int, recall: float = 0.985, most: int
 
 
 def adaptive_scan(q: np.ndarray, turned: np.ndarray, x: np.ndarray, rotated: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest rows of x to q (distance, then id); own is the query's id. turned and rotated are q and x after rotation."""
+    """The k nearest rows of x to q: by distance, ties by smaller id; own is the query's id. turned and rotated are q and x after rotation."""
     d = len(q)
     best_d, best_i = np.zeros(0), np.zeros(0, "i8")
     for at in range(0, len(x), PAGE):

@@ -7,30 +7,42 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import dataset
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import merge_tops, scratch_path
+from tessera.llm.common import merge_tops, scratch, scratch_path
 from tessera.llm.vectors import embeddings, matrix, stated_queries, struct_lists, usable
 
+#: Rows of a tile, rows of a block of queries, and bytes of the tiles that a task holds at once.
 SHARD_ROWS = 2_048
 QUERY_ROWS = 512
-TILE_BYTES = 16 << 20
+SHARD_BYTES = 128 << 20
 
 
 def whole(x: np.ndarray, scale: int) -> np.ndarray:
     return np.floor(x * scale)
 
 
+MOST = 2**63 - 1
+
+
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of integer-valued rows, exactly: by doubles while every partial sum stays below 2**53, else by 64-bit integers."""
-    bound = float(np.abs(q).sum(1).max(initial=0)) * float(np.abs(x).max(initial=0))
-    if bound < 2**53:
+    """Inner products of integer-valued rows, exactly: by doubles while every partial sum stays below 2**53, by 64-bit integers below 2**63, else by whole numbers of any size.
+
+    A product beyond 64 bits counts as the nearest of -MOST and MOST.
+    """
+    bound = np.abs(q).sum(1)[:, None] * np.abs(x).max(1, initial=0)[None, :]
+    if not (wide := bound >= 2**53).any():
         return (q @ x.T).astype("i8")
-    if bound >= 2**63:
-        raise ArithmeticError("scores may exceed 64 bits")
-    return q.astype("i8") @ x.astype("i8").T
+    light = lambda v: np.where(np.abs(v) < 2**53, v, 0)
+    whole64 = lambda v: np.where(np.abs(v) < 2**63, v, 0).astype("i8")
+    out = np.where(wide, whole64(q) @ whole64(x).T, np.where(wide, 0, light(q) @ light(x).T).astype("i8"))
+    for i, j in zip(*np.nonzero(bound >= 2**63), strict=True):
+        out[i, j] = max(-MOST, min(MOST, sum(int(a) * int(b) for a, b in zip(q[i], x[j], strict=True))))
+    return out
 
 
 class Tops:
@@ -69,46 +81,58 @@ class Tops:
 LISTS = "query_id long, part int, top array<struct<neg: long, vec_id: long>>"
 
 
-def scan(batches: Iterator[pa.RecordBatch], queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int, scale: int) -> Iterator[pa.RecordBatch]:
-    """One shard against one block of queries; queries: by width, their ids and integer rows."""
-    tops = {width: Tops(ids, k) for width, (ids, _) in queries.items()}
+def by_width(batch: pa.RecordBatch, ids: str, scale: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Width, ids and integer rows of the vectors of each width."""
+    widths = pc.list_value_length(batch["embedding"]).to_numpy(zero_copy_only=False)
+    for width in np.unique(widths).tolist():
+        same = batch.filter(pa.array(widths == width))
+        yield width, same[ids].to_numpy(), whole(matrix(same["embedding"], width), scale)
+
+
+def shards(batches: Iterator[pa.RecordBatch], scale: int, most: int) -> Iterator[dict[int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Tiles of ids and integer rows, by width, of as many vectors as a task holds at once."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    size = 0
     for batch in batches:
-        widths = pc.list_value_length(batch["embedding"]).to_numpy(zero_copy_only=False)
-        for width, (_, q) in queries.items():
-            same = batch.filter(pa.array(widths == width))
-            for at in range(0, len(same), SHARD_ROWS):
-                tile = same.slice(at, SHARD_ROWS)
-                x, vecs = whole(matrix(tile["embedding"], width), scale), tile["vec_id"].to_numpy()
-                for first in range(0, len(q), QUERY_ROWS):
-                    tops[width].add(first, products(q[first : first + QUERY_ROWS], x), vecs)
-    for found in tops.values():
-        yield found.batch(TaskContext.get().partitionId())
-
-
-def top_products(rows: DataFrame, k: int = 10, scale: int = 1024) -> DataFrame:
+        for at in range(0, len(batch), SHARD_ROWS):
+            for width, ids, x in by_width(batch.slice(at, SHARD_ROWS), "vec_id", scale):
+                held.setdefault(width, []).append((ids, x))
+                size += x.nbytes
+        if size >= most:
+            yield held
+            held, size = {}, 0
+    if held:
+        yield held
+
+
+def scan(batches: Iterator[pa.RecordBatch], queries: str, k: int, scale: int, query_rows: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Each shard of a partition against all queries, which are read from their table block by block."""
+    fs, folder = FileSystem.from_uri(queries)
+    table = dataset.dataset(folder, filesystem=fs, format="parquet")
+    for shard in shards(batches, scale, shard_bytes):
+        for block in table.to_batches(batch_size=query_rows, batch_readahead=1, fragment_readahead=1):
+            for width, ids, q in by_width(block, "query_id", scale):
+                tops = Tops(ids, k)
+                for vecs, x in shard.get(width, ()):
+                    tops.add(0, products(q, x), vecs)
+                yield tops.batch(TaskContext.get().partitionId())
+
+
+def top_products(rows: DataFrame, k: int = 10, scale: int = 1024, query_rows: int = QUERY_ROWS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Each stated query's k highest inner products over all other rows: query_id, rank, vec_id, score.
 
     Components become floor(scale * x). Ties go to the smaller vec_id; rows that share the query's id
-    are its own. Vectors of another length than the query's are no candidates of it. Queries are dealt
-    into blocks of bounded bytes; each is broadcast in turn and meets every shard once, so there may be
-    any number of them.
+    are its own. Vectors of another length than the query's are no candidates of it. Null vectors and ids, and
+    vectors with components that are null or not finite, take no part; other columns are not read. Queries are
+    a table in the shared folder that each task reads in blocks for each shard it holds, so there may be any
+    number of them: the fewer side travels, in one stage. query_rows and shard_bytes bound what a task holds.
     """
     spark = rows.sparkSession
     vectors = usable(rows)
-    queries = stated_queries(vectors)
-    size = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    blocks = max(1, -(-size[0] * 8 * (size[1] or 1) // TILE_BYTES))
-    path = scratch_path(spark, "tops")
-    for block in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
-        by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for width, group in own.groupby(own["embedding"].map(len)):
-            by_width[int(width)] = (group["query_id"].to_numpy("i8"), whole(np.stack(group["embedding"].to_list()).astype(float).reshape(len(group), -1), scale))
-        sent = spark.sparkContext.broadcast(by_width)
-        lists = vectors.mapInArrow(lambda b, sent=sent: scan(b, sent.value, k, scale), LISTS)
-        lists.write.mode("append").parquet(path)
-        sent.unpersist()
-    merged = merge_tops(spark.read.schema(LISTS).parquet(path), k)
+    path = scratch_path(spark, "queries")
+    stated_queries(vectors).write.parquet(path)
+    lists = scratch(vectors.mapInArrow(lambda b: scan(b, path, k, scale, query_rows, shard_bytes), LISTS), "tops")
+    merged = merge_tops(lists, k)
     ranked = merged.select("query_id", F.posexplode("top").alias("at", "one"))
     return ranked.select("query_id", (F.col("at") + 1).alias("rank"), "one.vec_id", (-F.col("one.neg")).alias("score"))
 

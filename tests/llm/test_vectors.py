@@ -39,8 +39,22 @@ def test_exact(spark, clustered):
 def test_products_stay_exact():
     q, x = np.full((1, 4), 2.0**30 + 1), np.full((2, 4), 2.0**30 - 1)
     assert products(q, x).tolist() == [[4 * (2**60 - 1)] * 2]
-    with pytest.raises(ArithmeticError):
-        products(q * 2.0**4, x)
+    assert products(q * 2.0**4, x).tolist() == [[2**63 - 1] * 2] and products(-q * 2.0**4, x).tolist() == [[1 - 2**63] * 2]
+    q, x = np.array([[3e41, 1, 0], [1, 2, 3]]), np.array([[1, 5, 0], [0, 7, 3e41], [0, 2, 1]])
+    assert products(q, x).tolist() == [[2**63 - 1, 7, 2], [11, 2**63 - 1, 7]]
+
+
+def test_huge_components(spark):
+    """One vector that cannot be scored in 64 bits harms no other's scores."""
+    found = ranked(top_products(vectors(spark, [[1, 2], [3e38, 0], [2, 2], [-3e38, 1]], [100, 1, 2, 3])))
+    assert found == {100: [(1, 1, 2**63 - 1), (2, 2, 6 * 1024 * 1024), (3, 3, 1 - 2**63)]}
+
+
+def test_many_blocks_and_shards(spark):
+    """Results do not depend on how many queries and vectors meet at once."""
+    x = np.random.default_rng(8).normal(size=(900, 8)).astype("f4")
+    rows = vectors(spark, x)
+    assert ranked(top_products(rows, query_rows=2, shard_bytes=4_096)) == ranked(top_products(rows))
 
 
 def test_approximate(spark, clustered):
