@@ -11,7 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, exclusive_prefix_sum, global_rank
+from tessera.llm.common import documents, exclusive_prefix_sum, global_rank, scratch
+
+#: Bytes of cells that may be broadcast, and parts of each value's rows beyond that.
+SEND_BYTES = 16 << 20
+SALTS = 64
 
 
 def magnitude_cell(value: Column, bits: int = 6) -> Column:
@@ -29,7 +33,16 @@ def depth_cells(df: DataFrame, column: str, bits: int = 6) -> DataFrame:
     counts = df.groupBy(F.coalesce(F.col(column), F.lit("")).alias(column)).agg(F.count("*").alias("n"))
     placed = exclusive_prefix_sum(counts, [column], "n", "before")
     total = F.lit(df.count()).cast("long")
-    return placed.withColumn("total", total).select(column, F.expr(f"cast(before * {1 << bits} div total as int)").alias(f"{column}_cell"))
+    return scratch(placed.withColumn("total", total).select(column, F.expr(f"cast(before * {1 << bits} div total as int)").alias(f"{column}_cell")), "cells")
+
+
+def with_cells(rows: DataFrame, cells: DataFrame, column: str, key: str) -> DataFrame:
+    """rows with the cell of their value of column. Cells of few bytes are broadcast; else rows of a value are dealt by key too, as one value may have any share of them."""
+    size = cells.agg(F.sum(F.octet_length(column) + 16)).first()[0] or 0
+    if size <= SEND_BYTES:
+        return rows.join(F.broadcast(cells), column)
+    salted = cells.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [column, "_salt"]).drop("_salt")
 
 
 def curve_steps(dims: int) -> tuple[list[int], list[int]]:
@@ -95,10 +108,11 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
     ).withColumn("size_cell", magnitude_cell(F.col("size")))
     for c in ("lang", "source"):
-        rows = rows.join(depth_cells(docs, c), c)
+        rows = with_cells(rows, depth_cells(docs, c), c, "doc_id")
     placed = hilbert_shards(rows.drop("lang", "source"), ["size_cell", "lang_cell", "source_cell"], shards, ["doc_id", "text_crc32", "size"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
 def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of equal row counts; nulls, repeated rows and ties as in shard_documents and hilbert_shards."""
     return shard_documents(documents(spark, sf_dir)).drop("curve")

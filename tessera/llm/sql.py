@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from tessera.llm.hilbert import curve_steps
-
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -21,7 +19,8 @@ def crc32_sql(text: str) -> str:
 
 def sharding_sql(shards: int = 8, bits: int = 6) -> str:
     """Rows by size, language and source along the Hilbert curve, cut into runs of equal counts."""
-    entries, directions = curve_steps(3)
+    # Entry corners and directions of the sub-cells of a three-dimensional Hilbert curve, as published for compact Hilbert indices.
+    entries, directions = [0, 0, 0, 3, 3, 6, 6, 5], [0, 1, 1, 2, 2, 1, 1, 0]
     depth = lambda c: f"cast((select count(*) from d o where o.{c} < d.{c}) * {1 << bits} // (select count(*) from d) as bigint)"
     steps = "select *, 0::bigint as h, 0::bigint as e, 0::bigint as k from cells"
     for i in reversed(range(bits)):
