@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.blobs import pack, unpack
-from tessera.llm.common import discard, documents, partitions, scratch
+from tessera.llm.common import discard, documents, scratch
 from tessera.llm.wordhash import byte_chunks, mix, runs
 
 #: The end of a text, which also stands before its first word.
@@ -36,6 +36,8 @@ END = np.uint64(0x9E3779B97F4A7C15)
 #: Good-Turing discounts apply to counts up to this.
 SMALL = 5
 BLOCK_TOKENS = 1_000_000
+#: Bytes of text for each partition of a table, for each step of the order.
+BUCKET_BYTES = 7 << 20
 #: So many of a partition's grams are looked at for frequent ones.
 LARGEST = 32
 
@@ -385,12 +387,14 @@ def katz_scores(docs: DataFrame, held: Column, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; texts that are not held teach.
 
     order: words of the longest grams, from 1. A null text is an empty one: its only token is its end. Repeated rows stay
-    and count each time. Without a text to learn from, every token is "unknown", with probability 1.
+    and count each time. Without a text to learn from, every token is "unknown", with probability 1. Tables have as many
+    partitions as the texts' bytes ask for, so what one holds does not grow with the corpus.
     """
     if order < 1:
         raise ValueError("order must be 1 or more")
     spark = docs.sparkSession
-    buckets = partitions(spark) * max(1, order - 1)  # blocks have more distinct grams the longer these are
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = -(-max(1, size) // BUCKET_BYTES) * max(1, order - 1)  # blocks have more distinct grams the longer these are
     cut = scratch(docs.select("doc_id", "text", held.alias("held")).mapInArrow(lambda b: blocks(b, buckets), "block long, texts binary, words binary"), "blocks")
     words = scratch(cut.mapInArrow(lambda b: ask_words(b, buckets), PIECES).groupBy("bucket").applyInArrow(count_words, PIECES), "words", free=True)
     found = words.filter(F.col("block") == OWN).mapInArrow(lambda b: totals(b, LARGEST, buckets), "tokens long, types long, times array<long>, words array<long>, counts array<long>").collect()
