@@ -49,7 +49,7 @@ class BytePairs:
         self.strings |= {i: t.encode() for t, i in self.added.items()}
         self.cut = regex.compile(PATTERN).findall
         self.said = {i: str(i) for i in self.strings}
-        self.units: Units[tuple[int, ...]] = Units(self._unit, list(self.added), 1_000_000)
+        self.units: Units[tuple[int, ...]] = Units(self._unit, list(self.added))
 
     def piece(self, text: str) -> tuple[int, ...]:
         """Ids of one pre-token: of all pairs that can merge, the one of least rank, leftmost first, until none is left."""

@@ -11,12 +11,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm.common import documents, scratch
+from tessera.llm.labelled import free_name
 from tessera.llm.library import encoder
 
 ROWS = 256
@@ -46,7 +47,7 @@ class RoomTree:
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each length (1 to capacity), its bin and its offset there."""
+    """For each length (1 to capacity), its bin and its offset there. Of equal lengths the earlier one is placed first."""
     tree = RoomTree(len(lengths), capacity)
     bins, offsets = np.zeros(len(lengths), "i8"), np.zeros(len(lengths), "i8")
     for i in np.argsort(-lengths, kind="stable").tolist():
@@ -69,32 +70,40 @@ def cut(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacity
 
 
 def pack(pieces: DataFrame, capacity: int, group_pieces: int = 16_384) -> DataFrame:
-    """Adds sequence_id and offset to pieces (with a length from 1 to capacity; other columns stay).
+    """Adds sequence_id and offset to pieces (with a length from 1 to capacity; other columns stay, but for those of these two names).
 
     Groups are drawn over rows, not over keys, so repeated rows spread too; each holds about
-    group_pieces pieces. No rows give no sequences.
+    group_pieces pieces. Pieces of equal length are placed in the order of the table's rows. No rows give no sequences.
     """
-    settled = scratch(pieces, "pieces")  # rows keep their numbers when a task runs again
+    settled = scratch(pieces.drop("sequence_id", "offset"), "pieces")  # rows keep their numbers when a task runs again
     groups = max(1, -(-settled.count() // group_pieces))
-    dealt = settled.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(groups)), F.lit(groups)))
+    group, row = free_name(settled, "_group"), free_name(settled, "_row")
+    numbered = settled.withColumn(row, F.monotonically_increasing_id())
+    dealt = numbered.withColumn(group, F.pmod(F.xxhash64(row, F.lit(groups)), F.lit(groups)))
     names = settled.columns
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(names, kind="stable", ignore_index=True)
-        bins, offsets = first_fit_decreasing(group["length"].to_numpy(), capacity)
-        return group[names].assign(sequence_id=(group["_group"].to_numpy() << 32) + bins, offset=offsets)
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by(row)
+        bins, offsets = first_fit_decreasing(table["length"].to_numpy(), capacity)
+        number = pa.array((table[group].to_numpy() << 32) + bins)
+        return table.select(names).append_column("sequence_id", number).append_column("offset", pa.array(offsets))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in settled.schema)
-    return dealt.groupBy("_group").applyInPandas(one, f"{fields}, sequence_id long, offset long")
+    schema = StructType([*(StructField(f.name, f.dataType) for f in settled.schema), StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    return dealt.groupBy(group).applyInArrow(one, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096) -> DataFrame:
-    """Encodes docs (doc_id, text; null text is empty), ends each with end_id, cuts at every capacity ids and packs the pieces."""
+    """Encodes docs (doc_id, text), ends each with end_id, cuts at every capacity ids and packs the pieces.
+
+    A null text is an empty one and gives one piece, the end; a null doc_id stays null; repeated rows are packed each
+    for itself. Other columns are not read.
+    """
     pieces = docs.select("doc_id", "text").mapInArrow(lambda b: cut(b, tokenizer, end_id, capacity), PIECES)
     return pack(pieces, capacity)
 
 
 def pack_with_words(docs: DataFrame) -> DataFrame:
+    """pack_documents with the word tokenizer and sequences of 4096; odd rows as there."""
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)

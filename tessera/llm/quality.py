@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents
+from tessera.llm.common import documents, quoted
 from tessera.llm.labelled import fold, free_name, labelled_sample, with_scores
 from tessera.llm.wordhash import byte_chunks, distinct, prefix_hashes, runs, shingles
 
@@ -150,16 +150,22 @@ def train(docs: DataFrame, labels: DataFrame, n: int = 12_000) -> Trees:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row of docs; other columns are not read.
+
+    A null text scores as an empty one, a null doc_id is of the fold of the empty text, and repeated rows
+    score alike and stay. Labels of unknown documents, null labels and null ids teach nothing; a document
+    labelled twice counts twice. Without labels, or with one class only, all scores are the share of label 1.
+    """
     scored = with_scores(docs.select("doc_id", "text"), train(docs, labels).scores_of)
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
-    """The documents that score at least as much, with their own columns."""
+    """The documents that score at least as much, with their own columns, whatever their names; nulls and repeats as in quality_scores."""
     name = free_name(docs, "score")
-    return with_scores(docs, train(docs, labels).scores_of, name).filter(F.col(name) >= least).select(*docs.columns)
+    return with_scores(docs, train(docs, labels).scores_of, name).filter(F.col(name) >= least).select(*quoted(docs.columns))
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's quality by trees learnt from the labelled ones."""
+    """Every document's quality by trees learnt from the labelled ones; odd rows as in quality_scores."""
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

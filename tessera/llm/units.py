@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from sys import getsizeof
 from typing import Generic, TypeVar
 
 V = TypeVar("V")
+#: Bytes of a dictionary's entry besides its key and value.
+ENTRY = 100
 
 #: Marks that no pre-tokenizer here joins to letters before them.
 MARKS = frozenset(",.;:!?")
@@ -22,18 +25,19 @@ UNITS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
 class Memo(dict, Generic[V]):
-    """A dictionary that works out what it lacks; it starts anew beyond limit entries or characters of keys."""
+    """A dictionary that works out what it lacks; it starts anew beyond most bytes of keys and values."""
 
-    def __init__(self, work: Callable[[str], V], limit: int, chars: int):
+    def __init__(self, work: Callable[[str], V], most: int):
         super().__init__()
-        self.work, self.limit, self.chars, self.held = work, limit, chars, 0
+        self.work, self.most, self.held = work, most, 0
 
     def __missing__(self, key: str) -> V:
         value = self.work(key)
-        self.held += len(key)
-        if len(self) >= self.limit or self.held > self.chars:
+        size = ENTRY + getsizeof(key) + getsizeof(value)
+        self.held += size
+        if self.held > self.most:
             self.clear()
-            self.held = len(key)
+            self.held = size
         self[key] = value
         return value
 
@@ -41,12 +45,12 @@ class Memo(dict, Generic[V]):
 class Units(Generic[V]):
     """Values of a text's units, in order.
 
-    work: the value of a unit's text. special: strings that stand for one id each.
+    work: the value of a unit's text. special: strings that stand for one id each. most: bytes that a worker keeps, about.
     """
 
-    def __init__(self, work: Callable[[str], V], special: list[str], limit: int = 800_000, chars: int = 20_000_000):
-        self.bare = Memo(work, limit // 6, chars)
-        self.spaced = Memo(lambda word: work(" " + word), limit, chars)
+    def __init__(self, work: Callable[[str], V], special: list[str], most: int = 120 << 20):
+        self.bare = Memo(work, most // 5)
+        self.spaced = Memo(lambda word: work(" " + word), most)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def values(self, text: str) -> list[V]:
