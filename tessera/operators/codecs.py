@@ -93,6 +93,8 @@ class Tree:
 
 def copy_back(out: bytearray, distance: int, length: int) -> None:
     """Repeats what stands distance bytes back; what would lie before the start is zero."""
+    if distance < 1:
+        raise ValueError("bad distance")
     start = len(out) - distance
     if start < 0:
         gap = min(length, -start)
@@ -305,6 +307,8 @@ def lzs(data: bytes, limit: int) -> Decoded:
         if distance == 0:
             return Decoded(bytes(out), min(bits.at, len(data)))
         distance &= (1 << 31) - 1
+        if not distance:
+            return Decoded(bytes(out), min(bits.at, len(data)), "bad distance")
         length = 2 + bits.take(2)
         if length == 5:
             length += bits.take(2)
