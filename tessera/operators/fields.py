@@ -275,6 +275,17 @@ def plist(blob: bytes) -> Iterator[Row]:
 HANDLERS: dict[str, Callable[[bytes], Iterator[Row]]] = {"iff": iff, "riff": iff, "ilbm": iff, "png": png, "tiff": tiff, "jpeg2000": boxes, "bmff": boxes, "flac": flac, "ogg": ogg, "midi": midi, "id3": id3, "ebml": ebml, "plist": plist}
 
 
+def readers() -> dict[str, Callable[[bytes], Iterator[Row]]]:
+    """All formats that have fields."""
+    from tessera.operators.metadata import MORE
+
+    return HANDLERS | MORE
+
+
+#: What reading damaged bytes may raise.
+DAMAGE = (ArithmeticError, LookupError, ValueError, RecursionError, struct.error)
+
+
 def fields(blobs: DataFrame, kind: str | None = None) -> DataFrame:
     """Fields of blobs of the given format, or of that in their column format. Damage ends the rows of a blob with one of type error."""
     typed = blobs.select("path", (F.lit(kind) if kind else F.col("format")).alias("format"), "content")
@@ -282,13 +293,14 @@ def fields(blobs: DataFrame, kind: str | None = None) -> DataFrame:
     schema = pa.schema([("path", pa.string()), ("node_path", pa.list_(pa.int32())), ("pos", pa.int64()), ("len", pa.int64()), ("tag", pa.string()), ("name", pa.string()), ("type", pa.string()), ("value", pa.string())])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = readers()
         for batch in batches:
             for path, own, blob in zip(*(batch[c].to_pylist() for c in ("path", "format", "content")), strict=True):
                 rows = []
                 try:
-                    for row in HANDLERS[own](blob or b"") if own in HANDLERS else ():
+                    for row in known[own](blob or b"") if own in known else ():
                         rows.append((path, *row))
-                except (struct.error, ValueError, IndexError) as e:
+                except DAMAGE as e:
                     rows.append((path, (), 0, 0, "", None, "error", str(e)))
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
 

@@ -36,21 +36,76 @@ def indexed(rows: np.ndarray, bits: int, width: int) -> np.ndarray:
     return (flat @ (1 << np.arange(bits)[::-1])).astype(np.uint8)[:, :width]
 
 
+def bmp_runs(data: bytes, bits: int, width: int, height: int) -> np.ndarray:
+    """Pixel values of runs of 8 or 4 bits, from the bottom row up; what is skipped is 0."""
+    out, at, x, y = np.zeros((height, width), np.uint8), 0, 0, 0
+    pixels = lambda raw: raw if bits == 8 else bytes(v for b in raw for v in (b >> 4, b & 15))
+    while at + 2 <= len(data) and y < height:
+        n, value = data[at], data[at + 1]
+        at += 2
+        if n:
+            part = (pixels(bytes([value])) * n)[:n]
+        elif value == 0:
+            x, y = 0, y + 1
+            continue
+        elif value == 1:
+            break
+        elif value == 2:
+            x, y = x + data[at], y + data[at + 1]
+            at += 2
+            continue
+        else:
+            size = (value * bits + 7) // 8
+            part = pixels(data[at : at + size])[:value]
+            at += size + size % 2
+        part = np.frombuffer(part[: max(0, width - x)], np.uint8)
+        out[y, x : x + len(part)] = part
+        x += n or value
+    return out
+
+
+def masked(values: np.ndarray, mask: int) -> np.ndarray:
+    """The samples under a mask, as 0 to 255."""
+    if not mask:
+        return np.zeros(values.shape, np.uint8)
+    shift = (mask & -mask).bit_length() - 1
+    top = mask >> shift
+    return ((((values & mask) >> shift) * 510 + top) // (2 * top)).astype(np.uint8)
+
+
 def bmp(blob: bytes) -> np.ndarray:
-    """Uncompressed bitmaps of 1, 4, 8, 24 and 32 bits."""
-    start, size, width, height, _, bits, packed = struct.unpack_from("<IIiiHHI", blob, 10)
-    if size < 40 or packed not in (0, 3):
-        raise ValueError(f"header {size}, compression {packed}")
+    """Windows and OS/2 bitmaps of 1 to 32 bits: plain, in runs, or with masks."""
+    start, size = struct.unpack_from("<II", blob, 10)
+    packed = 0
+    if size == 12:
+        width, height, _, bits = struct.unpack_from("<HHHH", blob, 18)
+    elif size >= 16:
+        width, height, _, bits = struct.unpack_from("<iiHH", blob, 18)
+        packed = struct.unpack_from("<I", blob, 30)[0] if size >= 20 else 0
+    else:
+        raise ValueError(f"header {size}")
     width, tall = checked(width, abs(height))
+    unit = 3 if size == 12 else 4
+    palette = np.zeros((256, 3), np.uint8)
+    if bits <= 8:
+        used = (struct.unpack_from("<I", blob, 46)[0] if size >= 36 else 0) or 1 << bits
+        known = padded(blob[14 + size :], unit * min(used, 256)).reshape(-1, unit)[:, 2::-1]
+        palette[: len(known)] = known
+    if packed in (1, 2) and bits == (8 if packed == 1 else 4):
+        image = palette[bmp_runs(blob[start:], bits, width, tall)]
+        return image[::-1]
+    if packed not in (0, 3, 6):
+        raise ValueError(f"compression {packed}")
     stride = (width * bits + 31) // 32 * 4
     rows = padded(blob[start:], stride * tall).reshape(tall, stride)
     if bits <= 8:
-        used = struct.unpack_from("<I", blob, 46)[0] or 1 << bits
-        palette = padded(blob[14 + size :], 4 * min(used, 256)).reshape(-1, 4)[:, 2::-1]
-        palette = np.concatenate([palette, np.zeros((256 - len(palette), 3), np.uint8)])
         image = palette[indexed(rows, bits, width)]
-    elif bits in (24, 32):
+    elif bits == 24 or bits == 32 and packed == 0:
         image = rows[:, : width * bits // 8].reshape(tall, width, bits // 8)[:, :, 2::-1]
+    elif bits in (16, 32):
+        values = np.ascontiguousarray(rows[:, : width * bits // 8]).view("<u2" if bits == 16 else "<u4").astype(np.int64)
+        masks = struct.unpack_from("<3I", blob, 54) if packed else (0x7C00, 0x3E0, 0x1F)
+        image = np.stack([masked(values, m) for m in masks], 2)
     else:
         raise ValueError(f"{bits} bits")
     return image if height < 0 else image[::-1]

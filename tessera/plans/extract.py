@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import identify, members, selection
-from tessera.operators.fields import HANDLERS as FIELD_KINDS
-from tessera.operators.fields import fields
+from tessera.operators.fields import fields, readers
 
 
 @dataclass(frozen=True)
@@ -83,4 +82,4 @@ def diagnostics(blobs: DataFrame, options: Options = Options()) -> DataFrame:
 def metadata(blobs: DataFrame, options: Options = Options()) -> DataFrame:
     """Fields of all blobs whose format has any."""
     known = typed(blobs, options)
-    return fields(known.filter(F.col("format").isin(sorted(FIELD_KINDS))))
+    return fields(known.filter(F.col("format").isin(sorted(readers()))))
