@@ -13,6 +13,7 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import groupby
 
+from tessera.functions.checksums import crc16_arc
 from tessera.operators import codecs
 
 
@@ -418,3 +419,216 @@ def zip_of(members: list[tuple[str, int, bytes, bytes, int]]) -> bytes:
 def old_zip(data: bytes) -> bytes:
     """A member for each of the methods that modern tools no longer write."""
     return zip_of([(f"m{method}", method, encode(data), data, flags) for method, (encode, flags) in ZIP_ENCODERS.items()])
+
+
+def arj_of(data: bytes) -> bytes:
+    """Members dir/a (stored), b (method 1) and c, whose method nobody reads."""
+    def header(kind, method, name, coded=b"", plain=b""):
+        head = bytes([30, 11, 1, 0, 0, method, kind, 0]) + struct.pack("<IIIIHHH", 0x2A220000, len(coded), len(plain), zlib.crc32(plain), 0, 0, 0) + name + b"\0\0"
+        return b"\x60\xea" + struct.pack("<H", len(head)) + head + struct.pack("<IH", zlib.crc32(head), 0) + coded
+
+    return header(2, 0, b"main") + header(0, 0, b"dir/a", data, data) + header(0, 1, b"b", as_lh(data, 15), data) + header(0, 4, b"c", b"x", data) + b"\x60\xea\0\0"
+
+
+def zoo_of(data: bytes) -> bytes:
+    """Members a (stored), b (LZW) and c (LH)."""
+    out = bytearray(b"ZOO 2.10 Archive.\x1a".ljust(20, b"\0") + struct.pack("<IIIBB", 0xFDC4A7DC, 34, 0, 2, 0))
+    for name, method, coded in ((b"a", 0, data), (b"b", 1, as_lzw(data, "zoo")), (b"c", 2, as_lh(data))):
+        at = len(out)
+        entry = struct.pack("<IBBIIHHHII", 0xFDC4A7DC, 1, method, at + 51 + len(coded), at + 51, 0x2A22, 0, crc16_arc(data), len(data), len(coded)) + bytes(10) + name.ljust(13, b"\0")
+        out += entry[:51].ljust(51, b"\0") + coded
+    return bytes(out) + struct.pack("<IBBII", 0xFDC4A7DC, 1, 0, 0, 0) + bytes(40)
+
+
+def huffman_of(data: bytes) -> bytes:
+    """A tree of two levels of 16, as the old Macintosh programs store theirs, and the codes."""
+    values = sorted(set(data)) or [0]
+    bits, codes = "", {}
+
+    def grow(part, code):
+        nonlocal bits
+        if len(part) == 1:
+            bits += f"1{part[0]:08b}"
+            codes[part[0]] = code
+            return
+        bits += "0"
+        grow(part[: len(part) // 2], code + "0")
+        grow(part[len(part) // 2 :], code + "1")
+
+    grow(values, "")
+    bits += "".join(codes[b] for b in data)
+    bits += "0" * (-len(bits) % 8)
+    return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+
+
+def stuffit_of(data: bytes) -> bytes:
+    """A folder with a file of two forks (RLE90 and LZW), and a file b (Huffman)."""
+    def header(name, methods, resource=(b"", b""), data=(b"", b"")):
+        head = bytes(methods) + bytes([len(name)]) + name.ljust(63, b"\0") + b"TEXTtest" + bytes(6) + struct.pack(">I", 3_000_000_000) + struct.pack(">IIIIHH", len(resource[0]), len(data[0]), len(resource[1]), len(data[1]), crc16_arc(resource[0]), crc16_arc(data[0]))
+        head = head.ljust(110, b"\0")
+        return head + struct.pack(">H", crc16_arc(head)) + resource[1] + data[1]
+
+    body = header(b"folder", [32, 32]) + header(b"a", [1, 2], (b"rsrc" * 9, as_rle90(b"rsrc" * 9)), (data, as_lzw(data, most=14))) + header(b"f", [33, 33]) + header(b"b", [0, 3], data=(data, huffman_of(data)))
+    return b"SIT!" + struct.pack(">HI", 2, 22 + len(body)) + b"rLau" + bytes(8) + body
+
+
+def cfb_of(data: bytes) -> tuple[bytes, bytes, bytes]:
+    """A compound file with a large stream and, in a folder, a small one; the two streams."""
+    big, small = data * 3, b"tiny stream"
+    sector = lambda raw: raw.ljust(-(-len(raw) // 512) * 512, b"\0")
+    n = len(sector(big)) // 512
+
+    def entry(name, kind, child, start, size, right=0xFFFFFFFF):
+        raw = (name + "\0").encode("utf-16-le")
+        return raw.ljust(64, b"\0") + struct.pack("<HBBIII", len(raw), kind, 1, 0xFFFFFFFF, right, child) + bytes(16 + 4 + 8 + 8) + struct.pack("<IQ", start, size)
+
+    directory = entry("Root Entry", 5, 1, 2, 64) + entry("big", 2, 0xFFFFFFFF, 4, len(big), 2) + entry("folder", 1, 3, 0, 0) + entry("\1small", 2, 0xFFFFFFFF, 0, len(small))
+    table = [0xFFFFFFFD, 0xFFFFFFFE, 0xFFFFFFFE, 0xFFFFFFFE, *range(5, 4 + n), 0xFFFFFFFE]
+    head = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + bytes(16) + struct.pack("<HHHHH", 62, 3, 0xFFFE, 9, 6) + bytes(6) + struct.pack("<IIIIIIIII", 0, 1, 1, 0, 4096 if len(big) >= 4096 else 64, 3, 1, 0xFFFFFFFE, 0) + struct.pack("<109I", 0, *[0xFFFFFFFF] * 108)
+    small_table = struct.pack("<16I", 0xFFFFFFFE, *[0xFFFFFFFF] * 15)
+    return head + sector(struct.pack(f"<{len(table)}I", *table).ljust(512, b"\xff")) + sector(directory) + sector(small) + sector(small_table) + sector(big), big, small
+
+
+def iso_of(data: bytes) -> bytes:
+    """A disc with A.TXT and, in the folder SUB, its first five bytes as B."""
+    def record(name, start, size, flags=0):
+        raw = bytes([0, 0]) + struct.pack("<I", start) + struct.pack(">I", start) + struct.pack("<I", size) + struct.pack(">I", size) + bytes([120, 1, 2, 3, 4, 5, 0, flags, 0, 0]) + struct.pack("<H", 1) + struct.pack(">H", 1) + bytes([len(name)]) + name
+        raw += bytes(len(raw) % 2)
+        return bytes([len(raw)]) + raw[1:]
+
+    folder = lambda own, up, *files: (record(b"\0", own, 2048, 2) + record(b"\1", up, 2048, 2) + b"".join(files)).ljust(2048, b"\0")
+    head = (b"\1CD001\1".ljust(156, b"\0") + record(b"\0", 18, 2048, 2)).ljust(2048, b"\0")
+    body = head + b"\xffCD001\1".ljust(2048, b"\0") + folder(18, 18, record(b"A.TXT;1", 20, len(data)), record(b"SUB", 19, 2048, 2)) + folder(19, 18, record(b"B.;1", 20, 5)) + data
+    return bytes(16 * 2048) + body
+
+
+def fat_of(data: bytes) -> bytes:
+    """A FAT12 disk with a file of a long name, whose clusters stand in pairs turned round, and SUB/B.BIN."""
+    n = -(-len(data) // 512)
+    chain = [2 + (i ^ 1) for i in range(n + n % 2)][:n] if n % 2 == 0 else [*(2 + (i ^ 1) for i in range(n - 1)), n + 1]
+    clusters = {c: data[512 * i : 512 * i + 512] for i, c in enumerate(chain)}
+    folder, inner = n + 2, n + 3
+    entry = lambda name, kind, first, size, flags=0: name.ljust(8).encode() + kind.ljust(3).encode() + bytes([flags]) + bytes(10) + struct.pack("<HHHI", 0, 0x2A22, first, size)
+    raw = "a long name.txt\0".encode("utf-16-le").ljust(52, b"\xff")
+    parts = [bytes([k + 1 | (0x40 if k == 1 else 0)]) + raw[26 * k : 26 * k + 10] + b"\x0f\0\0" + raw[26 * k + 10 : 26 * k + 22] + bytes(2) + raw[26 * k + 22 : 26 * k + 26] for k in (1, 0)]
+    root = b"".join(parts) + entry("ALONGN~1", "TXT", chain[0] if chain else 0, len(data)) + b"\xe5" + entry("GONE", "", 2, 9)[1:] + entry("SUB", "", folder, 0, 16) + entry("LABEL", "", 0, 0, 8)
+    clusters[folder] = entry(".", "", folder, 0, 16) + entry("..", "", 0, 0, 16) + entry("B", "BIN", inner, 3)
+    clusters[inner] = b"abc"
+    links = {0: 0xFF0, 1: 0xFFF, folder: 0xFFF, inner: 0xFFF} | dict(zip(chain, [*chain[1:], 0xFFF], strict=False))
+    sectors = -(-(n + 8) * 3 // 1024)
+    table = bytearray(512 * sectors)
+    for k, v in links.items():
+        pair = int.from_bytes(table[k * 3 // 2 : k * 3 // 2 + 2], "little") | (v << 4 if k % 2 else v)
+        table[k * 3 // 2 : k * 3 // 2 + 2] = pair.to_bytes(2, "little")
+    boot = b"\xeb\x3c\x90" + b"test".ljust(8) + struct.pack("<HBHBHHBHHHI", 512, 1, 1, 1, 16, n + 8 + sectors, 0xF9, sectors, 9, 2, 0)
+    return boot.ljust(510, b"\0") + b"\x55\xaa" + bytes(table) + root.ljust(512, b"\0") + b"".join(clusters.get(k, b"").ljust(512, b"\0") for k in range(2, n + 6))
+
+
+def tiff_of(tags: list[tuple[int, int, list[int]]], body: bytes, order: str = "<") -> bytes:
+    """A TIFF file with the body at 8 and one directory after it; tags: number, type (1, 3 or 4), values."""
+    entries, extra, place = b"", b"", 8 + len(body) + 2 + 12 * len(tags) + 4
+    for tag, kind, values in sorted(tags):
+        data = struct.pack(f"{order}{len(values)}{ {1: 'B', 3: 'H', 4: 'I'}[kind] }".replace(" ", ""), *values)
+        if len(data) > 4:
+            entries += struct.pack(order + "HHII", tag, kind, len(values), place + len(extra))
+            extra += data
+        else:
+            entries += struct.pack(order + "HHI", tag, kind, len(values)) + data.ljust(4, b"\0")
+    return (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8 + len(body)) + body + struct.pack(order + "H", len(tags)) + entries + bytes(4) + extra
+
+
+#: TIFF's compressions by number.
+TIFF_PACKERS = {1: bytes, 5: lambda d: as_lzw(d, "tiff"), 8: zlib.compress, 32773: as_packbits}
+
+
+def as_tiff(data: bytes, method: int = 5) -> bytes:
+    """An RGB image of all of data (zero-filled), 16 pixels wide, in strips of 8 rows."""
+    rows = max(1, -(-len(data) // 48))
+    body = data.ljust(48 * rows, b"\0")
+    strips = [TIFF_PACKERS[method](body[i : i + 384]) for i in range(0, len(body), 384)]
+    places = [8 + sum(map(len, strips[:i])) for i in range(len(strips))]
+    tags = [(256, 3, [16]), (257, 3, [rows]), (258, 3, [8, 8, 8]), (259, 3, [method]), (262, 3, [2]), (273, 4, places), (277, 3, [3]), (278, 3, [8]), (279, 4, [len(x) for x in strips])]
+    return tiff_of(tags, b"".join(strips))
+
+
+def fax_line(row: list[int], above: list[int] | None = None) -> str:
+    """Fax codes of a line of 0 and 1, plain or by the line above."""
+    from tessera.operators import fax
+
+    codes = [{v: k for k, v in table.items()} for table in fax.RUNS]
+    modes = {v: k for k, v in fax.MODES.items()}
+    changes = lambda r: [i for i in range(len(r)) if r[i] != (r[i - 1] if i else 0)]
+
+    def run(n: int, colour: int) -> str:
+        out = ""
+        while n >= 2624:
+            out, n = out + codes[colour][2560], n - 2560
+        if n >= 64:
+            out, n = out + codes[colour][n // 64 * 64], n % 64
+        return out + codes[colour][n]
+
+    out, at, colour, width = "", -1, 0, len(row)
+    if above is None:
+        edges = [0, *changes(row), width]
+        return "".join(run(b - a, i % 2) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))
+    ups = changes(above)
+    while at < width:
+        a1 = next((i for i in range(max(at + 1, 0) if at >= 0 else 0, width) if row[i] != colour), width)
+        b1 = next((i for i in ups if i > at and above[i] != colour), width)
+        b2 = next((i for i in ups if i > b1), width)
+        if b2 < a1:
+            out, at = out + modes["pass"], b2
+        elif abs(a1 - b1) <= 3:
+            out, at, colour = out + modes[a1 - b1], a1, colour ^ 1
+        else:
+            a2 = next((i for i in range(a1 + 1, width) if row[i] == colour), width)
+            out, at = out + modes["horizontal"] + run(a1 - max(at, 0), colour) + run(a2 - a1, colour ^ 1), a2
+    return out
+
+
+def as_fax(rows: list[list[int]], scheme: int) -> bytes:
+    """scheme: 2 (lines begin at bytes), 3 (T.4), 4 (T.6), or 5 (T.4 with lines by the line above)."""
+    bits, above = "", [0] * (len(rows[0]) if rows else 0)
+    for i, row in enumerate(rows):
+        if scheme == 2:
+            bits += fax_line(row)
+            bits += "0" * (-len(bits) % 8)
+        elif scheme == 3:
+            bits += "000000000001" + fax_line(row)
+        elif scheme == 5:
+            bits += "000000000001" + ("1" + fax_line(row) if i % 3 == 0 else "0" + fax_line(row, above))
+        else:
+            bits += fax_line(row, above)
+        above = row
+    bits += "0" * (-len(bits) % 8)
+    return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+
+
+def as_fax_tiff(data: bytes, scheme: int) -> bytes:
+    """The bits of data (zero-filled), 1 black, 128 in a row, as a fax."""
+    rows = max(1, -(-len(data) // 16))
+    body = data.ljust(16 * rows, b"\0")
+    coded = as_fax([[b >> 7 - k & 1 for b in body[i : i + 16] for k in range(8)] for i in range(0, len(body), 16)], scheme)
+    tags = [(256, 3, [128]), (257, 3, [rows]), (259, 3, [min(scheme, 4) if scheme < 5 else 3]), (262, 3, [0]), (273, 4, [8]), (279, 4, [len(coded)]), (292, 4, [int(scheme == 5)])]
+    return tiff_of(tags, coded)
+
+
+def as_bmp_runs(data: bytes) -> bytes:
+    """A bitmap of 8 bits in runs, 64 pixels wide, whose palette is gray: all of data (zero-filled), from the bottom row up."""
+    rows = max(1, -(-len(data) // 64))
+    body, out = data.ljust(64 * rows, b"\0"), bytearray()
+    for at in range(64 * (rows - 1), -1, -64):
+        for value, run in groupby(body[at : at + 64]):
+            out += bytes([len(list(run)), value])
+        out += b"\0\0"
+    out += b"\0\1"
+    palette = b"".join(bytes([i, i, i, 0]) for i in range(256))
+    return b"BM" + struct.pack("<IHHI", 1078 + len(out), 0, 0, 1078) + struct.pack("<IiiHHIIiiII", 40, 64, rows, 1, 8, 1, len(out), 0, 0, 256, 0) + palette + bytes(out)
+
+
+def as_jpeg(data: bytes) -> bytes:
+    """Markers with an Exif directory that tells the size of data, and data in comments."""
+    part = lambda kind, body: bytes([0xFF, kind]) + struct.pack(">H", len(body) + 2) + body
+    exif = tiff_of([(256, 4, [len(data)]), (257, 3, [7])], b"")
+    comments = b"".join(part(0xFE, data[i : i + 60_000]) for i in range(0, len(data), 60_000))
+    return b"\xff\xd8" + part(0xE1, b"Exif\0\0" + exif) + comments + part(0xC0, struct.pack(">BHHB", 8, 20, 30, 3)) + b"\xff\xd9"

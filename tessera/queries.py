@@ -236,6 +236,64 @@ def members_old_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _members(docs(spark, sf_dir), "zip", fixtures.old_zip)
 
 
+def _archive(spark: SparkSession, sf_dir: str, kind: str, work: Callable[[bytes], bytes]) -> DataFrame:
+    found = members.members(docs(spark, sf_dir).select("path", made(work).alias("content")), kind)
+    return found.select("path", "file_id", "name", "is_dir", "is_aux", F.md5("data").alias("data_md5"), "ok")
+
+
+def members_arj(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored, LH and unsupported members."""
+    return _archive(spark, sf_dir, "arj", fixtures.arj_of)
+
+
+def members_zoo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored, LZW and LH members."""
+    return _archive(spark, sf_dir, "zoo", fixtures.zoo_of)
+
+
+def members_stuffit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders and forks in RLE90, LZW and Huffman codes."""
+    return _archive(spark, sf_dir, "stuffit", fixtures.stuffit_of)
+
+
+def members_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _archive(spark, sf_dir, "iso9660", fixtures.iso_of)
+
+
+def members_fat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose clusters do not follow one another."""
+    return _archive(spark, sf_dir, "fat", fixtures.fat_of)
+
+
+def _pictures(blobs: DataFrame, kind: str, works: dict[str, Callable[[bytes], bytes]]) -> DataFrame:
+    parts = [blobs.select("path", F.lit(name).alias("how"), rasters.raster(made(work), kind).alias("r")) for name, work in works.items()]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.union(part)
+    return whole.select("path", "how", F.col("r.width").cast("long").alias("width"), F.col("r.height").cast("long").alias("height"), F.md5("r.data").alias("data_md5"))
+
+
+def rasters_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strips that are plain, LZW, deflated and PackBits."""
+    return _pictures(docs(spark, sf_dir), "tiff", {str(m): lambda b, m=m: fixtures.as_tiff(b, m) for m in fixtures.TIFF_PACKERS})
+
+
+def rasters_fax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as black and white images in all four fax schemes."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    return _pictures(turns, "tiff", {str(k): lambda b, k=k: fixtures.as_fax_tiff(b, k) for k in (2, 3, 4, 5)})
+
+
+def rasters_bmp_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pictures(docs(spark, sf_dir), "bmp", {"runs": fixtures.as_bmp_runs})
+
+
+def jpeg_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers, Exif tags and comments of JPEG files whose comments are whole texts."""
+    found = fields(docs(spark, sf_dir).select("path", made(fixtures.as_jpeg).alias("content")), "jpeg")
+    return found.select("path", F.array_join("node_path", "/").alias("node"), "tag", "name", F.when(F.col("tag") == "FFFE", F.md5("value")).otherwise(F.col("value")).alias("value"))
+
+
 def rasters_bmp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels, as hexadecimal RGB, of images made of whole texts."""
     images = docs(spark, sf_dir).select("path", rasters.raster(made(as_bmp), "bmp").alias("r"))
@@ -296,6 +354,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         identify_best, byte_frequencies, checksum_sums, checksum_crcs, split, join_turns, xor, base16, hexdump, rot13, transcode_latin1, identify_made, overlay_and_slice, number_reads, main_outputs,
         size_limits, unrepeated, changed_turns, date_conversions, colour_conversions, safe_names, members_zip, members_tar, members_gzip, decode_deflate, decode_zlib, decode_packbits, decode_rle90, rasters_bmp, png_chunks,
         archives_of_turns, wav_files, decode_lzss, decode_hlp_lz77, all_detections, text_screens, screen_colours, decode_lzw, decode_lha, decode_dcl, members_old_zip,
+        members_arj, members_zoo, members_stuffit, members_iso, members_fat, rasters_tiff, rasters_fax, rasters_bmp_runs, jpeg_segments,
     )
 }
 
@@ -340,7 +399,31 @@ def whole(extra: str = "") -> str:
     return f"select path, md5(t) as data_md5, octet_length(encode(t)) as size, true as ok{extra} from ({DOC})"
 
 
+def listed(members_: list[tuple[str, bool, bool, str, bool]]) -> str:
+    """A row for each document and member: its name, whether it is a folder or auxiliary, the SQL of its data's digest (null: none), and whether it could be read."""
+    return " union all ".join(f"select path, cast({i} as int) as file_id, '{name}' as name, {folder} as is_dir, {aux} as is_aux, cast({digest} as varchar) as data_md5, {ok} as ok from ({HEX})" for i, (name, folder, aux, digest, ok) in enumerate(members_))
+
+
+RSRC = "md5('" + "rsrc" * 9 + "')"
+#: The digits of a text's bytes, zero-filled to whole rows of a number of bytes.
+ROWS_OF = "rpad(h, cast(greatest(1, (n + {0} - 1) // {0}) * 2 * {0} as int), '0')"
+
 ORACLE_SQL: dict[str, str] = {
+    "members_arj": listed([("dir/a", False, False, "md5(t)", True), ("b", False, False, "md5(t)", True), ("c", False, False, "null", False)]),
+    "members_zoo": listed([(name, False, False, "md5(t)", True) for name in "abc"]),
+    "members_stuffit": listed([("folder", True, False, "null", True), ("folder/a", False, True, RSRC, True), ("folder/a", False, False, "md5(t)", True), ("b", False, False, "md5(t)", True)]),
+    "members_iso": listed([("A.TXT", False, False, "md5(t)", True), ("SUB", True, False, "null", True), ("SUB/B", False, False, "md5(unhex(substr(rpad(h, cast(greatest(n, 5) * 2 as int), '0'), 1, 10)))", True)]),
+    "members_fat": listed([("a long name.txt", False, False, "md5(t)", True), ("SUB", True, False, "null", True), ("SUB/B.BIN", False, False, "md5('abc')", True)]),
+    "rasters_tiff": f"select path, how, 16 as width, length(r) // 96 as height, md5(unhex(r)) as data_md5 from (select path, {ROWS_OF.format(48)} as r from ({HEX})), (values ('1'), ('5'), ('8'), ('32773')) v(how)",
+    "rasters_fax": f"""select path, how, 128 as width, length(r) // 32 as height, md5(unhex(array_to_string(list_transform(regexp_extract_all(r, '.'), lambda d: (['FFFFFFFF', 'FFFFFF00', 'FFFF00FF', 'FFFF0000', 'FF00FFFF', 'FF00FF00', 'FF0000FF', 'FF000000',
+        '00FFFFFF', '00FFFF00', '00FF00FF', '00FF0000', '0000FFFF', '0000FF00', '000000FF', '00000000'])[('0x' || d)::int + 1]), ''))) as data_md5
+        from (select path, {ROWS_OF.format(16)} as r from (select conv_id || '/' || turn as path, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from conversations)), (values ('2'), ('3'), ('4'), ('5')) v(how)""",
+    "rasters_bmp_runs": f"select path, 'runs' as how, 64 as width, length(r) // 128 as height, md5(unhex(regexp_replace(r, '(..)', '\\1\\1\\1', 'g'))) as data_md5 from (select path, {ROWS_OF.format(64)} as r from ({HEX}))",
+    "jpeg_segments": f"""with k as (select path, t, n, cast((n + 59999) // 60000 as int) as c from ({HEX}))
+        select path, '0' as node, 'FFD8' as tag, 'SOI' as name, cast(null as varchar) as value from k union all select path, '1', 'FFE1', 'APP1', 'Exif' from k union all select path, '1/0/0', '256', 'ImageWidth', cast(n as varchar) from k
+        union all select path, '1/0/1', '257', 'ImageLength', '7' from k
+        union all select path, cast(2 + i as varchar), 'FFFE', 'COM', md5(array_to_string(list_transform(regexp_extract_all(substr(h, 120000 * i + 1, 120000), '..'), lambda d: chr(('0x' || d)::int)), '')) from (select *, unnest(range(0, (n + 59999) // 60000)) as i from ({HEX}))
+        union all select path, cast(2 + c as varchar), 'FFC0', 'SOF0', 'precision=8 height=20 width=30 components=3' from k union all select path, cast(3 + c as varchar), 'FFD9', 'EOI', null from k""",
     "identify_best": f"""select path, max(f).n as format, max(f).c as confidence from (
         select path, unnest(list_filter([{{'c': 0, 'before': 0, 'n': 'none'}}, case when starts_with(t, '<!DOCTYPE html') or starts_with(t, chr(65279) || '<!DOCTYPE html') or starts_with(t, '<html') then {{'c': 20, 'before': -402, 'n': 'html'}} end,
             case when n > 1 and v % 16 = 8 and v between 8 and 120 and (v * 256 + w) % 31 = 0 then {{'c': 50, 'before': -143, 'n': 'zlib'}} end, case when starts_with(t, 'WL') then {{'c': 6, 'before': -156, 'n': 'cdr_wl'}} end,

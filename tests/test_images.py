@@ -12,57 +12,6 @@ from tessera import fixtures
 from tessera.operators import fax, old_rasters, rasters, tiff_rasters
 
 
-def fax_line(row, above=None):
-    """Codes of a line of 0 and 1, plain or by the line above."""
-    codes = [{v: k for k, v in table.items()} for table in fax.RUNS]
-    modes = {v: k for k, v in fax.MODES.items()}
-    changes = lambda r: [i for i in range(len(r)) if r[i] != (r[i - 1] if i else 0)]
-
-    def run(n, colour):
-        out = ""
-        while n >= 2624:
-            out, n = out + codes[colour][2560], n - 2560
-        if n >= 64:
-            out, n = out + codes[colour][n // 64 * 64], n % 64
-        return out + codes[colour][n]
-
-    out, at, colour, width = "", 0, 0, len(row)
-    if above is None:
-        edges = [0, *changes(row), width]
-        return "".join(run(b - a, i % 2) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))
-    at = -1
-    while at < width:
-        a1 = next((i for i in range(max(at, 0) + (at >= 0), width) if row[i] != colour), width) if at >= 0 else next((i for i in range(width) if row[i] != 0), width)
-        ups = changes(above)
-        b1 = next((i for i in ups if i > at and above[i] != colour), width)
-        b2 = next((i for i in ups if i > b1), width)
-        if b2 < a1:
-            out, at = out + modes["pass"], b2
-        elif abs(a1 - b1) <= 3:
-            out, at, colour = out + modes[a1 - b1], a1, colour ^ 1
-        else:
-            a2 = next((i for i in range(a1 + 1, width) if row[i] == colour), width)
-            out, at = out + modes["horizontal"] + run(a1 - max(at, 0), colour) + run(a2 - a1, colour ^ 1), a2
-    return out
-
-
-def fax_data(image, scheme):
-    bits, above = "", [0] * image.shape[1]
-    for i, row in enumerate(image.tolist()):
-        if scheme == 2:
-            bits += fax_line(row)
-            bits += "0" * (-len(bits) % 8)
-        elif scheme == 3:
-            bits += "000000000001" + fax_line(row)
-        elif scheme == 5:  # T.4 with lines by the line above
-            bits += "000000000001" + ("1" + fax_line(row) if i % 3 == 0 else "0" + fax_line(row, above))
-        else:
-            bits += fax_line(row, above)
-        above = row
-    bits += "0" * (-len(bits) % 8)
-    return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
-
-
 def drawing(seed, width=70, height=20):
     r = np.random.default_rng(seed)
     out = np.zeros((height, width), np.uint8)
@@ -82,27 +31,13 @@ def test_fax_codes_are_prefix_codes():
 def test_fax(scheme):
     for seed in range(20):
         image = drawing(seed, 70 if seed % 2 else 3000)
-        data = fax_data(image, scheme)
+        data = fixtures.as_fax(image.tolist(), scheme)
         assert (fax.decode_fax(data, image.shape[1], image.shape[0], min(scheme, 4) if scheme < 5 else 3, int(scheme == 5)) == image).all()
     r = random.Random(1)
     for _ in range(50):
         assert fax.decode_fax(r.randbytes(100), 50, 30, 4).shape == (30, 50)
 
 
-def tiff(tags, body, order="<"):
-    """A file with the body at 8 and one directory after it; tags: number, type, values."""
-    entries, extra, place = b"", b"", 8 + len(body) + 2 + 12 * len(tags) + 4
-    for tag, kind, values in sorted(tags):
-        code = {1: "B", 3: "H", 4: "I"}[kind]
-        data = struct.pack(f"{order}{len(values)}{code}", *values)
-        if len(data) > 4:
-            entries += struct.pack(order + "HHII", tag, kind, len(values), place + len(extra))
-            extra += data
-        else:
-            entries += struct.pack(order + "HHI", tag, kind, len(values)) + data.ljust(4, b"\0")
-    return (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8 + len(body)) + body + struct.pack(order + "H", len(tags)) + entries + bytes(4) + extra
-
-
 RGB = np.random.default_rng(1).integers(0, 256, (11, 13, 3)).astype(np.uint8)
 
 
@@ -112,11 +47,11 @@ def test_tiff(order, method, pack):
     strips = [pack(RGB[i : i + 4].tobytes()) for i in range(0, 11, 4)]
     places = [8 + sum(map(len, strips[:i])) for i in range(3)]
     base = [(256, 3, [13]), (257, 3, [11]), (258, 3, [8, 8, 8]), (259, 3, [method]), (262, 3, [2]), (273, 4, places), (277, 3, [3]), (278, 3, [4]), (279, 4, [len(s) for s in strips])]
-    assert (next(tiff_rasters.tiff_images(tiff(base, b"".join(strips), order))) == RGB).all()
+    assert (next(tiff_rasters.tiff_images(fixtures.tiff_of(base, b"".join(strips), order))) == RGB).all()
 
 
 def test_tiff_kinds():
-    one = lambda body, *tags: next(tiff_rasters.tiff_images(tiff([(273, 4, [8]), (279, 4, [len(body)]), *tags], body)))
+    one = lambda body, *tags: next(tiff_rasters.tiff_images(fixtures.tiff_of([(273, 4, [8]), (279, 4, [len(body)]), *tags], body)))
     size = [(256, 3, [13]), (257, 3, [11])]
     steps = np.diff(RGB.astype(int), axis=1, prepend=0).astype(np.uint8)
     assert (one(steps.tobytes(), *size, (258, 3, [8]), (262, 3, [2]), (277, 3, [3]), (317, 3, [2])) == RGB).all()
@@ -128,13 +63,13 @@ def test_tiff_kinds():
     assert (image[:, :, 0] == index).all() and (image[:, :, 2] == 255 - index).all()
     picture = drawing(3)
     for scheme in (2, 3, 4):
-        body = fax_data(picture, scheme)
+        body = fixtures.as_fax(picture.tolist(), scheme)
         found = one(body, (256, 3, [70]), (257, 3, [20]), (259, 3, [scheme]), (262, 3, [0]))
         assert (found[:, :, 0] == 255 - 255 * picture).all()
     tiles = [np.pad(RGB, ((0, 5), (0, 3), (0, 0)))[y : y + 8, x : x + 8] for y in (0, 8) for x in (0, 8)]
     body = b"".join(t.tobytes() for t in tiles)
     tags = [*size, (258, 3, [8]), (262, 3, [2]), (277, 3, [3]), (322, 3, [8]), (323, 3, [8]), (324, 4, [8 + 192 * i for i in range(4)]), (325, 4, [192] * 4)]
-    assert (next(tiff_rasters.tiff_images(tiff(tags, body))) == RGB).all()
+    assert (next(tiff_rasters.tiff_images(fixtures.tiff_of(tags, body))) == RGB).all()
 
 
 def test_old_images():
