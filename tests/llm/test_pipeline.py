@@ -41,3 +41,21 @@ def test_empty(spark, tables, tmp_path):
     documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{tables[0]}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_columns_and_no_labels(spark, tables, tmp_path):
+    """Extra columns of any name and type stay through all stages but the last; without labels nothing is rejected by them."""
+    folder, texts = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 40").withColumns({
+        "a.b": F.col("doc_id"), "c`d": F.lit("x"), "score": F.lit(0.5), "_class_key": F.lit(1), "class_key": F.lit(2), "s": F.struct(F.lit(1).alias("odd name"), F.lit(None).cast("string").alias("e.f")),
+    })
+    columns, expected = docs.columns, {r.doc_id for r in docs.select("doc_id").collect()}
+    spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns
+        docs.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    kept = docs.select("doc_id", "`a.b`").collect()
+    assert all(r[0] == r[1] for r in kept) and expected - {r[0] for r in kept} == {len(ODD) - 1}
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()} == {r[0] for r in kept}
