@@ -63,6 +63,18 @@ def from_riscos(load: Column, execute: Column) -> Column:
     return F.when(stamped & (seconds > 0) & (seconds < 8_000_000_000), exact)
 
 
+def to_utc(filetime: Column, minutes_east: Column) -> Column:
+    """A local time as UTC, by how far its zone lies east of it; without a zone it stays."""
+    return filetime - F.coalesce(minutes_east.cast("long"), F.lit(0)) * 60 * SECOND
+
+
+def fields_of(filetime: Column) -> Column:
+    """A struct of year, month, day, hour, minute, second and hundred-nanoseconds."""
+    when = F.timestamp_seconds(to_unix(filetime))
+    parts = {"year": F.year(when), "month": F.month(when), "day": F.day(when), "hour": F.hour(when), "minute": F.minute(when), "second": F.second(when), "ticks": F.pmod(filetime, F.lit(SECOND))}
+    return F.struct(*(c.cast("int").alias(n) for n, c in parts.items()))
+
+
 def to_unix(filetime: Column) -> Column:
     return div(filetime, SECOND) - UNIX_EPOCH
 

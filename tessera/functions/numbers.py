@@ -16,6 +16,21 @@ def log2_up(value: Column) -> Column:
     return F.when(value < 2, 0).otherwise(F.length(F.bin(value - 1))).cast("int")
 
 
+def copy_bits(value: Column, start: int, n: int, to: int) -> Column:
+    """n bits of value from bit start on (0 the lowest), at bit to of the result."""
+    return F.shiftleft(F.shiftright(value.cast("long"), start).bitwiseAND(F.lit((1 << n) - 1)), to)
+
+
+def short_number(first: Column, second: Column) -> Column:
+    """A help file's number of one or two bytes: half the first byte if that is even, else half of both (least byte first)."""
+    return F.when(first % 2 == 0, F.shiftright(first, 1)).otherwise(F.shiftright(first + second * 256, 1)).cast("int")
+
+
+def scale_16(value: Column) -> Column:
+    """A sample of 16 bits as one of 8."""
+    return F.call_function("div", value * 510 + 65_535, F.lit(131_070)).cast("int")
+
+
 def constrain(value: Column, low: int, high: int) -> Column:
     return F.greatest(F.least(value, F.lit(high)), F.lit(low))
 

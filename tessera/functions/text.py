@@ -16,6 +16,35 @@ CODECS = {
     "ascii": "ascii", "utf8": "utf-8", "utf16le": "utf-16-le", "utf16be": "utf-16-be", "latin1": "latin-1", "latin2": "iso8859-2", "windows1250": "cp1250", "windows1251": "cp1251", "windows1252": "cp1252",
     "windows1253": "cp1253", "windows1254": "cp1254", "windows874": "cp874", "cp437": "cp437", "cp850": "cp850", "cp862": "cp862", "cp866": "cp866", "cp932": "cp932", "macroman": "mac-roman",
 }
+#: Windows code pages by number.
+CODE_PAGES = {437: "cp437", 850: "cp850", 862: "cp862", 866: "cp866", 874: "windows874", 932: "cp932", 1200: "utf16le", 1201: "utf16be", 1250: "windows1250", 1251: "windows1251", 1252: "windows1252", 1253: "windows1253", 1254: "windows1254", 10000: "macroman", 28591: "latin1", 28592: "latin2", 65001: "utf8"}
+
+
+def _from(start: int, text: str) -> dict[int, str]:
+    return {start + i: c for i, c in enumerate(text)}
+
+
+# Characters of encodings that Python lacks, where they differ from a base encoding.
+OWN = {
+    "atarist": ("cp437", {0x7F: "⌂", 0x9E: "ß", **_from(0xB0, "ãõØøœŒÀÃÕ¨´†¶©®™ĳĲאבגדהוזחטיכלמנסעפצקרשתןךםףץ§∧∞αβΓπΣσµτΦΘΩδ∮ϕ∈∩≡±≥≤⌠⌡÷≈°•·√ⁿ²³¯")}),
+    "palm": ("cp1252", _from(0x8D, "♦♣♥♠")),
+    "riscos": ("latin-1", {**_from(0x80, "€Ŵŵ��Ŷŷ�����…™‰•‘’‹›“”„–—−Œœ†‡ﬁﬂ")}),
+    "appleii": ("ascii", {0x80 + i: chr(i) for i in range(128)}),
+    "dec_special_graphics": ("none", _from(0x5F, "\xa0◆▒␉␌␍␊°±␤␋┘┐┌└┼⎺⎻─⎼⎽├┤┴┬│≤≥π≠£·")),
+}
+
+
+def encoding_name(name: str | int) -> str:
+    """An encoding by its name, whatever its case, or by its Windows code page."""
+    return CODE_PAGES.get(name, f"cp{name}") if isinstance(name, int) else name.lower().replace("_", "").replace("-", "") if name.lower() not in OWN else name.lower()
+
+
+def own_table(encoding: str) -> list[str]:
+    base, changed = OWN[encoding]
+    known = [bytes([i]).decode(base, "replace") if base != "none" else "\ufffd" for i in range(256)]
+    return [changed.get(i, c) for i, c in enumerate(known)]
+
+
 BOMS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
 
 
@@ -31,6 +60,9 @@ def decode_blob(blob: bytes, encoding: str, use_bom: bool = True) -> str:
         for mark, codec in BOMS:
             if blob.startswith(mark):
                 return blob[len(mark) :].decode(codec, "replace")
+    if encoding in OWN:
+        table = own_table(encoding)
+        return "".join(map(table.__getitem__, blob))
     return blob.decode(CODECS.get(encoding, encoding), "replace")
 
 
@@ -115,6 +147,27 @@ def uudecode(content: Column | str) -> Column:
     return binary(uudecode_bytes, content)
 
 
+def xxdecode_bytes(blob: bytes) -> bytes:
+    """Lines between "begin" and "end": a length and groups of four characters of an alphabet of 64."""
+    # Fixed value: the alphabet.
+    alphabet = b"+-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    out, inside = bytearray(), False
+    for line in re.split(rb"\r\n|\r|\n", blob):
+        if line.startswith(b"begin "):
+            inside = True
+        elif inside and (line == b"end" or not line):
+            break
+        elif inside:
+            values = [alphabet.index(bytes([c])) for c in line]
+            packed = b"".join(sum(v << 18 - 6 * k for k, v in enumerate(values[i : i + 4])).to_bytes(3, "big") for i in range(1, len(values), 4))
+            out += packed[: values[0]]
+    return bytes(out)
+
+
+def xxdecode(content: Column | str) -> Column:
+    return binary(xxdecode_bytes, content)
+
+
 def ascii85(content: Column | str) -> Column:
     return binary(ascii85_bytes, content)
 

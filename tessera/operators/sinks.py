@@ -75,6 +75,45 @@ def as_wav(content: str, rate: int, bits: int = 8, channels: int = 1):
     return F.concat(F.lit(b"RIFF"), little(size + size % 2 + 36, 4), F.lit(head), little(size, 4), F.col(content), padding)
 
 
+def apple_file(data: bytes, resource: bytes, name: str, kind: str, mtime_unix: int | None = None) -> bytes:
+    """A Mac file with both forks: applesingle, appledouble (without the data fork), macbinary, or the plain resource fork (rsrc)."""
+    import binascii
+
+    raw = name.encode("mac-roman", "replace")[:63]
+    if kind == "rsrc":
+        return resource
+    if kind == "macbinary":
+        head = bytearray(128)
+        head[1], head[2 : 2 + len(raw)] = len(raw), raw
+        head[83:91] = struct.pack(">II", len(data), len(resource))
+        head[91:99] = struct.pack(">II", *[(mtime_unix + 2_082_844_800) & 0xFFFFFFFF if mtime_unix is not None else 0] * 2)
+        head[122:124] = b"\x81\x81"
+        head[124:126] = struct.pack(">H", binascii.crc_hqx(bytes(head[:124]), 0))
+        return bytes(head) + data + bytes(-len(data) % 128) + resource + bytes(-len(resource) % 128)
+    if kind not in ("applesingle", "appledouble"):
+        raise ValueError(f"no Mac files of kind {kind}")
+    parts = [(3, name.encode("utf-8"))]
+    if mtime_unix is not None:
+        parts.append((8, struct.pack(">4i", -0x80000000, mtime_unix - 946_684_800, -0x80000000, -0x80000000)))
+    parts += [(1, data)] if kind == "applesingle" else []
+    parts += [(2, resource)] if resource else []
+    place, table = 26 + 12 * len(parts), b""
+    for number, body in parts:
+        table += struct.pack(">III", number, place, len(body))
+        place += len(body)
+    return struct.pack(">II16xH", 0x00051600 if kind == "applesingle" else 0x00051607, 0x00020000, len(parts)) + table + b"".join(b for _, b in parts)
+
+
+def as_apple_files(forks: DataFrame, kind: str) -> DataFrame:
+    """path, name, content of files with the columns path, name, data, resource and mtime_unix; null forks are empty."""
+
+    @F.pandas_udf("binary")
+    def each(data: pd.Series, resource: pd.Series, name: pd.Series, when: pd.Series) -> pd.Series:
+        return pd.Series([apple_file(d or b"", r or b"", n or "", kind, None if pd.isna(w) else int(w)) for d, r, n, w in zip(data, resource, name, when, strict=True)])
+
+    return forks.select("path", "name", each("data", "resource", "name", "mtime_unix").alias("content"))
+
+
 def output_list(outputs: DataFrame) -> DataFrame:
     """file_id, crc32 and size of outputs, without their bytes."""
     return outputs.select("path", "file_id", "name", F.crc32("data").alias("crc32"), F.octet_length("data").cast("long").alias("size"))

@@ -28,6 +28,16 @@ def blobs_from_column(rows: DataFrame, path: str, content: str) -> DataFrame:
     return rows.select(F.col(path).cast("string").alias("path"), F.coalesce(value, F.lit(b"")).alias("content")).withColumn("length", F.octet_length("content").cast("long"))
 
 
+def with_companions(blobs: DataFrame, companions: DataFrame, key: str = "path", most: int = 32 << 20) -> DataFrame:
+    """blobs with the content of the other file that goes with each (column companion; null without one): a palette, a list of names, the other part of a set.
+
+    companions: key, content; of several, the least. They are broadcast while they have most bytes at most, else joined by a shuffle.
+    """
+    other = companions.groupBy(key).agg(F.min("content").alias("companion"))
+    size = other.agg(F.sum(F.octet_length("companion").cast("long"))).first()[0] or 0
+    return blobs.join(F.broadcast(other) if size <= most else other, key, "left")
+
+
 def slice_blob(content: Column, start: int | Column = 0, size: int | Column | None = None) -> Column:
     """size bytes from start (to the end without size); null unless 0 <= start and the slice lies within the blob."""
     start = F.lit(start) if isinstance(start, int) else start
