@@ -498,7 +498,7 @@ def iso_of(data: bytes) -> bytes:
 
     folder = lambda own, up, *files: (record(b"\0", own, 2048, 2) + record(b"\1", up, 2048, 2) + b"".join(files)).ljust(2048, b"\0")
     head = (b"\1CD001\1".ljust(156, b"\0") + record(b"\0", 18, 2048, 2)).ljust(2048, b"\0")
-    body = head + b"\xffCD001\1".ljust(2048, b"\0") + folder(18, 18, record(b"A.TXT;1", 20, len(data)), record(b"SUB", 19, 2048, 2)) + folder(19, 18, record(b"B.;1", 20, 5)) + data
+    body = head + b"\xffCD001\1".ljust(2048, b"\0") + folder(18, 18, record(b"A.TXT;1", 20, len(data)), record(b"SUB", 19, 2048, 2)) + folder(19, 18, record(b"B.;1", 20, 5)) + data.ljust(5, b"\0")
     return bytes(16 * 2048) + body
 
 

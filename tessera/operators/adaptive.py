@@ -109,5 +109,5 @@ def lh1(data: bytes, limit: int) -> Decoded:
                 place = places.read(bits) << 6
                 copy_back(out, (place | bits.take(6)) + 1, symbol - 253)
     except ValueError as e:
-        return Decoded(bytes(out[4096:]), min(bits.at, len(data)), str(e))
-    return Decoded(bytes(out[4096 : 4096 + limit]), min(bits.at, len(data)), "unexpected end" if bits.over else None)
+        return Decoded(bytes(out[4096:]), min(bits.place, len(data)), str(e))
+    return Decoded(bytes(out[4096 : 4096 + limit]), min(bits.place, len(data)), "unexpected end" if bits.over else None)

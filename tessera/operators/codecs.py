@@ -45,25 +45,40 @@ class Bits:
     def __init__(self, data: bytes, at: int = 0, high_first: bool = True):
         self.data, self.at, self.high, self.held, self.have = data, at, high_first, 0, 0
 
-    def take(self, n: int) -> int:
+    def fill(self, n: int) -> None:
+        """Holds n bits at least; bytes past the end are zero."""
         while self.have < n:
-            byte = self.data[self.at] if self.at < len(self.data) else 0
-            self.at += 1
-            self.held = self.held << 8 | byte if self.high else self.held | byte << self.have
-            self.have += 8
+            part = self.data[self.at : self.at + 8].ljust(8, b"\0")
+            self.held = self.held << 64 | int.from_bytes(part, "big") if self.high else self.held | int.from_bytes(part, "little") << self.have
+            self.at, self.have = self.at + 8, self.have + 64
+
+    def peek(self, n: int) -> int:
+        if self.have < n:
+            self.fill(n)
+        return self.held >> self.have - n if self.high else self.held & ((1 << n) - 1)
+
+    def take(self, n: int) -> int:
+        value = self.peek(n)
         self.have -= n
         if self.high:
-            value = self.held >> self.have
             self.held &= (1 << self.have) - 1
         else:
-            value = self.held & ((1 << n) - 1)
             self.held >>= n
         return value
 
+    @property
+    def place(self) -> int:
+        """How many bytes have been begun."""
+        return self.at - self.have // 8
+
     @property
     def over(self) -> bool:
         """Whether bits past the end have been taken."""
-        return self.at - self.have // 8 > len(self.data)
+        return self.place > len(self.data)
+
+
+#: Codes up to this length are looked up at once.
+QUICK = 9
 
 
 class Tree:
@@ -79,9 +94,31 @@ class Tree:
                     code += 1
             code <<= 1
         self.longest = max(lengths, default=0)
+        self.quick: dict[tuple[bool, int], list[tuple[int, int] | None]] = {}
+
+    def lookup(self, high: bool, flip: int) -> list[tuple[int, int] | None]:
+        """Length and symbol of the code with which each QUICK bits begin, in the order in which they are held."""
+        out: list[tuple[int, int] | None] = [None] * (1 << QUICK)
+        for (size, code), symbol in self.codes.items():
+            if size <= QUICK:
+                code ^= ((1 << size) - 1) * flip
+                rest = QUICK - size
+                if high:
+                    out[code << rest : code + 1 << rest] = [(size, symbol)] * (1 << rest)
+                else:
+                    turned = int(f"{code:0{size}b}"[::-1], 2)
+                    out[turned :: 1 << size] = [(size, symbol)] * (1 << rest)
+        return out
 
     def read(self, bits: Bits, flip: int = 0) -> int:
         """The next symbol; flip 1: the bits of codes are stored inverted."""
+        key = bits.high, flip
+        if key not in self.quick:
+            self.quick[key] = self.lookup(*key)
+        known = self.quick[key][bits.peek(QUICK)]
+        if known is not None:
+            bits.take(known[0])
+            return known[1]
         code = 0
         for size in range(1, self.longest + 1):
             code = code << 1 | bits.take(1) ^ flip
@@ -224,7 +261,7 @@ def lzw(data: bytes, limit: int, variant: str = "compress", root: int = 8, most:
         elif code - first == len(table) and last is not None:
             entry = last + last[:1]
         else:
-            return Decoded(bytes(out), min(bits.at, len(data)), f"bad code {code}")
+            return Decoded(bytes(out), min(bits.place, len(data)), f"bad code {code}")
         out += entry
         if last is not None and first + len(table) < 1 << most:
             table.append(last + entry[:1])
@@ -232,7 +269,7 @@ def lzw(data: bytes, limit: int, variant: str = "compress", root: int = 8, most:
         if size < most and first + len(table) + high >= 1 << size:
             regroup()
             size += 1
-    return Decoded(bytes(out[:limit]), min(bits.at, len(data)))
+    return Decoded(bytes(out[:limit]), min(bits.place, len(data)))
 
 
 @bounded
@@ -305,10 +342,10 @@ def lzs(data: bytes, limit: int) -> Decoded:
             continue
         distance = bits.take(7) if bits.take(1) else bits.take(11) + (1 << 31)
         if distance == 0:
-            return Decoded(bytes(out), min(bits.at, len(data)))
+            return Decoded(bytes(out), min(bits.place, len(data)))
         distance &= (1 << 31) - 1
         if not distance:
-            return Decoded(bytes(out), min(bits.at, len(data)), "bad distance")
+            return Decoded(bytes(out), min(bits.place, len(data)), "bad distance")
         length = 2 + bits.take(2)
         if length == 5:
             length += bits.take(2)
@@ -367,8 +404,8 @@ def lh_new(data: bytes, limit: int, window: int) -> Decoded:
                     place = read(places)
                     copy_back(out, (place if place < 2 else (1 << place - 1) + bits.take(place - 1)) + 1, code - 253)
     except ValueError as e:
-        return Decoded(bytes(out), min(bits.at, len(data)), str(e))
-    return Decoded(bytes(out[:limit]), min(bits.at, len(data)), "unexpected end" if len(out) < limit and limit < LIMIT else None)
+        return Decoded(bytes(out), min(bits.place, len(data)), str(e))
+    return Decoded(bytes(out[:limit]), min(bits.place, len(data)), "unexpected end" if len(out) < limit and limit < LIMIT else None)
 
 
 @bounded
@@ -403,7 +440,7 @@ def squeeze(data: bytes, limit: int) -> Decoded:
         if at == -257:
             break
         out.append(-(at + 1) & 0xFF)
-    return Decoded(rle90(bytes(out), limit).data, min(bits.at, len(data)))
+    return Decoded(rle90(bytes(out), limit).data, min(bits.place, len(data)))
 
 
 def code_lengths(runs: str) -> list[int]:
@@ -441,11 +478,11 @@ def implode_dcl(data: bytes, limit: int) -> Decoded:
             symbol = lengths.read(bits, 1)
             length = DCL_BASES[symbol] + bits.take(DCL_EXTRA[symbol])
             if length == 519:
-                return Decoded(bytes(out), min(bits.at, len(data)))
+                return Decoded(bytes(out), min(bits.place, len(data)))
             low = 2 if length == 2 else data[1]
             copy_back(out, (distances.read(bits, 1) << low) + bits.take(low) + 1, length)
     except ValueError as e:
-        return Decoded(bytes(out), min(bits.at, len(data)), str(e))
+        return Decoded(bytes(out), min(bits.place, len(data)), str(e))
     return Decoded(bytes(out[:limit]), len(data), "unexpected end" if bits.over else None)
 
 

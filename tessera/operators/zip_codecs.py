@@ -38,7 +38,7 @@ def shrink(data: bytes, limit: int) -> Decoded:
                         parent[i] = -1
                 free = 257
             else:
-                return Decoded(bytes(out), min(bits.at, len(data)), f"bad order {order}")
+                return Decoded(bytes(out), min(bits.place, len(data)), f"bad order {order}")
             continue
         while free < 8192 and parent[free] >= 0:
             free += 1
@@ -46,13 +46,13 @@ def shrink(data: bytes, limit: int) -> Decoded:
         if entry is None:  # the string that is about to be made
             begin = string(before) if before >= 0 else None
             if begin is None:
-                return Decoded(bytes(out), min(bits.at, len(data)), f"bad code {code}")
+                return Decoded(bytes(out), min(bits.place, len(data)), f"bad code {code}")
             entry = begin + begin[:1]
         if before >= 0 and free < 8192:
             parent[free], last[free] = before, entry[0]
         out += entry
         before = code
-    return Decoded(bytes(out[:limit]), min(bits.at, len(data)))
+    return Decoded(bytes(out[:limit]), min(bits.place, len(data)))
 
 
 @bounded
@@ -93,7 +93,7 @@ def reduce(data: bytes, limit: int, factor: int = 1) -> Decoded:
             length += byte()
         distance = (value >> 8 - factor) * 256 + byte() + 1
         copy_back(out, distance, length + 3)
-    return Decoded(bytes(out[:limit]), min(bits.at, len(data)))
+    return Decoded(bytes(out[:limit]), min(bits.place, len(data)))
 
 
 def _stored_tree(data: bytes, at: int, symbols: int) -> tuple[Tree, int]:
@@ -128,7 +128,7 @@ def implode(data: bytes, limit: int, wide: bool = False, coded: bool = False) ->
             copy_back(out, distance + 1, length + least)
     except (ValueError, IndexError) as e:
         return Decoded(bytes(out), len(data), str(e) or "unexpected end")
-    return Decoded(bytes(out[:limit]), min(bits.at, len(data)), "unexpected end" if bits.over else None)
+    return Decoded(bytes(out[:limit]), min(bits.place, len(data)), "unexpected end" if bits.over else None)
 
 
 # Fixed value: the order in which deflate stores the lengths of the code of code lengths.
@@ -191,5 +191,5 @@ def deflate64(data: bytes, limit: int) -> Decoded:
             if final:
                 break
     except (ValueError, IndexError) as e:
-        return Decoded(bytes(out), min(bits.at, len(data)), str(e))
-    return Decoded(bytes(out[:limit]), min(bits.at - bits.have // 8, len(data)))
+        return Decoded(bytes(out), min(bits.place, len(data)), str(e))
+    return Decoded(bytes(out[:limit]), min(bits.place, len(data)))
