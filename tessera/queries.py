@@ -34,6 +34,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blobs_from_column(table(spark, sf_dir, "pages"), "url", "html")
 
 
+def spread(blobs: DataFrame) -> DataFrame:
+    """blobs dealt to all cores: decoding in Python takes far longer than moving its input, and a small table is one task."""
+    return blobs.repartition(blobs.sparkSession.sparkContext.defaultParallelism, "path")
+
+
 def made(work: Callable[[bytes], bytes], content: str = "content") -> Column:
     """A blob made from each blob, for queries that read what they wrote."""
 
@@ -160,7 +165,7 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _members(blobs: DataFrame, kind: str, work: Callable[[bytes], bytes]) -> DataFrame:
-    found = members.members(blobs.select("path", made(work).alias("content")), kind)
+    found = members.members(spread(blobs).select("path", made(work).alias("content")), kind)
     return found.select("path", "file_id", "name", "orig_len", F.coalesce("crc_ok", F.lit(True)).alias("crc_ok"), F.md5("data").alias("data_md5"), "ok")
 
 
@@ -178,7 +183,7 @@ def members_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decoded(blobs: DataFrame, method: str, work: Callable[[bytes], bytes]) -> DataFrame:
-    coded = blobs.select("path", made(work).alias("coded"))
+    coded = spread(blobs).select("path", made(work).alias("coded"))
     return coded.select("path", codecs.decompress("coded", method).alias("d")).select("path", F.md5("d.data").alias("data_md5"), F.length("d.data").cast("long").alias("size"), "d.ok")
 
 
@@ -205,7 +210,7 @@ def decode_rle90(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _each(spark: SparkSession, sf_dir: str, kinds: dict[str, tuple[str, Callable[[bytes], bytes]]]) -> DataFrame:
     """What came out of each of several methods, by name."""
-    sized = docs(spark, sf_dir)
+    sized = spread(docs(spark, sf_dir))
     parts = [
         sized.select("path", "length", made(work).alias("coded")).select("path", F.lit(name).alias("kind"), codecs.decompress("coded", method, F.col("length")).alias("d"))
         for name, (method, work) in kinds.items()
@@ -237,7 +242,7 @@ def members_old_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _archive(spark: SparkSession, sf_dir: str, kind: str, work: Callable[[bytes], bytes]) -> DataFrame:
-    found = members.members(docs(spark, sf_dir).select("path", made(work).alias("content")), kind)
+    found = members.members(spread(docs(spark, sf_dir)).select("path", made(work).alias("content")), kind)
     return found.select("path", "file_id", "name", "is_dir", "is_aux", F.md5("data").alias("data_md5"), "ok")
 
 
@@ -266,7 +271,7 @@ def members_fat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pictures(blobs: DataFrame, kind: str, works: dict[str, Callable[[bytes], bytes]]) -> DataFrame:
-    parts = [blobs.select("path", F.lit(name).alias("how"), rasters.raster(made(work), kind).alias("r")) for name, work in works.items()]
+    parts = [spread(blobs).select("path", F.lit(name).alias("how"), rasters.raster(made(work), kind).alias("r")) for name, work in works.items()]
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.union(part)
@@ -336,7 +341,7 @@ def all_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts, with blanks for control characters, as character screens of 80 columns, and their lines again."""
-    plain = docs(spark, sf_dir).select("path", F.encode(F.regexp_replace(F.decode("content", "UTF-8"), "[\\x00-\\x1F\\x7F]", " "), "UTF-8").alias("content"))
+    plain = spread(docs(spark, sf_dir)).select("path", F.encode(F.regexp_replace(F.decode("content", "UTF-8"), "[\\x00-\\x1F\\x7F]", " "), "UTF-8").alias("content"))
     return screens.screen_lines(screens.cells(plain, "ansiart")).select("path", "row", F.md5("line").alias("line_md5"))
 
 
