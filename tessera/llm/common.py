@@ -64,6 +64,11 @@ def quoted(names: list[str]) -> list[Column]:
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """df with columns named c0, c1 and so on: functions on Arrow batches do not take columns of any name."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

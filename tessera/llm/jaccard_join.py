@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm.blobs import pack, unpack
-from tessera.llm.common import discard, documents, quoted, scratch, settle, sized
+from tessera.llm.common import by_place, discard, documents, quoted, scratch, settle, sized
 from tessera.llm.components import components
 from tessera.llm.labelled import free_name
 from tessera.llm.wordhash import Runs, byte_chunks, distinct, mix, runs, shingles
@@ -425,13 +425,19 @@ def count_of(settled: tuple[DataFrame, Row]) -> tuple[DataFrame, int]:
     return settled[0], settled[1].rows
 
 
-def with_class(batches: Iterator[pa.RecordBatch], k: int, name: str) -> Iterator[pa.RecordBatch]:
+def with_class(rows: DataFrame, k: int, name: str) -> DataFrame:
     """Rows with their class key behind their columns."""
-    for batch in batches:
-        for at, to, data, offsets in byte_chunks(batch["text"]):
-            h, d, _ = distinct(*shingles(runs(data, offsets), k))
-            keys = set_key(h, np.searchsorted(d, np.arange(to - at + 1)))
-            yield pa.RecordBatch.from_arrays([*batch.slice(at, to - at).columns, pa.array(keys.view("i8"))], [*batch.schema.names, name])
+    plain, text = by_place(rows), f"c{rows.columns.index('text')}"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, data, offsets in byte_chunks(batch[text]):
+                h, d, _ = distinct(*shingles(runs(data, offsets), k))
+                keys = set_key(h, np.searchsorted(d, np.arange(to - at + 1)))
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, to - at).columns, pa.array(keys.view("i8"))], [*batch.schema.names, "key"])
+
+    schema = StructType([*(StructField(f.name, f.dataType) for f in plain.schema), StructField("key", LongType())])
+    return plain.mapInArrow(add, schema).toDF(*rows.columns, name)
 
 
 def one_of_each(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -450,10 +456,9 @@ def one_of_each(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 100))
     key = free_name(docs, "_class_key")
     least = semi(found.filter("doc_id = component_id"), again, n_again, "doc_id").groupBy("doc_id", "root").agg(F.min("class_key").alias(key))
     stays, n_stays = count_of(settle(least.select("doc_id", key), "stays"))
-    several = semi(docs, again, n_again, "doc_id").select(*columns)
-    several = several.mapInArrow(lambda b: with_class(b, k, key), StructType([*(StructField(f.name, f.dataType) for f in several.schema), StructField(key, LongType())]))
+    several = with_class(semi(docs, again, n_again, "doc_id").select(*columns), k, key)
     several = semi(several, stays, n_stays, ["doc_id", key]).dropDuplicates(["doc_id", key])
-    return semi(kept, again, n_again, "doc_id", "left_anti").unionByName(several.select(*columns))
+    return semi(kept, again, n_again, "doc_id", "left_anti").select(*columns).union(several.select(*columns))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tessera.llm.common import by_place
 from tessera.llm.wordhash import byte_chunks
 
 FOLDS = 5
@@ -36,15 +37,16 @@ def with_scores(docs: DataFrame, scores: Callable[[np.ndarray, np.ndarray], np.n
 
     scores travels with the tasks: models here have some 100 KB.
     """
-    schema = StructType([*(StructField(f.name, f.dataType) for f in docs.schema), StructField(name, DoubleType())])
+    plain, text = by_place(docs), f"c{docs.columns.index('text')}"
+    schema = StructType([*(StructField(f.name, f.dataType) for f in plain.schema), StructField("score", DoubleType())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, data, offsets in byte_chunks(batch["text"]):
+            for at, to, data, offsets in byte_chunks(batch[text]):
                 own = batch.slice(at, to - at)
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(scores(data, offsets))], [*batch.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(scores(data, offsets))], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(add, schema)
+    return plain.mapInArrow(add, schema).toDF(*docs.columns, name)
 
 
 def free_name(docs: DataFrame, name: str) -> str:

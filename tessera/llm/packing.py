@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.llm.common import documents, scratch
-from tessera.llm.labelled import free_name
+from tessera.llm.common import by_place, documents, scratch
 from tessera.llm.library import encoder
 
 ROWS = 256
@@ -77,19 +76,19 @@ def pack(pieces: DataFrame, capacity: int, group_pieces: int = 16_384) -> DataFr
     """
     settled = scratch(pieces.drop("sequence_id", "offset"), "pieces")  # rows keep their numbers when a task runs again
     groups = max(1, -(-settled.count() // group_pieces))
-    group, row = free_name(settled, "_group"), free_name(settled, "_row")
-    numbered = settled.withColumn(row, F.monotonically_increasing_id())
-    dealt = numbered.withColumn(group, F.pmod(F.xxhash64(row, F.lit(groups)), F.lit(groups)))
-    names = settled.columns
+    plain, length = by_place(settled), f"c{settled.columns.index('length')}"
+    numbered = plain.withColumn("row", F.monotonically_increasing_id())
+    dealt = numbered.withColumn("group", F.pmod(F.xxhash64("row", F.lit(groups)), F.lit(groups)))
+    names = plain.columns
 
     def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by(row)
-        bins, offsets = first_fit_decreasing(table["length"].to_numpy(), capacity)
-        number = pa.array((table[group].to_numpy() << 32) + bins)
+        table = table.sort_by("row")
+        bins, offsets = first_fit_decreasing(table[length].to_numpy(), capacity)
+        number = pa.array((table["group"].to_numpy() << 32) + bins)
         return table.select(names).append_column("sequence_id", number).append_column("offset", pa.array(offsets))
 
-    schema = StructType([*(StructField(f.name, f.dataType) for f in settled.schema), StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    return dealt.groupBy(group).applyInArrow(one, schema)
+    schema = StructType([*(StructField(f.name, f.dataType) for f in plain.schema), StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    return dealt.groupBy("group").applyInArrow(one, schema).toDF(*settled.columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096) -> DataFrame:
