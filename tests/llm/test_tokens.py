@@ -93,7 +93,7 @@ def test_token_files(spark):
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), crc(ids))
         start += len(ids)
     found = [TokenRange(uri, r.range, r.width) for r in manifest.collect()]
-    assert all(isinstance(f.ids, np.memmap) for f in found) and sum(len(f) for f in found) == len(texts)
+    assert all(isinstance(f.ids.mapped, np.memmap) for f in found) and sum(len(f) for f in found) == len(texts)
     assert sum(len(f[i]) for f in found for i in range(len(f))) == start
 
 
@@ -103,6 +103,10 @@ def test_token_files_of_no_and_repeated_rows(spark):
     same = documents(spark, ["a b"] * 3).selectExpr("cast(null as long) as doc_id", "text")
     rows = write_token_files(same, BYTES, uri).mapInArrow(lambda b: digests(b, uri), "doc_id long, start long, n_tokens long, ids_crc32 long").orderBy("start").collect()
     assert [(r.doc_id, r.start, r.n_tokens) for r in rows] == [(None, 0, 3), (None, 3, 3), (None, 6, 3)]
+    uri, least = scratch_path(spark, "test"), -(2**63)
+    ends = spark.createDataFrame([(least, "a"), (None, "b"), (2**63 - 1, "c"), (least, "d")], "doc_id long, text string")
+    rows = write_token_files(ends, BYTES, uri).mapInArrow(lambda b: digests(b, uri), "doc_id long, start long, n_tokens long, ids_crc32 long").orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None, least, least, 2**63 - 1]
 
 
 @given(st.lists(st.integers(1, 64), min_size=1, max_size=80))
