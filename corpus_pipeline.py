@@ -20,18 +20,22 @@ from tessera.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5 for toxicity, with all their columns; a null text scores as an empty one, repeated rows alike, and without confirmed labels all stay."""
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.3 or more for quality, with all their columns; nulls, repeats and missing labels as in tessera.llm.quality.quality_scores."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id of each group of near copies (five words, 0.8), with all its columns; rows without id stay, and of rows that repeat an id one for each text. Empty texts are no copies."""
     return one_of_each(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 4096 ids; a null text gives the end alone, repeated rows are packed each for itself. Other columns end here."""
     return pack_with_words(docs)
 
 
