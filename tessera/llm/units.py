@@ -48,7 +48,7 @@ class Units(Generic[V]):
     work: the value of a unit's text. special: strings that stand for one id each. most: bytes that a worker keeps, about.
     """
 
-    def __init__(self, work: Callable[[str], V], special: list[str], most: int = 120 << 20):
+    def __init__(self, work: Callable[[str], V], special: list[str], most: int = 140 << 20):
         self.bare = Memo(work, most // 5)
         self.spaced = Memo(lambda word: work(" " + word), most)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
