@@ -13,7 +13,7 @@ of words and of grams (runs of words) are kept in partitioned tables by hash, on
 Blocks tell the partitions their distinct grams and are told the counts, in compressed arrays, so what is
 moved is a few bytes for each distinct gram of a block. A gram's number in its table stands for it as the
 context of longer ones. A context so frequent that its grams would outgrow a partition has them dealt by
-the context and the word.
+the context and the word. Answers stay packed until their turn comes, one partition's at a time.
 """
 
 from __future__ import annotations
@@ -137,6 +137,17 @@ def dealt(h: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(h) % np.uint64(buckets)).astype("i8")
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and which of them each key is: np.unique with less memory, for fewer than 2**31 keys."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    inverse = np.empty(len(keys), "i4")
+    inverse[order] = np.cumsum(new, dtype="i4") - 1
+    return keys[new], inverse
+
+
 def ask_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Each block's words with their counts in its training texts, by partition."""
     for batch in batches:
@@ -201,61 +212,76 @@ class Met:
 
 
 class Block:
-    """A block's texts with what the tables have answered so far, by length."""
+    """A block's texts with what the tables have answered so far, by length; answers are packed, and go when they are read."""
 
     def __init__(self, rows: list[dict], buckets: int, model: Unigrams):
-        self.answers: dict[int, dict[int, dict]] = {}
+        self.answers: dict[int, dict[int, bytes]] = {}
         for r in rows:
-            self.answers.setdefault(r["level"], {})[r["bucket"]] = unpack(r["blob"])
-        self.x = x = self.answers.pop(TEXTS)[0]
+            self.answers.setdefault(r["level"], {})[r["bucket"]] = r["blob"]
+        self.x = x = unpack(self.answers.pop(TEXTS)[0])
         self.buckets = buckets
         numbers, counts = np.zeros(len(x["by"]), "u8"), np.zeros(len(x["by"]), "i8")
-        for b, answer in self.answers.pop(1, {}).items():
-            own = x["by"] == b
+        for b, blob in self.answers.pop(1, {}).items():
+            answer, own = unpack(blob), x["by"] == b
             numbers[own] = place_numbers(answer["places"], b, buckets)
             counts[own] = answer["counts"]
         order, rank = ranks(numbers)
-        self.ids, self.end = rank[x["ids"]], rank[x["end"][0]]
+        self.ids, self.end = rank[x.pop("ids")], rank[x["end"][0]]
         self.words = Grams(numbers[order], counts[order], np.full(len(order), model.tokens), self.ids)
         self.sizes = x["sizes"]
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.offset = np.arange(len(self.ids)) - (np.cumsum(self.sizes) - self.sizes)[self.doc]
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def met(self, n: int, below: Grams, often: np.ndarray) -> Met:
         """The grams of n words, and which of them each partition holds."""
-        where = np.flatnonzero(self.offset >= n - 2)
-        before = below.at[where - 1]
+        late = np.ones(len(self.ids), bool)
+        for k in range(n - 2):
+            late[self.starts[self.sizes > k] + k] = False
+        where = np.flatnonzero(late).astype("i4")
+        before = below.at[where - 1].astype("i8")
         if n == 2:
-            before[self.offset == 0] = self.end
+            before[self.starts] = self.end
         size = len(self.words.numbers)
-        pair, inverse = np.unique(before * size + self.ids[where], return_inverse=True)
-        first, second = np.divmod(pair, size)
+        before *= size
+        before += self.ids[where]
+        pair, inverse = distinct(before)
+        del before, late
+        first, second = (pair // size).astype("i4"), (pair % size).astype("i4")
         context = below.numbers[first]
-        bucket = dealt(np.where(np.isin(context, often), context + mix(self.words.numbers[second]), context), self.buckets)
-        order = np.argsort(bucket, kind="stable")
+        hot = np.flatnonzero(np.isin(context, often))
+        context[hot] += mix(self.words.numbers[second[hot]])
+        bucket = dealt(context, self.buckets)
+        order = np.argsort(bucket, kind="stable").astype("i4")
         cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         return Met(where, inverse, first, second, [(b, order[cuts[b] : cuts[b + 1]]) for b in range(self.buckets) if cuts[b] < cuts[b + 1]])
 
-    def grams(self, n: int, below: Grams, met: Met) -> Grams:
-        """The grams of n words by the numbers and counts that the tables gave them."""
-        numbers, counts = np.zeros(len(met.first), "u8"), np.zeros(len(met.first), "i8")
+    def told(self, n: int, met: Met, numbers: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, dict]]:
+        """Fills in what the tables gave the grams of n words, numbers (not for the last length) and counts; the answers by partition."""
         for b, own in met.own:
-            answer = self.answers[n][b]
-            numbers[own] = place_numbers(answer["places"], b, self.buckets)
+            answer = unpack(self.answers[n].pop(b))
+            if "places" in answer:
+                numbers[own] = place_numbers(answer["places"], b, self.buckets)
             counts[own] = answer["counts"]
+            yield own, answer
+
+    def grams(self, below: Grams, met: Met, numbers: np.ndarray, counts: np.ndarray) -> Grams:
+        """The grams of n words by the numbers and counts that the tables gave them."""
         order, rank = ranks(numbers)
-        at = np.full(len(self.ids), -1)
+        at = np.full(len(self.ids), -1, "i4")
         at[met.where] = rank[met.inverse]
         return Grams(numbers[order], counts[order], below.counts[met.first[order]], at)
 
 
 def ranks(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(numbers)
-    rank = np.empty(len(order), "i8")
-    rank[order] = np.arange(len(order))
+    rank = np.empty(len(order), "i4")
+    rank[order] = np.arange(len(order), dtype="i4")
     return order, rank
 
 
+def blank(met: Met) -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros(len(met.first), "u8"), np.zeros(len(met.first), "i8")
+
+
 def ask_grams(number: int, found: list[dict], n: int, buckets: int, known: list[Length], model: Unigrams) -> pa.RecordBatch:
     """One block with the answers on all shorter grams: its grams of n words for each partition.
 
@@ -265,16 +291,21 @@ def ask_grams(number: int, found: list[dict], n: int, buckets: int, known: list[
     block = Block(found, buckets, model)
     below = block.words
     for m in range(2, n):
-        below = block.grams(m, below, block.met(m, below, known[m - 2].often))
+        met = block.met(m, below, known[m - 2].often)
+        numbers, counts = blank(met)
+        for _ in block.told(m, met, numbers, counts):
+            pass
+        below = block.grams(below, met, numbers, counts)
+        del met, numbers, counts
     met = block.met(n, below, known[n - 2].often)
     train = np.bincount(met.inverse[np.repeat(~block.x["held"], block.sizes)[met.where]], minlength=len(met.first))
-    end = np.empty(len(met.first), "i8")
+    end = np.empty(len(met.first), "i4")
     end[met.inverse] = below.at[met.where]
     ns, shorter = below.counts[end], below.context_counts[end]
     rows = []
     for b, own in met.own:
         a, start, ai = np.unique(met.first[own], return_index=True, return_inverse=True)
-        z, zi = np.unique(met.second[own], return_inverse=True)
+        z, zi = np.unique(met.second[own], return_inverse=True)  # places in 64 bits, as their products need
         taught = train[own] > 0
         rows.append((b, number, pack(a=below.numbers[a], na=below.counts[a], sa=shorter[own][start], z=block.words.numbers[z], pairs=(ai * len(z) + zi).astype("u8"), train=train[own], ns=ns[own][taught])))
     return pieces(rows)
@@ -361,25 +392,25 @@ def score(table: pa.Table, buckets: int, known: list[Length], model: Unigrams) -
     base = np.log10((below.counts + 1) / (model.tokens + model.types + 1))
     for n in range(2, len(known) + 1):
         met, length, d = block.met(n, below, known[n - 2].often), known[n - 2], known[n - 1].d
-        r, na = np.zeros(len(met.first), "i8"), below.counts[met.first]
-        weight = np.ones(len(below.counts))
-        for b, own in met.own:
-            answer = block.answers[n][b]
-            r[own] = answer["counts"]
+        numbers, r = blank(met)
+        na, weight = below.counts[met.first], np.ones(len(below.counts))
+        for own, answer in block.told(n, met, numbers, r):
             used = backing(r[own], na[own], met.first[own])
             weight[used] = weights(below.counts[used], answer["by_count"], answer["taken"], d)
         if len(length.heavy):
             at = np.minimum(np.searchsorted(length.heavy, below.numbers), len(length.heavy) - 1)
             weight = np.where(length.heavy[at] == below.numbers, length.weight[at], weight)
         seen = (r > 0)[met.inverse]
-        own = np.log10(np.where(r > 0, discounted(r, d) / (na + 1), weight[met.first]))[met.inverse]
-        value[met.where] = np.where(seen, own, own + value[met.where])
+        value[met.where[seen]] = 0
+        value[met.where] += np.log10(np.where(r > 0, discounted(r, d) / (na + 1), weight[met.first]))[met.inverse]
         if n < len(known):
-            below = block.grams(n, below, met)
+            below = block.grams(below, met, numbers, r)
+        del met, numbers, r, na, weight, seen
+    doc = np.repeat(np.arange(docs, dtype="i4"), block.sizes)
     return pa.table({
         "doc_id": pa.array(x["doc_id"].view("i8"), mask=~x["known"]),
-        "held_out": pa.array(x["held"]), "n_tokens": block.sizes, "n_known": np.bincount(block.doc, block.words.counts[block.ids] > 0, docs).astype("i8"),
-        "train_tokens": np.full(docs, model.tokens), "base_score": np.bincount(block.doc, base[block.ids], docs), "score": np.bincount(block.doc, value, docs),
+        "held_out": pa.array(x["held"]), "n_tokens": block.sizes, "n_known": np.bincount(doc, (block.words.counts > 0)[block.ids], docs).astype("i8"),
+        "train_tokens": np.full(docs, model.tokens), "base_score": np.bincount(doc, base[block.ids], docs), "score": np.bincount(doc, value, docs),
     })
 
 

@@ -1,11 +1,15 @@
 import math
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.util import ODD, documents, prose, words
 
+from tessera.llm import katz
 from tessera.llm.katz import SMALL, discounts, katz_scores, op5_katz_backoff
 
 
@@ -121,3 +125,46 @@ def test_registered_order(spark, tmp_path):
     documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.doc_id: r.score for r in op5_katz_backoff(spark, str(tmp_path)).collect()}
     assert rows[40] > rows[41] + 0.5
+
+
+def made_block(monkeypatch, tokens, buckets):
+    """The functions on Arrow batches, without Spark: the arguments of score for one block of mostly distinct grams."""
+    monkeypatch.setattr(katz, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", tokens)
+    texts = [prose(i, 400, tokens // 10) for i in range(tokens // 401)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "held": [i % 7 == 2 for i in range(len(texts))]})
+    asked = lambda batches: [r for b in batches for r in b.to_pylist()]
+    (cut,) = asked(katz.blocks(iter([batch]), buckets))
+
+    def told(rows, count):
+        tables = [count(pa.Table.from_pylist([r], katz.pieces([]).schema)) for r in rows]
+        own = [pa.RecordBatch.from_pylist([r]) for t in tables for r in t.to_pylist() if r["block"] == katz.OWN]
+        return own, [r for t in tables for r in t.to_pylist() if r["block"] != katz.OWN]
+
+    own, answers = told(asked(katz.ask_words(iter([pa.RecordBatch.from_pylist([cut])]), buckets)), katz.count_words)
+    found = asked(katz.totals(iter(own), katz.LARGEST, buckets))
+    model = katz.Unigrams.of(sum(r["tokens"] for r in found), sum(r["types"] for r in found), np.sum([r["times"] for r in found], axis=0))
+    none, rows = np.zeros(0), [{"level": katz.TEXTS, "bucket": 0, "block": 0, "blob": cut["texts"]}, *({"level": 1, **r} for r in answers)]
+    known = [katz.Length(model.discount, np.zeros(0, "u8"), none, none)]
+    for n in (2, 3):
+        pieces = katz.ask_grams(0, rows, n, buckets, known, model).to_pylist()
+        own, answers = told(pieces, lambda t, n=n: katz.count_grams(t, known[-1].d, known[-1].often, n == 3))
+        found = asked(katz.gram_totals(iter(own), buckets))
+        known.append(katz.Length(discounts(np.sum([r["times"] for r in found], axis=0)), np.zeros(0, "u8"), none, none))
+        rows += [{"level": n, **r} for r in answers]
+    return pa.Table.from_pylist(rows), buckets, known, model
+
+
+def test_memory_of_a_block(monkeypatch):
+    """A worker holds a block's answers packed but for one partition's, so two of them fit beside an executor's heap."""
+    found, buckets, known, model = made_block(monkeypatch, 200_000, 16)
+    size = {}
+    for name, work in (("score", lambda: katz.score(found, buckets, known, model)), ("ask", lambda: katz.ask_grams(0, [r for r in found.to_pylist() if r["level"] < 3], 3, buckets, known[:2], model))):
+        tracemalloc.start()
+        try:
+            rows = work()
+            size[name] = tracemalloc.get_traced_memory()[1] / 200_000
+        finally:
+            tracemalloc.stop()
+        assert rows.num_rows > 0
+    assert size["score"] < 180 and size["ask"] < 155, size
