@@ -37,6 +37,7 @@ from tessera.llm.blobs import pack, unpack
 from tessera.llm.common import by_place, discard, documents, quoted, scratch, settle, sized
 from tessera.llm.components import components
 from tessera.llm.labelled import free_name
+from tessera.llm.memory import given_back, releasing
 from tessera.llm.wordhash import Runs, byte_chunks, distinct, mix, runs, shingles
 
 #: Words of a block, and bytes of text for each partition of the counts.
@@ -62,6 +63,7 @@ def bucket_key(h: np.ndarray, buckets: int) -> np.ndarray:
     return (h % np.uint64(buckets)) << HALF | h >> HALF
 
 
+@releasing
 def cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """block; blob: doc_id (null: 0), known (whether there is an id), sizes (words of each text), ids (the words' places among words), words (sorted hashes)."""
     number, size, parts = TaskContext.get().partitionId() << 32, 0, []
@@ -105,6 +107,7 @@ def pieces(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(block, pa.int64()), pa.array(blob, pa.binary())], ["bucket", "block", "blob"])
 
 
+@releasing
 def ask_counts(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Each block's shingles, with how many of its texts have them, by partition: about two bytes for each."""
     for batch in batches:
@@ -160,6 +163,7 @@ def describe_sets(table: pa.Table, k: int, share: tuple[int, int], buckets: int)
     return pa.table([doc_id, pa.array(n), pa.array(set_key(h, ends).view("i8")), pa.array(groups.view("i8")), prefix], ["doc_id", "n", "class_key", "group_key", "prefix"])
 
 
+@releasing
 def whole_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, to, data, offsets in byte_chunks(batch["text"]):
@@ -168,6 +172,7 @@ def whole_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(set_key(h, ends).view("i8")), pa.array([h[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary())], ["class_key", "members"])
 
 
+@releasing
 def similar(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     num, den = share
     for batch in batches:
@@ -194,6 +199,7 @@ def least_shared(small: int, large: int, share: tuple[int, int]) -> int:
     return -(-num * (small + large) // (num + den)) - -(-num * large // den) + 1
 
 
+@releasing
 def banded(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """For each part (sorted tokens), rows of its role (0: the smaller set), the bands of the smaller and the larger set, and those tokens that a partner in the other band must meet.
 
@@ -264,9 +270,9 @@ class GroupedPrefixJoin:
         buckets = -(-max(1, size) // BUCKET_BYTES)
         blocks = scratch(self.docs.mapInArrow(cut_blocks, "block long, blob binary"), "blocks")
         asked = blocks.mapInArrow(lambda b: ask_counts(b, k, buckets), PIECES)
-        answers = scratch(asked.groupBy("bucket").applyInArrow(kinds, PIECES), "kinds", free=True)
+        answers = scratch(asked.groupBy("bucket").applyInArrow(lambda t: given_back(kinds(t)), PIECES), "kinds", free=True)
         rows = blocks.select(F.lit(TEXTS).cast("long").alias("bucket"), "block", "blob").union(answers)
-        sets = scratch(rows.groupBy("block").applyInArrow(lambda t: describe_sets(t, k, share, buckets), "doc_id long, n long, class_key long, group_key long, prefix array<long>"), "sets", free=True)
+        sets = scratch(rows.groupBy("block").applyInArrow(lambda t: given_back(describe_sets(t, k, share, buckets)), "doc_id long, n long, class_key long, group_key long, prefix array<long>"), "sets", free=True)
         discard(blocks, answers)
         return sets
 
@@ -429,6 +435,7 @@ def with_class(rows: DataFrame, k: int, name: str) -> DataFrame:
     """Rows with their class key behind their columns."""
     plain, text = by_place(rows), f"c{rows.columns.index('text')}"
 
+    @releasing
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, data, offsets in byte_chunks(batch[text]):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.llm.common import by_place
+from tessera.llm.memory import releasing
 from tessera.llm.wordhash import byte_chunks
 
 FOLDS = 5
@@ -40,6 +41,7 @@ def with_scores(docs: DataFrame, scores: Callable[[np.ndarray, np.ndarray], np.n
     plain, text = by_place(docs), f"c{docs.columns.index('text')}"
     schema = StructType([*(StructField(f.name, f.dataType) for f in plain.schema), StructField("score", DoubleType())])
 
+    @releasing
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, data, offsets in byte_chunks(batch[text]):

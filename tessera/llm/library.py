@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from array import array
-from functools import cache
 
 import numpy as np
 
+from tessera.llm.memory import kept
 from tessera.llm.units import MARKS, Units
 
 
@@ -44,7 +44,6 @@ class LibraryEncoder:
         return b"".join(self.units.values(text))
 
 
-@cache
 def encoder(path: str) -> LibraryEncoder:
-    """The worker process's own encoder, which keeps its units from one batch to the next."""
-    return LibraryEncoder(path)
+    """The worker process's own encoder, which keeps its units from one batch and task to the next, until tasks of other work begin."""
+    return kept((LibraryEncoder, path), lambda: LibraryEncoder(path))

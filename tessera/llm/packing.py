@@ -18,6 +18,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm.common import by_place, documents, scratch
 from tessera.llm.library import encoder
+from tessera.llm.memory import giving_back
 
 ROWS = 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -55,6 +56,7 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
+@giving_back
 def cut(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     coder = encoder(tokenizer)
     end = np.array([end_id], coder.dtype).tobytes()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, quoted
 from tessera.llm.labelled import fold, free_name, labelled_sample, with_scores
+from tessera.llm.memory import releasing
 from tessera.llm.wordhash import byte_chunks, distinct, prefix_hashes, runs, shingles
 
 NEWLINE = np.zeros(256, bool)
@@ -20,7 +21,7 @@ NEWLINE[0x0A] = True
 
 def byte_classes() -> tuple[np.ndarray, int]:
     """A class for each byte: capital, small letter, digit, white space, sentence marks, '!', pipes and brackets, other marks, control, lead and trail bytes."""
-    kind = np.full(256, 8, np.int64)
+    kind = np.full(256, 8, np.uint8)
     kind[0x21:0x7F] = 7
     kind[0x41:0x5B], kind[0x61:0x7B], kind[0x30:0x3A] = 0, 1, 2
     kind[[0x20, *range(0x09, 0x0E)]] = 3
@@ -38,20 +39,30 @@ def repetition(hashes: np.ndarray, docs: np.ndarray, n: int) -> tuple[np.ndarray
     return total, np.bincount(d, minlength=n) / np.maximum(total, 1), most / np.maximum(total, 1)
 
 
+def running(flags: np.ndarray) -> np.ndarray:
+    """How many of the flags before each place are set; a text has less than 2**31 bytes, as Arrow's strings have."""
+    out = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, out=out[1:])
+    return out
+
+
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A row of statistics for each text; those of an empty text are all 0."""
     n, sizes = len(offsets) - 1, np.diff(offsets)
     kinds, many = byte_classes()
-    doc = np.repeat(np.arange(n), sizes)
-    by = np.bincount(doc * many + kinds[data], minlength=n * many).reshape(n, many) / np.maximum(sizes, 1)[:, None]
+    kind = kinds[data]
+    slot = np.repeat(np.arange(n) * many, sizes)
+    slot += kind
+    by = np.bincount(slot, minlength=n * many).reshape(n, many) / np.maximum(sizes, 1)[:, None]
+    del slot
     prefix = prefix_hashes(data)
     words, lines = runs(data, offsets, prefix=prefix), runs(data, offsets, NEWLINE, prefix)
+    del prefix
     wdoc, length = words.doc, words.ends - words.starts
     total = np.maximum(words.counts, 1)
     share = lambda x: np.bincount(wdoc, x, n) / total
-    small = np.concatenate([[0], np.cumsum(kinds[data] == 1)])
-    marks = np.concatenate([[0], np.cumsum((kinds[data] >= 4) & (kinds[data] <= 7))])
-    last, first = kinds[data[words.ends - 1]], kinds[data[words.starts]]
+    small, marks = running(kind == 1), running((kind >= 4) & (kind <= 7))
+    last, first = kind[words.ends - 1], kind[words.starts]
     mean = share(length.astype(float))
     again = np.zeros(len(wdoc), bool)
     again[1:] = (words.hashes[1:] == words.hashes[:-1]) & (wdoc[1:] == wdoc[:-1])
@@ -134,6 +145,7 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, bins: i
     return Trees(base, np.array(features), np.array(tops), np.array(leaves))
 
 
+@releasing
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """label and statistics of each row."""
     for batch in batches:

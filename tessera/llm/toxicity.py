@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import discard, documents, quoted, settle
 from tessera.llm.labelled import fold, free_name, labelled_sample, with_scores
+from tessera.llm.memory import releasing
 from tessera.llm.wordhash import WHITE, byte_chunks, distinct, hash_spans, prefix_hashes, runs
 
 #: Words end at white space and at ASCII marks other than the apostrophe and the hyphen.
@@ -138,6 +139,7 @@ def found_words(vocabulary: np.ndarray, data: np.ndarray, offsets: np.ndarray) -
     return word, np.searchsorted(doc, np.arange(len(offsets)))
 
 
+@releasing
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many texts have each word."""
     for batch in batches:
@@ -147,6 +149,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view("i8")), pa.array(n)], ["word", "n"])
 
 
+@releasing
 def count_known(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterator[pa.RecordBatch]:
     """How many texts of the partition have each word of the vocabulary (at least one)."""
     total = np.zeros(len(vocabulary), "i8")
@@ -157,6 +160,7 @@ def count_known(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> It
     yield pa.RecordBatch.from_arrays([pa.array(vocabulary[seen].view("i8")), pa.array(total[seen])], ["word", "n"])
 
 
+@releasing
 def word_lists(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, data, offsets in byte_chunks(batch["text"]):

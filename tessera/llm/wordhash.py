@@ -79,7 +79,8 @@ class Runs:
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LETTER[data] * powers(len(data))[0][: len(data)], out=out[1:])
+    np.multiply(_LETTER[data], powers(len(data))[0][: len(data)], out=out[1:])
+    np.cumsum(out[1:], out=out[1:])
     return out
 
 
