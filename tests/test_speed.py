@@ -6,7 +6,7 @@ import time
 import pytest
 
 from tessera import fixtures
-from tessera.operators import codecs
+from tessera.operators import adaptive, codecs, zip_codecs
 
 WORDS = [bytes(random.Random(i).choices(b"abcdefghijklmnopqrstuvwxyz", k=2 + i % 9)) for i in range(400)]
 PROSE = b" ".join(random.Random(5).choices(WORDS, k=20_000))
@@ -45,6 +45,16 @@ def test_dcl(encode, most):
     assert both(encode, codecs.implode_dcl) < most
 
 
+def test_lha():
+    assert both(fixtures.as_lh, codecs.lh5) < 22 and both(fixtures.as_lh1, adaptive.lh1) < 45
+
+
+def test_old_zip():
+    assert both(fixtures.as_reduced, zip_codecs.reduce) < 30
+    assert both(lambda d: fixtures.as_imploded(d, True, True), lambda d, n: zip_codecs.implode(d, n, True, True)) < 19
+    assert both(fixtures.as_deflate64, zip_codecs.deflate64) < 24
+
+
 def test_copies_are_found_as_by_a_loop():
     for data in (PROSE[:3000], b"ab" * 500, bytes(700), b"abc", b"", b"abcdabcd" * 3 + bytes(range(256))):
         for window, least, most in ((256, 4, 300), (4000, 3, 18), (65_536, 3, 65_538)):
