@@ -6,7 +6,7 @@ import time
 import pytest
 
 from tessera import fixtures
-from tessera.operators import adaptive, codecs, zip_codecs
+from tessera.operators import adaptive, codecs, fax, rasters, tiff_rasters, zip_codecs
 
 WORDS = [bytes(random.Random(i).choices(b"abcdefghijklmnopqrstuvwxyz", k=2 + i % 9)) for i in range(400)]
 PROSE = b" ".join(random.Random(5).choices(WORDS, k=20_000))
@@ -55,6 +55,23 @@ def test_old_zip():
     assert both(fixtures.as_deflate64, zip_codecs.deflate64) < 24
 
 
+def test_fax():
+    """A wide line by the line above: changes are found without a scan from its beginning; and texts as images."""
+    row = [i // 2 % 2 for i in range(16_000)]
+    coded = fixtures.as_fax([row] * 6, 4)
+    assert turns(lambda: fax.decode_fax(coded, 16_000, 6, 4)) < 60
+    assert (fax.decode_fax(coded, 16_000, 6, 4) == row).all()
+    small = PROSE[:4_000]
+    for scheme, most in ((2, 140), (3, 140), (4, 300), (5, 280)):
+        blob = fixtures.as_fax_tiff(small, scheme)
+        assert turns(lambda blob=blob, scheme=scheme: [fixtures.as_fax_tiff(small, scheme), next(tiff_rasters.tiff_images(blob))]) * len(PROSE) / len(small) < most
+
+
+def test_bitmap_runs():
+    blob = fixtures.as_bmp_runs(PROSE)
+    assert turns(lambda: rasters.bmp(blob)) < 10
+
+
 def test_copies_are_found_as_by_a_loop():
     for data in (PROSE[:3000], b"ab" * 500, bytes(700), b"abc", b"", b"abcdabcd" * 3 + bytes(range(256))):
         for window, least, most in ((256, 4, 300), (4000, 3, 18), (65_536, 3, 65_538)):
