@@ -47,3 +47,24 @@ def test_trees():
     large = bytes(random_.choices(range(200), range(1, 201), k=90_000))  # over several strides
     coded = fixtures.huffman_of(large)
     assert archives.tree_decode(coded, len(large)) == large and archives.tree_decode(coded, 70_001) == large[:70_001]
+
+
+def test_lha_in_arj():
+    assert turns(lambda: fixtures.as_lh(PROSE, 15)) < 5
+    assert turns(lambda: list(archives.arj_members(fixtures.arj_of(PROSE)))) < 10
+
+
+def test_copies_of_any_length():
+    """Lengths about the eleven bytes that are counted at once, and matches that run to the end."""
+    random_ = random.Random(8)
+    for n in (8, 9, 10, 11, 12, 15, 16, 17, 79, 80, 81, 300):
+        piece = random_.randbytes(n)
+        assert fixtures.copies(piece + b"\0" + piece, 4096, 3, 400) == [(n + 1, n + 1, n)]
+        assert fixtures.copies(piece + b"\0" + piece, 4096, 3, 11) == [(n + 1 + k, n + 1, min(11, n - k)) for k in range(0, n - 2, 11)]
+        assert fixtures.copies(piece + b"\0" + piece, 4096, 12, 400) == ([(n + 1, n + 1, n)] if n > 11 else [])
+    assert fixtures.copies(bytes(1000), 4096, 3, 5000) == [(1, 1, 999)]
+
+
+def test_blocks_of_lha():
+    data = random.Random(6).randbytes(70_000) + PROSE
+    assert codecs.lh6(fixtures.as_lh(data, 15), len(data)).data == data and fixtures.as_lh(b"") == b""
